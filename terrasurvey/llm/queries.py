@@ -1,6 +1,7 @@
 """The corpus operators as queries over the driver's tables, and their SQL."""
 
 from .mixing import OP7_SQL, op7_mixing
+from .packing import op2_packing
 
-QUERIES = {"op7_mixing": op7_mixing}
+QUERIES = {"op2_packing": op2_packing, "op7_mixing": op7_mixing}
 SQL = {"op7_mixing": OP7_SQL}
