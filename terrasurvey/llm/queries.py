@@ -1,10 +1,11 @@
 """The corpus operators as queries over the driver's tables, and their SQL."""
 
+from .hmm import op5_hmm
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op2_packing
 from .quality import op4_quality_rules
 from .secrets import op10_secrets
 from .simhash import op9_simhash
 
-QUERIES = {"op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
+QUERIES = {"op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules, "op5_hmm": op5_hmm, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
 SQL = {"op7_mixing": OP7_SQL}
