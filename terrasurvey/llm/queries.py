@@ -6,6 +6,7 @@ from .packing import op2_packing
 from .quality import op4_quality_rules
 from .secrets import op10_secrets
 from .simhash import op9_simhash
+from .topk import OP6_SQL, op6_top_k
 
-QUERIES = {"op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules, "op5_hmm": op5_hmm, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
-SQL = {"op7_mixing": OP7_SQL}
+QUERIES = {"op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules, "op5_hmm": op5_hmm, "op6_top_k": op6_top_k, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
+SQL = {"op6_top_k": OP6_SQL, "op7_mixing": OP7_SQL}
