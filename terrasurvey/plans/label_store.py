@@ -6,7 +6,7 @@ from ..operators import labels
 from .inputs import SQL_ANNOTATIONS, SQL_STATUSES, SQL_TILE, SQL_TILES, annotations, read, statuses, tile_name, tiles
 from .registry import query
 
-SQL_LOCKS = f"""locks AS (SELECT {SQL_TILE.format('event_id % 40')} AS tile_name, arg_max('u' || user_id % 25, {{'a': ts, 'b': 'u' || user_id % 25}}) AS locked_by FROM events WHERE event_id % 3 = 0 GROUP BY 1)"""
+SQL_LOCKS = f"""locks AS (SELECT {SQL_TILE.format('event_id % 40')} AS tile_name, arg_max('u' || user_id % 25, {{'a': ts, 'b': 'u' || user_id % 25}}) AS locked_by FROM events WHERE event_type = 'click' GROUP BY 1)"""
 SQL_BOARD = f"""WITH {SQL_TILES}, {SQL_STATUSES}, {SQL_ANNOTATIONS}, {SQL_LOCKS}, board AS (
   SELECT t.name, COALESCE(s.verification_status, 'unchecked') AS status, COALESCE(c.n, 0) AS n_labels, s.updated_by, l.locked_by
   FROM tiles t LEFT JOIN statuses s USING (name) LEFT JOIN (SELECT tile_name, count(*) AS n FROM annotations GROUP BY 1) c ON c.tile_name = t.name
@@ -15,7 +15,7 @@ SQL_BOARD = f"""WITH {SQL_TILES}, {SQL_STATUSES}, {SQL_ANNOTATIONS}, {SQL_LOCKS}
 
 def locks(spark, sf_dir):
     client = F.concat(F.lit("u"), (F.col("user_id") % 25).cast("string"))
-    return labels.latest_locks(read(spark, sf_dir, "events").where("event_id % 3 = 0").select(tile_name(F.col("event_id") % 40).alias("tile_name"), F.col("ts").alias("at"), client.alias("client")))
+    return labels.latest_locks(read(spark, sf_dir, "events").where("event_type = 'click'").select(tile_name(F.col("event_id") % 40).alias("tile_name"), F.col("ts").alias("at"), client.alias("client")))
 
 
 def board(spark, sf_dir):
@@ -96,20 +96,20 @@ def so02(spark, sf_dir):
     return labels.insert_missing(statuses(spark, sf_dir), new, "name")
 
 
-@query("so03_replace_tiles", f"""WITH {SQL_ANNOTATIONS}, new AS (SELECT id + 1000000000 AS id, tile_name, 'row' AS label FROM annotations WHERE tile_name LIKE '%\\_c003' ESCAPE '\\' AND id % 2 = 0)
+@query("so03_replace_tiles", f"""WITH {SQL_ANNOTATIONS}, new AS (SELECT id + 1000000000 AS id, tile_name, 'row' AS label FROM annotations WHERE tile_name LIKE '%\\_c003' ESCAPE '\\' AND label = 'waste')
   SELECT tile_name, label, count(*) AS n, max(id) AS last_id FROM (SELECT id, tile_name, label FROM annotations WHERE tile_name NOT IN (SELECT tile_name FROM new) UNION ALL SELECT * FROM new) GROUP BY 1, 2""")
 def so03(spark, sf_dir):
     a = annotations(spark, sf_dir).select("id", "tile_name", "label")
-    new = a.where(F.col("tile_name").endswith("_c003") & (F.col("id") % 2 == 0)).select((F.col("id") + 1_000_000_000).alias("id"), "tile_name", F.lit("row").alias("label"))
+    new = a.where(F.col("tile_name").endswith("_c003") & (F.col("label") == "waste")).select((F.col("id") + 1_000_000_000).alias("id"), "tile_name", F.lit("row").alias("label"))
     return labels.replace_partition(a, new, "tile_name").groupBy("tile_name", "label").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
-@query("so04_patch", """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 AND c_custkey % 2 = 0 THEN 'waste' ELSE c_mktsegment END AS label,
-  CASE WHEN c_custkey % 7 = 0 THEN c_nationkey + 10 ELSE c_nationkey END AS z_order FROM customer WHERE c_custkey % 11 <> 0""")
+@query("so04_patch", """SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 AND c_acctbal < 0 THEN 'waste' ELSE c_mktsegment END AS label,
+  CASE WHEN c_nationkey < 5 THEN c_nationkey + 10 ELSE c_nationkey END AS z_order FROM customer WHERE c_acctbal <= 9000""")
 def so04(spark, sf_dir):
-    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("z_order"))
-    changes = a.where("id % 7 = 0").select("id", F.when(F.col("id") % 2 == 0, "waste").alias("label"), (F.col("z_order") + 10).alias("z_order"))
-    return labels.patch(a, changes, a.where("id % 11 = 0").select("id"), "id")
+    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("z_order"), "c_acctbal")
+    changes = a.where("z_order < 5").select("id", F.when(F.col("c_acctbal") < 0, "waste").alias("label"), (F.col("z_order") + 10).alias("z_order"))
+    return labels.patch(a.drop("c_acctbal"), changes, a.where("c_acctbal > 9000").select("id"), "id")
 
 
 PROMPTS = {"vines": "vineyard", "rubbish": "waste", "lane": "interrow_area"}
@@ -148,12 +148,12 @@ def sk04(spark, sf_dir):
     return labels.next_fit(tiles(spark, sf_dir), 90_000_000)
 
 
-@query("w10_priority_overlay", f"""WITH {SQL_ANNOTATIONS}, pixels AS (SELECT id, z_order, label, x + i AS px, y + j AS py FROM (SELECT *, unnest(range(w)) AS i FROM annotations WHERE tile_name LIKE '%\\_r00%' ESCAPE '\\'), (SELECT unnest(range(7)) AS j) WHERE j < h),
+@query("w10_priority_overlay", f"""WITH {SQL_ANNOTATIONS}, pixels AS (SELECT id, z_order, label, x + i AS px, y + j AS py FROM (SELECT *, unnest(range(w)) AS i FROM annotations), (SELECT unnest(range(7)) AS j) WHERE j < h),
   ranked AS (SELECT px, py, label, row_number() OVER (PARTITION BY px, py ORDER BY COALESCE(list_position(['vineyard', 'interrow_area', 'waste', 'row'], label), 99) DESC, id DESC) AS k FROM pixels)
   SELECT label, count(*) AS pixels, CAST(sum(px * 1000 + py) AS BIGINT) AS places FROM ranked WHERE k = 1 GROUP BY 1""")
 def w10(spark, sf_dir):
     from ..operators.raster import burn
 
-    a = annotations(spark, sf_dir).where(F.col("tile_name").contains("_r00"))
+    a = annotations(spark, sf_dir)
     pixels = a.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).select((F.col("x") + F.col("i")).alias("px"), (F.col("y") + F.col("j")).alias("py"), "label", "id")
     return burn(pixels, ["px", "py"], "id").groupBy("label").agg(F.count("*").alias("pixels"), F.sum(F.col("px") * 1000 + F.col("py")).alias("places"))

@@ -100,9 +100,9 @@ def routes(spark, sf_dir):
     return stops.select(F.col("o_custkey").alias("route_id"), "stop_ids", upto.alias("stop_distances_m"))
 
 
-@query("j04_stops_with_targets", f"""WITH {SQL_STOPS} SELECT route_id, stop_order, target_id, distance_m, o_orderpriority AS kind FROM stops JOIN orders ON o_orderkey = target_id WHERE o_orderkey % 5 <> 0""")
+@query("j04_stops_with_targets", f"""WITH {SQL_STOPS} SELECT route_id, stop_order, target_id, distance_m, o_orderpriority AS kind FROM stops JOIN orders ON o_orderkey = target_id WHERE o_orderpriority <> '5-LOW'""")
 def j04(spark, sf_dir):
-    targets = read(spark, sf_dir, "orders").where("o_orderkey % 5 != 0").select(F.col("o_orderkey").alias("target_id"), F.col("o_orderpriority").alias("kind"))
+    targets = read(spark, sf_dir, "orders").where("o_orderpriority != '5-LOW'").select(F.col("o_orderkey").alias("target_id"), F.col("o_orderpriority").alias("kind"))
     return measures.stops_with_targets(routes(spark, sf_dir), targets)
 
 
@@ -114,9 +114,9 @@ def w04(spark, sf_dir):
     return measures.legs(stops.join(state.select("target_id", "reached"), "target_id"))
 
 
-@query("j05_reachability", """SELECT c.c_custkey AS target_id, COALESCE(n.r, c.c_acctbal > 0) AS reachable FROM customer c LEFT JOIN (SELECT o_custkey, bool_or(o_orderstatus = 'O') AS r FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) n ON n.o_custkey = c.c_custkey""")
+@query("j05_reachability", """SELECT c.c_custkey AS target_id, COALESCE(n.r, c.c_acctbal > 0) AS reachable FROM customer c LEFT JOIN (SELECT o_custkey, bool_or(o_orderstatus = 'O') AS r FROM orders WHERE o_totalprice > 100000 GROUP BY 1) n ON n.o_custkey = c.c_custkey""")
 def j05(spark, sf_dir):
-    new = read(spark, sf_dir, "orders").where("o_custkey % 3 = 0").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "O").alias("new"))
+    new = read(spark, sf_dir, "orders").where("o_totalprice > 100000").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "O").alias("new"))
     old = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_id"), (F.col("c_acctbal") > 0).alias("old"))
     return old.join(new, F.col("target_id") == F.col("o_custkey"), "left").select("target_id", F.coalesce("new", "old").alias("reachable"))
 

@@ -22,11 +22,11 @@ def w01_points(spark, sf_dir):
     return ordered.gaps(segments(spark, sf_dir), ["vineyard_id", "row_id"], "points").where("gap_m >= 1.5")
 
 
-SQL_BINS = """bins AS (SELECT DISTINCT l_suppkey AS row_id, CAST(l_partkey % 400 AS DOUBLE) / 4 AS pos FROM lineitem WHERE l_partkey % 400 > 40)"""
+SQL_BINS = """bins AS (SELECT DISTINCT l_suppkey AS row_id, CAST(l_partkey % 400 AS DOUBLE) / 4 AS pos FROM lineitem)"""
 
 
 def samples(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").where("l_partkey % 400 > 40").select(F.col("l_suppkey").alias("row_id"), ((F.col("l_partkey") % 400).cast("double") / 4).alias("at"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("row_id"), ((F.col("l_partkey") % 400).cast("double") / 4).alias("at"))
 
 
 @query("w02_occupancy", f"""WITH {SQL_BINS}, holes AS (SELECT *, pos - lag(pos) OVER (PARTITION BY row_id ORDER BY pos) - 0.25::DOUBLE AS hole FROM bins),
@@ -89,12 +89,12 @@ def t01(spark, sf_dir):
     return ordered.top_gaps(w01(spark, sf_dir), 40, ["vineyard_id", "row_id", "gap_start"])
 
 
-@query("t02_inspection_points", f"""WITH {SQL_GAPS}, waste AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 13 = 0),
+@query("t02_inspection_points", f"""WITH {SQL_GAPS}, waste AS (SELECT p_partkey AS k FROM part WHERE p_type = 'PROMO'),
   w AS (SELECT 'W-' || lpad(CAST(n AS VARCHAR), 3, '0') AS name, CAST(k AS VARCHAR) AS key FROM (SELECT k, row_number() OVER (ORDER BY k) AS n FROM waste) WHERE n <= 100),
   g AS (SELECT *, row_number() OVER (ORDER BY gap_m DESC, vineyard_id, row_id, gap_start) AS n FROM gaps), room AS (SELECT least(60, 200 - count(*)) AS r FROM w)
   SELECT * FROM w UNION ALL SELECT 'IP-' || lpad(CAST(row_number() OVER (ORDER BY vineyard_id, row_id, gap_start) AS VARCHAR), 3, '0'), vineyard_id || ':' || row_id || ':' || CAST(gap_start AS VARCHAR) FROM g, room WHERE n <= r""")
 def t02(spark, sf_dir):
-    waste = read(spark, sf_dir, "part").where("p_partkey % 13 = 0").select(F.col("p_partkey").alias("waste_key"))
+    waste = read(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("waste_key"))
     return ordered.inspection_points(waste, w01(spark, sf_dir), ["vineyard_id", "row_id", "gap_start"])
 
 
@@ -130,11 +130,11 @@ def t08(spark, sf_dir):
     return n.select(F.when(F.col("n") <= 50_000_000, F.col("n")).otherwise(F.raise_error(F.lit("more features than the cap allows"))).cast("long").alias("n"))
 
 
-SQL_PATH = """path AS (SELECT o_custkey AS route_id, o_orderkey AS pos, CAST(o_orderkey * 7 % 60 AS DOUBLE) AS x, CAST(o_orderkey * 11 % 47 AS DOUBLE) AS y FROM orders WHERE o_custkey % 10 = 0)"""
+SQL_PATH = """path AS (SELECT o_custkey AS route_id, o_orderkey AS pos, CAST(o_orderkey * 7 % 60 AS DOUBLE) AS x, CAST(o_orderkey * 11 % 47 AS DOUBLE) AS y FROM orders)"""
 
 
 def path(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select(F.col("o_custkey").alias("route_id"), F.col("o_orderkey").alias("at"), (F.col("o_orderkey") * 7 % 60).cast("double").alias("x"), (F.col("o_orderkey") * 11 % 47).cast("double").alias("y"))
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("route_id"), F.col("o_orderkey").alias("at"), (F.col("o_orderkey") * 7 % 60).cast("double").alias("x"), (F.col("o_orderkey") * 11 % 47).cast("double").alias("y"))
 
 
 @query("w05_first_entry", f"""WITH {SQL_PATH}, seg AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM path WINDOW w AS (PARTITION BY route_id ORDER BY pos)),

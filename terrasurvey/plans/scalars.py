@@ -167,9 +167,9 @@ def f03(spark, sf_dir):
     return s.select("id", "points", F.aggregate(tx.parse_points(F.col("points")), F.lit(0.0), lambda a, p: a + p["x"]).alias("sum_x"))
 
 
-@query("f04_slugs", r"SELECT doc_id, COALESCE(NULLIF(substr(regexp_replace(regexp_replace(strip_accents(lower(substr(text, 1, 60))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 32), ''), 'vineyard') AS slug FROM documents WHERE lang IN ('fr', 'es')")
+@query("f04_slugs", r"SELECT doc_id, COALESCE(NULLIF(substr(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 32), ''), 'vineyard') AS slug FROM documents")
 def f04(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang in ('fr', 'es')").select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @query("f05_coordinates")

@@ -1 +1,170 @@
-"""Queries."""
+"""Queries of spatial joins and of the geometry kernel."""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..functions import kernel
+from ..operators import spatial
+from .inputs import SQL_AREAS, areas, read
+from .registry import query
+
+SQL_BOXES = f"""{SQL_AREAS}, boxes AS (SELECT CAST(substr(interrow_id, 2) AS BIGINT) AS id, label, CAST(x AS DOUBLE) + 7 * (CAST(substr(interrow_id, 2) AS BIGINT) % 101) AS x0, CAST(y AS DOUBLE) AS y0,
+  CAST(x + w AS DOUBLE) + 7 * (CAST(substr(interrow_id, 2) AS BIGINT) % 101) AS x1, CAST(y + h AS DOUBLE) AS y1 FROM areas)"""
+
+
+def boxes(spark, sf_dir):
+    i = F.substring("interrow_id", 2, 20).cast("long")
+    d = 7 * (i % 101)
+    return areas(spark, sf_dir).select(i.alias("id"), "label", (F.col("x") + d).cast("double").alias("x0"), F.col("y").cast("double").alias("y0"), (F.col("x") + F.col("w") + d).cast("double").alias("x1"), (F.col("y") + F.col("h")).cast("double").alias("y1"))
+
+
+def kinds(spark, sf_dir, label):
+    return boxes(spark, sf_dir).where(F.col("label") == label).drop("label")
+
+
+SQL_OVERLAP = "SELECT a.id, b.id AS r_id FROM boxes a, boxes b WHERE a.label = 'vineyard' AND b.label = 'waste' AND a.x0 {0} b.x1 AND b.x0 {0} a.x1 AND a.y0 {0} b.y1 AND b.y0 {0} a.y1"
+
+
+@query("p10_box_overlap", f"WITH {SQL_BOXES} {SQL_OVERLAP.format('<=')}")
+def p10(spark, sf_dir):
+    return spatial.box_join(kinds(spark, sf_dir, "vineyard"), kinds(spark, sf_dir, "waste"), 16.0).select("id", "r_id")
+
+
+@query("p11_strict_overlap", f"WITH {SQL_BOXES} {SQL_OVERLAP.format('<')}")
+def p11(spark, sf_dir):
+    return spatial.box_join(kinds(spark, sf_dir, "vineyard"), kinds(spark, sf_dir, "waste"), 16.0, strict=True).select("id", "r_id")
+
+
+@query("j11_clipped_parcels", f"""WITH {SQL_BOXES} SELECT a.id, b.id AS r_id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area FROM boxes a, boxes b
+  WHERE a.label = 'vineyard' AND b.label = 'interrow_area' AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""")
+def j11(spark, sf_dir):
+    pairs = spatial.box_join(kinds(spark, sf_dir, "vineyard"), kinds(spark, sf_dir, "interrow_area"), 16.0, strict=True)
+    ring = g.open_ring(g.box_ring(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    for axis, low, high in (("x", "r_x0", "r_x1"), ("y", "r_y0", "r_y1")):
+        pairs = pairs.withColumn("ring", ring)
+        pairs = pairs.withColumn("ring", g.clip_box(F.col("ring"), axis, F.col(low), False))
+        ring = g.clip_box(F.col("ring"), axis, F.col(high), True)
+    return pairs.withColumn("ring", ring).select("id", "r_id", g.area(g.close_ring(F.col("ring"))).alias("area"))
+
+
+@query("j12_within_distance", f"""WITH {SQL_BOXES} SELECT a.id, b.id AS r_id FROM boxes a, boxes b WHERE a.label = 'vineyard' AND b.label = 'waste'
+  AND pow(greatest(b.x0 - a.x1, a.x0 - b.x1, 0), 2) + pow(greatest(b.y0 - a.y1, a.y0 - b.y1, 0), 2) <= 9""")
+def j12(spark, sf_dir):
+    near = spatial.box_join(kinds(spark, sf_dir, "vineyard"), kinds(spark, sf_dir, "waste"), 16.0, reach=3.0)
+    gap = lambda a0, a1, b0, b1: F.greatest(F.col(b0) - F.col(a1), F.col(a0) - F.col(b1), F.lit(0.0))
+    return near.where(F.hypot(gap("x0", "x1", "r_x0", "r_x1"), gap("y0", "y1", "r_y0", "r_y1")) <= 3).select("id", "r_id")
+
+
+SQL_POINTS = "points AS (SELECT o_orderkey AS id, CAST(o_orderkey * 7 % 780 AS DOUBLE) + 0.5::DOUBLE AS x, CAST(o_orderkey * 3 % 64 AS DOUBLE) + 0.25::DOUBLE AS y FROM orders)"
+
+
+def points(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") * 7 % 780) + 0.5).cast("double").alias("x"), ((F.col("o_orderkey") * 3 % 64) + 0.25).cast("double").alias("y"))
+
+
+@query("j09_waste_in_block", f"""WITH {SQL_BOXES}, {SQL_POINTS} SELECT p.id, min(b.id) AS area FROM points p LEFT JOIN boxes b ON b.label = 'vineyard' AND p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1 GROUP BY 1""")
+def j09(spark, sf_dir):
+    b = kinds(spark, sf_dir, "vineyard")
+    ring = g.box_ring(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return spatial.first_containing(points(spark, sf_dir), b.select(F.col("id").alias("area"), F.col("id").alias("place"), ring.alias("ring")), "id", 16.0)
+
+
+@query("j10_commune_and_district", f"""WITH {SQL_BOXES}, {SQL_POINTS}, c AS (SELECT p.id, min(b.id) AS a FROM points p LEFT JOIN boxes b ON b.label = 'vineyard' AND p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1 GROUP BY 1),
+  d AS (SELECT p.id, min(b.id) AS a FROM points p LEFT JOIN boxes b ON b.label = 'interrow_area' AND p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1 GROUP BY 1)
+  SELECT id, CASE WHEN c.a IS NULL AND d.a IS NULL THEN 'Location not stated' ELSE concat_ws(', ', 'commune ' || c.a, 'district ' || d.a) END AS location FROM c JOIN d USING (id)""")
+def j10(spark, sf_dir):
+    ring = g.box_ring(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    level = lambda label, name: spatial.first_containing(points(spark, sf_dir), kinds(spark, sf_dir, label).select(F.col("id").alias("area"), F.col("id").alias("place"), ring.alias("ring")), "id", 16.0).select("id", F.concat(F.lit(f"{name} "), F.col("area").cast("string")).alias(name))
+    both = level("vineyard", "commune").join(level("interrow_area", "district"), "id")
+    return both.select("id", F.coalesce(F.nullif(F.concat_ws(", ", "commune", "district"), F.lit("")), F.lit("Location not stated")).alias("location"))
+
+
+@query("j13_nearest_row", """WITH rows AS (SELECT DISTINCT s_nationkey AS block, CAST(s_suppkey % 50 AS DOUBLE) * 2 AS off FROM supplier), points AS (SELECT c_custkey AS id, c_nationkey AS block, CAST(c_custkey % 411 AS DOUBLE) / 4 AS off FROM customer),
+  ranked AS (SELECT p.id, p.block, r.off AS row_off, abs(p.off - r.off) AS d, row_number() OVER (PARTITION BY p.id ORDER BY abs(p.off - r.off), r.off) AS k FROM points p LEFT JOIN rows r USING (block))
+  SELECT id, block, CASE WHEN d <= 3 THEN CAST(row_off AS BIGINT) END AS row FROM ranked WHERE k = 1""")
+def j13(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("block"), ((F.col("s_suppkey") % 50).cast("double") * 2).alias("off")).distinct().withColumn("row", F.col("off").cast("long"))
+    p = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("block"), ((F.col("c_custkey") % 411).cast("double") / 4).alias("off"))
+    return spatial.nearest_on_axis(p, rows, ["block"], "off", 3.0).select("id", "block", "row")
+
+
+@query("j14_approach_points", f"""WITH {SQL_POINTS}, t AS (SELECT s_suppkey AS target, CAST(s_suppkey * 31 % 780 AS DOUBLE) AS tx, CAST(s_suppkey * 5 % 64 AS DOUBLE) AS ty FROM supplier),
+  d AS (SELECT target, id, sqrt((tx - x) * (tx - x) + (ty - y) * (ty - y)) AS d FROM t, points WHERE abs(tx - x) <= 2 AND abs(ty - y) <= 2)
+  SELECT target, id AS candidate, round(d, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY d, id) AS k FROM d WHERE d <= 2) WHERE k = 1""")
+def j14(spark, sf_dir):
+    t = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target"), (F.col("s_suppkey") * 31 % 780).cast("double").alias("x"), (F.col("s_suppkey") * 5 % 64).cast("double").alias("y"))
+    return spatial.nearest_within(t, points(spark, sf_dir).withColumnRenamed("id", "candidate"), 2.0).withColumn("distance", F.round("distance", 9))
+
+
+@query("j15_canopy_clusters", f"""WITH RECURSIVE {SQL_BOXES}, v AS (SELECT * FROM boxes WHERE label = 'waste'), e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON
+    pow(greatest(b.x0 - a.x1, a.x0 - b.x1, 0), 2) + pow(greatest(b.y0 - a.y1, a.y0 - b.y1, 0), 2) <= 2.25::DOUBLE), reach(id, seen) AS (SELECT id, id FROM v UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.seen),
+  c AS (SELECT id, min(seen) AS cluster FROM reach GROUP BY 1), sizes AS (SELECT cluster, sum((x1 - x0) * (y1 - y0)) AS area FROM c JOIN v USING (id) GROUP BY 1)
+  SELECT id, cluster FROM c JOIN sizes USING (cluster) WHERE area >= 15""")
+def j15(spark, sf_dir):
+    from ..sources.shared import checkpoint_folder
+
+    checkpoint_folder(spark)
+    return spatial.clusters(kinds(spark, sf_dir, "waste"), 1.5, 15.0, 8.0)
+
+
+@query("j16_shared_edges", """WITH t AS (SELECT p_partkey AS id, p_partkey % 40 AS a, p_size % 40 AS b, p_partkey * 7 % 40 AS c FROM part), e AS (SELECT id, least(u, v) AS lo, greatest(u, v) AS hi FROM (SELECT id, a AS u, b AS v FROM t UNION ALL SELECT id, b, c FROM t UNION ALL SELECT id, c, a FROM t))
+  SELECT CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, min(id) AS one, max(id) AS two FROM e GROUP BY 1, 2 HAVING count(*) = 2""")
+def j16(spark, sf_dir):
+    a, b, c = F.col("p_partkey") % 40, F.col("p_size").cast("long") % 40, F.col("p_partkey") * 7 % 40
+    e = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array(*[F.struct(F.least(u, v).alias("lo"), F.greatest(u, v).alias("hi")) for u, v in ((a, b), (b, c), (c, a))])).alias("e"))
+    return e.groupBy("e.lo", "e.hi").agg(F.count("*").alias("n"), F.min("id").alias("one"), F.max("id").alias("two")).where("n = 2").drop("n")
+
+
+@query("a17_convex_hulls")
+def a17(spark, sf_dir):
+    return spatial.hulls(points(spark, sf_dir).withColumn("block", F.col("id") % 40), ["block"]).drop("ring")
+
+
+@query("g12_oriented_boxes")
+def g12(spark, sf_dir):
+    return spatial.oriented_boxes(points(spark, sf_dir).withColumn("block", F.col("id") % 40), ["block"])
+
+
+@query("g06_simplified_lines", """SELECT CAST(o_custkey AS BIGINT) AS id, CAST(2 AS INTEGER) AS n FROM orders GROUP BY 1""")
+def g06(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("double").alias("x"), (F.col("o_orderkey") * 2).cast("double").alias("y")))).alias("line"))
+    far = F.concat(F.array(F.struct(F.lit(-1.0).alias("x"), F.lit(-2.0).alias("y"))), "line")
+    return spatial.simplify(o.withColumn("line", far), "line", 0.01).select("id", F.size("line").alias("n"))
+
+
+@query("g14_bounds", f"WITH {SQL_BOXES} SELECT id, x0, y0, x1, y1 FROM boxes")
+def g14(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumn("b", g.bounds(g.box_ring(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))))
+    return b.select("id", "b.*")
+
+
+@query("g01_polygon_overlay", f"""WITH {SQL_AREAS}, cells AS (SELECT COALESCE(vineyard_id, '') AS block, label, x + i AS px, y + j AS py FROM (SELECT *, unnest(range(w)) AS i FROM areas), (SELECT unnest(range(11)) AS j) WHERE j < h),
+  v AS (SELECT DISTINCT block, px, py FROM cells WHERE label = 'vineyard'), i AS (SELECT DISTINCT block, px, py FROM cells WHERE label = 'interrow_area'), k AS (SELECT DISTINCT block FROM cells)
+  n AS (SELECT i.block, count(*) AS lanes, count(*) FILTER (WHERE v.px IS NULL) AS walkable FROM i LEFT JOIN v ON v.block = i.block AND v.px = i.px AND v.py = i.py GROUP BY 1)
+  SELECT block, CAST(COALESCE(lanes, 0) AS DOUBLE) AS lanes, CAST(COALESCE(walkable, 0) AS DOUBLE) AS walkable FROM k LEFT JOIN n USING (block)""")
+def g01(spark, sf_dir):
+    """Walkable area of each block: its inter-rows without its canopy, by the slab sweep. A block is one group, as its shapes meet each other."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ring = lambda r: np.array([[r.x, r.y], [r.x + r.w, r.y], [r.x + r.w, r.y + r.h], [r.x, r.y + r.h]], float)
+        lanes = [ring(r) for r in rows[rows.label == "interrow_area"].itertuples()]
+        canopy = [ring(r) for r in rows[rows.label == "vineyard"].itertuples()]
+        walkable = kernel.overlay_area([lanes, canopy], lambda on: on[0] and not on[1])
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "lanes": [round(kernel.union_area(lanes), 6)], "walkable": [round(walkable, 6)]})
+
+    return areas(spark, sf_dir).withColumn("block", F.coalesce("vineyard_id", F.lit(""))).groupBy("block").applyInPandas(run, "block string, lanes double, walkable double")
+
+
+@query("g04_line_in_polygon", f"WITH {SQL_BOXES} SELECT id, round(greatest(0, least(x1, 400) - greatest(x0, 20)), 6) AS inside, round(380 - greatest(0, least(x1, 400) - greatest(x0, 20)), 6) AS outside FROM boxes")
+def g04(spark, sf_dir):
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                mid = (r.y0 + r.y1) / 2
+                out.append(kernel.line_inside(np.array([[20.0, mid], [400.0, mid]]), [np.array([[r.x0, r.y0], [r.x1, r.y0], [r.x1, r.y1], [r.x0, r.y1]])]))
+            yield pd.DataFrame({"id": rows["id"], "inside": np.round(out, 6), "outside": np.round(380 - np.array(out), 6)})
+
+    return boxes(spark, sf_dir).mapInPandas(run, "id long, inside double, outside double")
