@@ -141,7 +141,7 @@ def g14(spark, sf_dir):
 
 
 @query("g01_polygon_overlay", f"""WITH {SQL_AREAS}, cells AS (SELECT COALESCE(vineyard_id, '') AS block, label, x + i AS px, y + j AS py FROM (SELECT *, unnest(range(w)) AS i FROM areas), (SELECT unnest(range(11)) AS j) WHERE j < h),
-  v AS (SELECT DISTINCT block, px, py FROM cells WHERE label = 'vineyard'), i AS (SELECT DISTINCT block, px, py FROM cells WHERE label = 'interrow_area'), k AS (SELECT DISTINCT block FROM cells)
+  v AS (SELECT DISTINCT block, px, py FROM cells WHERE label = 'vineyard'), i AS (SELECT DISTINCT block, px, py FROM cells WHERE label = 'interrow_area'), k AS (SELECT DISTINCT block FROM cells),
   n AS (SELECT i.block, count(*) AS lanes, count(*) FILTER (WHERE v.px IS NULL) AS walkable FROM i LEFT JOIN v ON v.block = i.block AND v.px = i.px AND v.py = i.py GROUP BY 1)
   SELECT block, CAST(COALESCE(lanes, 0) AS DOUBLE) AS lanes, CAST(COALESCE(walkable, 0) AS DOUBLE) AS walkable FROM k LEFT JOIN n USING (block)""")
 def g01(spark, sf_dir):
