@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from terrasurvey.plans.registry import QUERIES, SQL
@@ -19,7 +20,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "NULL"
     if hasattr(v, "tolist") and not isinstance(v, (int, float)):
         v = v.tolist()
