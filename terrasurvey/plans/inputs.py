@@ -9,10 +9,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tile_name(key):
-    return F.format_string("siret3_r%03d_c%03d", F.floor(key / 10).cast("int"), (key % 10).cast("int"))
+    return F.format_string("tile_r%03d_c%03d", F.floor(key / 10).cast("int"), (key % 10).cast("int"))
 
 
-SQL_TILE = "'siret3_r' || lpad(CAST({0} // 10 AS VARCHAR), 3, '0') || '_c' || lpad(CAST({0} % 10 AS VARCHAR), 3, '0')"
+SQL_TILE = "'tile_r' || lpad(CAST({0} // 10 AS VARCHAR), 3, '0') || '_c' || lpad(CAST({0} % 10 AS VARCHAR), 3, '0')"
 
 
 def tiles(spark, sf_dir):

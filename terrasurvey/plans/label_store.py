@@ -27,9 +27,9 @@ def j01(spark, sf_dir):
     return board(spark, sf_dir)
 
 
-@query("sc01_tile_listing", f"WITH {SQL_TILES} SELECT name FROM tiles WHERE regexp_matches(name, '^siret3_r[0-9]{{3}}_c[0-9]{{3}}$') ORDER BY name")
+@query("sc01_tile_listing", f"WITH {SQL_TILES} SELECT name FROM tiles WHERE regexp_matches(name, '^tile_r[0-9]{{3}}_c[0-9]{{3}}$') ORDER BY name")
 def sc01(spark, sf_dir):
-    return tiles(spark, sf_dir).where(F.col("name").rlike(r"^siret3_r\d{3}_c\d{3}$")).select("name").orderBy("name")
+    return tiles(spark, sf_dir).where(F.col("name").rlike(r"^tile_r\d{3}_c\d{3}$")).select("name").orderBy("name")
 
 
 @query("p01_tiles_with_status", f"WITH {SQL_STATUSES} SELECT name FROM statuses WHERE verification_status = 'verified'")
