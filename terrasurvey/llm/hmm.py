@@ -139,6 +139,19 @@ def counted(training: DataFrame) -> DataFrame:
     return training.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def head_from(vocabulary: DataFrame, head: int) -> int:
+    """The least count for which at most `head` words are as frequent: from the number of words by the logarithm of their count, in bounded steps."""
+    step = F.floor(F.log2("n") * 256).cast("long")
+    steps = vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect()
+    least, words = 1 << 62, 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        words += r["words"]
+        if words > head:
+            break
+        least = r["n"]
+    return least
+
+
 def shape(word: bytes, shapes: int) -> int:
     """The class of a word that has none of its own: by its last three bytes."""
     return crc32(word[-3:]) % shapes
@@ -174,7 +187,7 @@ def expectation(training: DataFrame, model: Model, prior: np.ndarray) -> Model:
     return updated(flat[:a], flat[a:b].reshape(states, states), flat[b:].reshape(classes, states), prior)
 
 
-def score(docs: DataFrame, held_out, states: int = 8, rounds: int = 4, own: int = 6143, shapes: int = 2048, head: int = 1 << 18, sample_rows: int = 400) -> DataFrame:
+def score(docs: DataFrame, held_out, states: int = 8, rounds: int = 4, own: int = 6143, shapes: int = 2048, head: int = 1 << 17, sample_rows: int = 400) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; base-10 logarithms.
 
     held_out: a condition; texts for which it is false or null train the model. Tokens are the words of the text with A-Z lower-cased and one
@@ -191,8 +204,9 @@ def score(docs: DataFrame, held_out, states: int = 8, rounds: int = 4, own: int
     vocabulary = stored(counted(docs.where("not held_out")))
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
-    top = [(bytes(r["word"]), int(r["n"])) for r in vocabulary.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(head).collect()]
-    least = top[-1][1] if len(top) == head else 0
+    least = head_from(vocabulary, head)
+    top = [(bytes(r["word"]), int(r["n"])) for r in vocabulary.where((F.length("word") > 0) & (F.col("n") >= least)).collect()]
+    top.sort(key=lambda x: (-x[1], x[0]))
     classes, end = own + shapes + 1, own + shapes
     named = {word: i for i, (word, _) in enumerate(top[:own])}
 
@@ -263,8 +277,7 @@ def score(docs: DataFrame, held_out, states: int = 8, rounds: int = 4, own: int
 
     scored = encoded.drop("rest").mapInArrow(likelihood, f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, share double, path double")
     words = encoded.select("row", F.explode("rest").alias("word"))
-    # words of the head have no place here, and words at its rim may or may not
-    counts = vocabulary.where((F.col("n") <= least) if least else F.lit(True)).withColumnRenamed("n", "c")
+    counts = vocabulary.where(F.col("n") < least).withColumnRenamed("n", "c")
     c = F.coalesce(F.col("c"), F.lit(0))
     by_row = words.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(c + 0.5)).alias("_logs"), F.count_if(c > 0).alias("_seen"))
     out = scored.join(by_row, "row", "left")
