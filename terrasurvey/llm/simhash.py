@@ -16,6 +16,8 @@ PER_CELL = 8
 SEGMENTS = 32
 #: Cells of more fingerprints than this are split over several tasks.
 SPLIT = 20_000
+#: Fingerprints up to which cells are counted over all of them.
+WHOLE = 50_000
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -154,13 +156,17 @@ def near_links(classes: DataFrame, n: int, most: int = 4) -> DataFrame:
     e = embedded(F.col("fp"))
     keys = F.array(*[F.xxhash64(F.lit(i), e.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     keyed = classes.select("fp", F.explode(keys).alias("cell"))
-    hot = keyed.groupBy("cell").count().where(F.col("count") > SPLIT).select("cell", F.ceil(F.col("count") / SPLIT).cast("int").alias("_parts"))
-    keyed = keyed.join(hot, "cell", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    # a large cell is cut into parts, and each pair of parts becomes a cell of its own
-    part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("_parts")).cast("int")
-    keyed = keyed.withColumn("_part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    pair = F.xxhash64("cell", F.least("_part", "_other"), F.greatest("_part", "_other"))
-    keyed = keyed.select(F.when(F.col("_parts") == 1, F.col("cell")).otherwise(pair).alias("cell"), "fp")
+    # which cells are large only shapes the work: in large tables it is judged by a part of the fingerprints
+    part = 1 if n <= WHOLE else 16
+    seen = keyed.where(F.pmod(F.xxhash64("fp", F.lit(2)), F.lit(part)) == 0).groupBy("cell").count()
+    hot = stored(seen.where(F.col("count") * part > SPLIT).select("cell", F.ceil(F.col("count") * part / SPLIT).cast("int").alias("_parts")))
+    if hot.count():
+        # a large cell is cut into parts, and each pair of parts becomes a cell of its own
+        keyed = keyed.join(hot, "cell", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        keyed = keyed.withColumn("_part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("_parts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        pair = F.xxhash64("cell", F.least("_part", "_other"), F.greatest("_part", "_other"))
+        keyed = keyed.select("fp", F.when(F.col("_parts") == 1, F.col("cell")).otherwise(pair).alias("cell"))
+    keyed = keyed.select("cell", "fp")
     return keyed.repartition("cell").sortWithinPartitions("cell").mapInArrow(cell_links(most), "a long, b long")
 
 
