@@ -38,7 +38,7 @@ def uniform(doc_id: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, buckets: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, buckets: int = 4096, row: str | None = None) -> DataFrame:
     """How many words of each document the mix takes: (doc_id, source, size, source_size, target, copies, taken).
 
     A source whose target is r times its size gives floor(r) whole copies of every document for certain. The rest of the
@@ -51,8 +51,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
 
     Null text has size 0; null sources form one source; documents of size 0 take 0; an empty table gives no rows;
     equal ids share one random number and are ordered by size; columns other than doc_id, text and source don't matter.
+    A column that tells rows apart (`row`) is carried along, so that rows of equal ids can be told apart; it orders rows of equal id and size.
     """
-    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    rows = [row] if row else []
+    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *rows))
     # sums of integers only: the same in every run, whatever the order
     sized = sized.withColumn("_root", F.floor(F.sqrt(F.col("size").cast("double"))).cast("long"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("_root") * F.col("size")).alias("_root_size"))
@@ -80,23 +82,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
 
     apart = ranked.where(~F.coalesce(F.col("_range") == F.col("_met_range"), F.lit(False)))
     apart = apart.withColumn("_extra", F.when(F.coalesce(F.col("_range") < F.col("_met_range"), F.lit(True)), 1).otherwise(0))
-    order = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("_key", "doc_id", "size", *rows).rowsBetween(Window.unboundedPreceding, -1)
     near = ranked.where(F.col("_range") == F.col("_met_range"))
     so_far = F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     near = near.withColumn("_extra", F.when(so_far + F.col("size") / 2 <= F.col("_rest"), 1).otherwise(0))
-    kept = ["doc_id", "source", "size", "source_size", "target", "copies", "_rest", "_extra"]
+    kept = ["doc_id", "source", "size", "source_size", "target", "copies", "_rest", "_extra", *rows]
     both = stored(apart.select(*kept).unionByName(near.select(*kept)))
     # one more document where a source stops short of its target before a long one: that of the size nearest to the gap
     gap = both.groupBy("source").agg((F.first("_rest") - F.sum(F.col("size") * F.col("_extra"))).alias("_gap")).where(F.col("_gap") > 0)
     off = F.abs(F.col("size") - F.col("_gap"))
     found = both.where(F.col("_extra") == 0).join(hint(gap.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).where(off < F.col("_gap"))
-    found = found.groupBy("source").agg(F.min(F.struct(off.alias("off"), "doc_id", "size")).alias("_one"))
-    found = found.select(F.col("source").alias("_one_source"), F.col("_one.doc_id").alias("_one_id"), F.col("_one.size").alias("_one_size"))
+    found = found.groupBy("source").agg(F.min(F.struct(off.alias("off"), "doc_id", "size", *rows)).alias("_one"))
+    found = found.select(F.col("source").alias("_one_source"), F.col("_one.doc_id").alias("_one_id"), F.col("_one.size").alias("_one_size"), *[F.col("_one").getField(c).alias("_one_row") for c in rows])
     both = both.join(hint(found), F.col("source").eqNullSafe(F.col("_one_source")), "left")
-    added = F.when(F.col("doc_id").eqNullSafe(F.col("_one_id")) & (F.col("size") == F.col("_one_size")) & (F.col("_extra") == 0), 1).otherwise(0)
+    is_one = F.col("doc_id").eqNullSafe(F.col("_one_id")) & (F.col("size") == F.col("_one_size"))
+    for c in rows:
+        is_one &= F.col(c) == F.col("_one_row")
+    added = F.when(is_one & (F.col("_extra") == 0), 1).otherwise(0)
     # where the certain copies are max_repeat already, nothing is left to add
     copies = F.least(F.col("copies") + F.col("_extra") + added, F.lit(max_repeat))
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), *rows)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,18 @@ def test_near_copies_leave_one(spark):
     near = text.replace("word60 ", "other ")
     docs = spark.createDataFrame([(5, near, "en", "a", 1), (3, text, "en", "a", 1), (9, text, "en", "b", 1), (7, "something else " + text[::-1], "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()) == [3, 7]
+
+
+def test_each_row_is_taken_as_often_as_its_own_copies(spark):
+    # ids are missing or shared: the mix of the same rows with ids of their own limits each row to 3 copies
+    rows = [(None, f"null{i} " * (40 + i), "en", "ab"[i % 2], i) for i in range(30)] + [(7, f"seven{i} " * (50 + i), "en", "c", i) for i in range(6)] + [(i, f"own{i} " * 45, "en", "abc"[i % 3], i) for i in range(20, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = Counter(r.text for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert max(taken.values()) <= 3
+    words, got, target = Counter(), Counter(), {}
+    for r in mix(docs).collect():
+        target[r.source] = r.target
+    for _, text, _, source, _ in rows:
+        words[source] = max(words[source], len(text.split()))
+        got[source] += taken[text] * len(text.split())
+    assert all(abs(got[s] - target[s]) <= words[s] for s in target)
