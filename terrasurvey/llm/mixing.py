@@ -75,13 +75,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
     by_range = ranked.groupBy("source", "_range").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
     to_here = Window.partitionBy("source").orderBy("_range")
     by_range = by_range.withColumn("_to", F.sum("_words").over(to_here))
-    # the range in which the rest of the target is met; none where the rest is more than all words
-    met = by_range.where(F.col("_to") > F.col("_rest")).groupBy("source").agg(F.min(F.struct("_range", (F.col("_to") - F.col("_words")).alias("_before"))).alias("_met"))
+    # the range in which the rest of the target is met; none where the rest is more than all words, or nothing is left to take
+    met = by_range.where((F.col("_rest") > 0) & (F.col("_to") > F.col("_rest"))).groupBy("source").agg(F.min(F.struct("_range", (F.col("_to") - F.col("_words")).alias("_before"))).alias("_met"))
     met = met.select(F.col("source").alias("_met_source"), F.col("_met._range").alias("_met_range"), F.col("_met._before").alias("_before"))
     ranked = ranked.join(hint(met), F.col("source").eqNullSafe(F.col("_met_source")), "left")
 
     apart = ranked.where(~F.coalesce(F.col("_range") == F.col("_met_range"), F.lit(False)))
-    apart = apart.withColumn("_extra", F.when(F.coalesce(F.col("_range") < F.col("_met_range"), F.lit(True)), 1).otherwise(0))
+    apart = apart.withColumn("_extra", F.when((F.col("_rest") > 0) & F.coalesce(F.col("_range") < F.col("_met_range"), F.lit(True)), 1).otherwise(0))
     order = Window.partitionBy("source").orderBy("_key", "doc_id", "size", *rows).rowsBetween(Window.unboundedPreceding, -1)
     near = ranked.where(F.col("_range") == F.col("_met_range"))
     so_far = F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
