@@ -3,12 +3,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from llm.rows import documents, odd
 from terrasurvey.llm import fmindex
-from terrasurvey.llm.fmindex import FMIndex, WaveletTree, dedup_substrings, selected
+from terrasurvey.llm.fmindex import FMIndex, WaveletTree, dedup_substrings, hashed_words, selected, shard_search
 
 
 def plain(rows, k):
@@ -74,26 +75,52 @@ def test_digest_of_the_query(spark):
     assert rows_of(op8_substring_dedup(spark, sf)) == want
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 5), min_size=1, max_size=30), min_size=1, max_size=12), st.integers(1, 9), st.integers(0, 1000))
-def test_backward_search_counts_and_first_owners(texts, width, seed):
-    rng = np.random.default_rng(seed)
-    owners = rng.integers(0, 100, len(texts))
-    index = FMIndex([np.array(t) for t in texts], owners, 7, width)
-    patterns = rng.integers(0, 7, (20, width))
-    for row in range(10):  # half of them occur
-        t = texts[rng.integers(len(texts))]
-        if len(t) >= width:
-            a = rng.integers(len(t) - width + 1)
-            patterns[row] = t[a : a + width]
-    matched, low, high = index.search(patterns)
-    for p, m, a, b in zip(patterns.tolist(), matched, low, high, strict=True):
-        places = [(i, s) for i, t in enumerate(texts) for s in range(len(t) - width + 1) if t[s : s + width] == p]
-        suffix = max(k for k in range(width + 1) if k == 0 or any(t[s : s + k] == p[width - k :] for t in texts for s in range(len(t))))
-        assert m == suffix
-        if m == width:
-            assert b - a == len(places)
-            assert index.first_owner(np.array([a]), np.array([b]))[0] == min(owners[i] for i, _ in places)
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=30), min_size=1, max_size=12), st.integers(1, 9), st.integers(0, 1000))
+def test_matching_statistics_equal_brute_force(texts, depth, seed):
+    owners = np.random.default_rng(seed).integers(0, 6, len(texts))
+    flat, lengths = np.concatenate([np.array(t) for t in texts]), np.array([len(t) for t in texts])
+    got = FMIndex(flat, lengths, owners, depth).matching_statistics(flat, lengths, owners)
+    want = []
+    for i, t in enumerate(texts):
+        known = {tuple(u[a : a + k]) for j, u in enumerate(texts) if owners[j] < owners[i] for k in range(1, depth + 1) for a in range(len(u) - k + 1)}
+        want += [max([k for k in range(1, depth + 1) if s + k <= len(t) and tuple(t[s : s + k]) in known], default=0) for s in range(len(t))]
+    assert got.tolist() == want
+
+
+def test_texts_other_than_the_indexed_ones_can_be_streamed():
+    index = FMIndex(np.array([1, 2, 3, 4, 5, 1, 2, 9]), np.array([5, 3]), np.array([0, 1]), 4)
+    assert index.matching_statistics(np.array([9, 1, 2, 3, 4, 5, 5, 1, 2]), np.array([9]), np.array([2])).tolist() == [1, 4, 4, 3, 2, 1, 1, 2, 1]
+
+
+def test_the_index_decides_what_is_repeated(monkeypatch):
+    # one content holds another's windows beside words of its own: only the search tells
+    a, b = [bytes(np.arange(x, x + 15, dtype="<u8")) for x in (100, 101)]
+    rows = pa.table({"gram": [1, 1], "content": [a, b], "doc": [1, 2], "doc_key": [11, 22], "starts": [[0], [7]], "windows": pa.array([3, 3], pa.int32())})
+    rows = rows.set_column(4, "starts", pa.array([[0], [7]], pa.list_(pa.int32())))
+    assert shard_search(13)(rows).to_pylist() == [{"doc_key": 22, "start": 7, "windows": 2}]
+    monkeypatch.setattr(FMIndex, "extended", lambda self, words, low, high: (low, low))
+    assert shard_search(13)(rows).num_rows == 0
+
+
+def test_word_hashes(monkeypatch):
+    texts = ["one two\tone", None, "", " \n ", "x", "one", "two two  ", "Füße 中文\x0bone", "w" * 50 + " one"] * 3
+    want = [w for t in texts for w in (t or "").encode().split()]
+    for chunk in (1 << 20, 7, 1):
+        monkeypatch.setattr(fmindex, "CHUNK", chunk)
+        monkeypatch.setattr(fmindex, "POWERS", {fmindex.BASE: fmindex.powers(1, 0), fmindex.INVERSE: fmindex.powers(1, 0)})
+        hashes, ends = hashed_words(pa.array(texts, pa.string()).cast(pa.binary()))
+        assert np.diff(ends).tolist() == [len((t or "").encode().split()) for t in texts]
+        named = {}
+        assert all(named.setdefault(w, h) == h for w, h in zip(want, hashes.tolist(), strict=True))
+        assert len(set(named.values())) == len(named)
+
+
+def test_ids_of_another_type(spark):
+    rows = made(3)
+    docs = spark.createDataFrame([(f"d{i:04}", t) for i, t in rows], "doc_id string, text string")
+    want = Counter((f"d{i:04}", n, gone, kept) for (i, n, gone, kept) in plain(rows, 13).elements())
+    assert rows_of(dedup_substrings(docs, 13)) == want
 
 
 def test_ranks():
