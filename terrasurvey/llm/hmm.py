@@ -16,6 +16,8 @@ from .common import stored, table
 
 #: Counts of states and classes travel in blocks of this many numbers.
 BLOCK = 4096
+#: Steps are worked through in chunks of about so many tokens: the state of a recursion is kept between chunks, its steps only within one.
+CHUNK = 400_000
 
 
 @dataclass
@@ -30,6 +32,8 @@ def packed(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     lengths = np.array([len(s) for s in sequences])
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
     begins = np.concatenate(([0], np.cumsum(active)))
+    if len(sequences) == 1:
+        return sequences[0], begins, active, np.zeros(lengths[0], np.int8)
     who = np.repeat(np.arange(len(sequences)), lengths)
     at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     tokens, owner = np.empty(lengths.sum(), np.int64), np.empty(lengths.sum(), np.int64)
@@ -38,44 +42,83 @@ def packed(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tokens, begins, active, owner
 
 
-def forward(model: Model, tokens, begins, active) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(emissions, scaled forward probabilities, scales) of packed sequences."""
-    emit = model.emit[tokens]
-    alpha, scale = np.empty_like(emit), np.empty(len(tokens))
-    for t, n in enumerate(active):
-        b = begins[t]
+def chunks_of(begins: np.ndarray) -> list[tuple[int, int]]:
+    """(first step, end) of runs of steps of at most CHUNK tokens, or of one step."""
+    out, at, steps = [], 0, len(begins) - 1
+    while at < steps:
+        to = max(at + 1, int(np.searchsorted(begins, begins[at] + CHUNK, "right")) - 1)
+        out.append((at, to))
+        at = to
+    return out
+
+
+def forward(model: Model, tokens, begins, active, chunk, entering) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(emissions, scaled forward probabilities, scales) of the steps of a chunk; entering: the probabilities of the step before it."""
+    at, to = chunk
+    first = begins[at]
+    emit = model.emit[tokens[first : begins[to]]]
+    alpha, scale = np.empty_like(emit), np.empty(len(emit))
+    before = entering
+    for t in range(at, to):
+        b, n = begins[t] - first, active[t]
         here = alpha[b : b + n]
-        np.multiply(alpha[begins[t - 1] : begins[t - 1] + n] @ model.step if t else model.start[None, :], emit[b : b + n], out=here)
+        np.multiply(before[:n] @ model.step if t else model.start[None, :], emit[b : b + n], out=here)
         s = here.sum(axis=1)
         scale[b : b + n] = s
         here /= s[:, None]
+        before = here
     return emit, alpha, scale
 
 
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural logarithms of the probabilities of sequences, longest first."""
     tokens, begins, active, owner = packed(sequences)
-    _, _, scale = forward(model, tokens, begins, active)
-    return np.bincount(owner, np.log(scale), len(sequences))
+    out, entering = np.zeros(len(sequences)), None
+    for at, to in chunks_of(begins):
+        _, alpha, scale = forward(model, tokens, begins, active, (at, to), entering)
+        entering = alpha[len(alpha) - active[to - 1] :].copy()
+        out += np.bincount(owner[begins[at] : begins[to]], np.log(scale), len(sequences))
+    return out
 
 
 def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, steps and emissions (the Baum-Welch E-step) of sequences, longest first."""
+    """Expected counts of starts, steps and emissions (the Baum-Welch E-step) of sequences, longest first.
+
+    Of a long sequence only the forward probabilities between chunks are kept; those within a chunk are worked out again on the way back.
+    """
     tokens, begins, active, _ = packed(sequences)
-    emit, alpha, scale = forward(model, tokens, begins, active)
-    beta = np.ones_like(alpha)
-    ahead = emit / scale[:, None]
-    for t in range(len(active) - 1, 0, -1):
-        b, n, a = begins[t], active[t], begins[t - 1]
-        ahead[b : b + n] *= beta[b : b + n]
-        np.matmul(ahead[b : b + n], model.step.T, out=beta[a : a + n])
-    later = np.arange(begins[1] if len(begins) > 1 else 0, len(tokens))
-    before = later - np.repeat(active[:-1], active[1:]) if len(active) else later
-    steps = (alpha[before].T @ ahead[later]) * model.step
-    alpha *= beta
-    states, classes = model.emit.shape[1], len(model.emit)
-    emissions = np.stack([np.bincount(tokens, alpha[:, k], classes) for k in range(states)], axis=1)
-    return alpha[: active[0] if len(active) else 0].sum(axis=0), steps, emissions
+    classes, states = model.emit.shape
+    starts, steps, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+    chunks, entering, found = chunks_of(begins), [None], None
+    for at, to in chunks:
+        found = forward(model, tokens, begins, active, (at, to), entering[-1])
+        entering.append(found[1][len(found[1]) - active[to - 1] :].copy())
+    after = None
+    for i in range(len(chunks) - 1, -1, -1):
+        at, to = chunks[i]
+        emit, alpha, scale = found if found else forward(model, tokens, begins, active, (at, to), entering[i])
+        found, first = None, begins[at]
+        beta, ahead = np.ones_like(alpha), emit / scale[:, None]
+        if after is not None:  # from the chunk behind
+            last = begins[to - 1] - first
+            beta[last : last + len(after)] = after
+        for t in range(to - 1, at, -1):
+            b, n, a = begins[t] - first, active[t], begins[t - 1] - first
+            ahead[b : b + n] *= beta[b : b + n]
+            np.matmul(ahead[b : b + n], model.step.T, out=beta[a : a + n])
+        n = active[at]
+        ahead[:n] *= beta[:n]
+        if at:
+            after = ahead[:n] @ model.step.T
+            steps += entering[i][:n].T @ ahead[:n]
+        later = np.arange(n, len(alpha))
+        steps += alpha[later - np.repeat(active[at : to - 1], active[at + 1 : to])].T @ ahead[later]
+        alpha *= beta
+        here = tokens[first : begins[to]]
+        emissions += np.stack([np.bincount(here, alpha[:, k], classes) for k in range(states)], axis=1)
+        if not at:
+            starts += alpha[:n].sum(axis=0)
+    return starts, steps * model.step, emissions
 
 
 def in_groups(sequences: list[np.ndarray], most: int = 300_000):
@@ -187,17 +230,33 @@ def expectation(training: DataFrame, model: Model, prior: np.ndarray) -> Model:
     return updated(flat[:a], flat[a:b].reshape(states, states), flat[b:].reshape(classes, states), prior)
 
 
-def score(docs: DataFrame, held_out, states: int = 8, rounds: int = 4, own: int = 6143, shapes: int = 2048, head: int = 1 << 17, sample_rows: int = 400) -> DataFrame:
+def start_texts(training: DataFrame, sample_rows: int, sample_tokens: int) -> list[np.ndarray]:
+    """Whole texts to fit the first model on: distinct ones in the order of a hash of what they say, so that they don't depend on how rows are laid out.
+
+    At most sample_rows texts and about sample_tokens tokens: a text that would take more than what is left of them is passed over, but one is always taken.
+    """
+    every = max(1, training.count() // (4 * sample_rows))
+    keyed = training.select(F.xxhash64("seq").alias("_key"), "n_tokens", "seq").where(F.pmod("_key", F.lit(every)) == 0)
+    chosen, left = [], sample_tokens
+    for r in keyed.select("_key", "n_tokens").distinct().orderBy("_key", "n_tokens").limit(sample_rows).collect():
+        if r["n_tokens"] <= left or not chosen:
+            chosen.append(r["_key"])
+            left -= r["n_tokens"]
+    rows = keyed.where(F.col("_key").isin(chosen)).dropDuplicates(["_key"]).select("_key", "seq").collect()
+    return [np.frombuffer(bytes(r["seq"]), "<u2").astype(np.int64) for r in sorted(rows, key=lambda r: r["_key"])]
+
+
+def score(docs: DataFrame, held_out, states: int = 8, rounds: int = 4, own: int = 6143, shapes: int = 2048, head: int = 1 << 17, sample_rows: int = 400, sample_tokens: int = 4_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; base-10 logarithms.
 
     held_out: a condition; texts for which it is false or null train the model. Tokens are the words of the text with A-Z lower-cased and one
     end. The `own` most frequent words have a class each, all other words one of `shapes` classes by their last bytes, the end its own.
     Hidden states emit classes, and a class emits its words by their smoothed share of it (one share for all words that were never seen), so
     the score is the probability of the words themselves. Baum-Welch rounds run over all training texts; only where they start from is
-    fitted on a bounded sample (about sample_rows texts). The `head` most frequent words are looked up in each task (a bounded table); the counts
+    fitted on a bounded sample of whole texts (sample_rows texts and sample_tokens tokens at most, chosen by what they say). The `head` most frequent words are looked up in each task (a bounded table); the counts
     of all others come by a join, which every occurrence takes part in.
 
-    Null and blank texts have the end as their only token; very long texts are scored whole; equal rows get equal rows, as each row has a key of
+    Null and blank texts have the end as their only token; very long texts are scored whole, in bounded memory; equal rows get equal rows, as each row has a key of
     its own; an empty table gives no rows; columns other than doc_id and text (and those of the condition) don't matter.
     """
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
@@ -261,9 +320,7 @@ def score(docs: DataFrame, held_out, states: int = 8, rounds: int = 4, own: int
     encoded = stored(docs.select("doc_id", "held_out", F.col("text").cast("binary")).mapInArrow(encode, fields))
 
     training = encoded.where("not held_out")
-    every = max(1, training.count() // sample_rows)
-    sample = training.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select(F.substring("seq", 1, 4000).alias("seq")).limit(2 * sample_rows).collect()
-    model = first_model([np.frombuffer(bytes(r["seq"]), "<u2").astype(np.int64) for r in sample], states, prior)
+    model = first_model(start_texts(training, sample_rows, sample_tokens), states, prior)
     for _ in range(rounds):
         model = expectation(training, model, prior)
 

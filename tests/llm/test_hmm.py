@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from llm.rows import documents, odd
+from terrasurvey.llm import hmm
 from terrasurvey.llm.hmm import Model, expected, log_likelihoods, op5_hmm, score
 
 
@@ -62,6 +63,31 @@ def test_probabilities_sum_to_one(spark):
     assert 0.9 < total <= 1 + 1e-9
 
 
+def test_scores_do_not_depend_on_how_rows_are_laid_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = []
+    for n in (1, 7, 64):
+        got = score(docs.repartition(n), F.crc32(F.col("doc_id").cast("string")) % 5 == 1, states=4, rounds=2, sample_rows=100).collect()
+        seen.append({r.doc_id: r.score for r in got})
+    for other in seen[1:]:
+        assert other.keys() == seen[0].keys()
+        assert all(math.isclose(other[i], x, rel_tol=1e-7) for i, x in seen[0].items())
+
+
+def test_chunks_of_steps_give_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = Model(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((9, 3)), 0))
+    for lengths in ([5000], [300, 200, 200, 17, 1], [1, 1]):
+        sequences = [rng.integers(0, 9, n) for n in lengths]
+        monkeypatch.setattr(hmm, "CHUNK", 400_000)
+        whole = [log_likelihoods(model, sequences), *expected(model, sequences)]
+        for size in (1, 7, 256):
+            monkeypatch.setattr(hmm, "CHUNK", size)
+            for a, b in zip([log_likelihoods(model, sequences), *expected(model, sequences)], whole, strict=True):
+                assert np.allclose(a, b, rtol=1e-10)
+
+
 def test_recursions_equal_sums_over_paths():
     rng = np.random.default_rng(3)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
