@@ -9,16 +9,15 @@ from hypothesis import strategies as st
 from llm.rows import documents, odd
 from terrasurvey.llm.packing import pack, packing_plan, pieces
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def test_ids_are_those_of_tokenizers(spark):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ["a  b\n \n c d", "x<|endoftext|>y 'll it's 12345", ""]
-    rows = pieces(documents(spark, list(enumerate(texts))), RANKS, 1024, 2, with_ids=True).collect()
+    t = Tokenizer.from_file(PATHS[0])
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ["a  b\n \n c d", "x<|endoftext|>y 'll it's 12345", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>\n", "<|endoftext|", "Füße <|endoftext|> 中文", ""]
+    rows = pieces(documents(spark, list(enumerate(texts))), *PATHS, 1024, 2, with_ids=True).collect()
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
         assert r.start == len(got[r.doc_id]) and r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
@@ -43,16 +42,16 @@ def check(rows, capacity):
 
 def test_sequences_have_no_gaps(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    rows = pack(docs, RANKS).collect()
+    rows = pack(docs, *PATHS).collect()
     assert check(rows, 1024) <= 1.02 * sum(r.length for r in rows) / 1024 + 2
 
 
 def test_odd_rows(spark):
-    rows = pack(documents(spark, odd(["alpha", "beta"])), RANKS, capacity=100).collect()
+    rows = pack(documents(spark, odd(["alpha", "beta"])), *PATHS, capacity=100).collect()
     check(rows, 100)
     assert sum(r.length == 1 and r.ids_crc32 == zlib.crc32(np.array([2], "<u4").tobytes()) for r in rows) >= 2
     assert sum(r.doc_id == 6 for r in rows) == 2
-    assert pack(documents(spark, []), RANKS).count() == 0
+    assert pack(documents(spark, []), *PATHS).count() == 0
 
 
 @settings(max_examples=40, deadline=None)
