@@ -29,6 +29,33 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the columns has, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """left joined with right by key, keys with very many rows spread over tasks. right has a row for each key, with the number of left's rows (`count`).
+
+    rows: how many rows left has. A key is spread if it has over a ten-thousandth of them (1000 at least), so that fewer than 10,000 keys are
+    broadcast; its rows are dealt to parts by all their values, and its row on the right is repeated for each part.
+    """
+    most = max(1000, rows // 10_000)
+    parts, part = fresh([*left.columns, *right.columns], "parts", "part")
+    hot = right.where(F.col(count) > most).select(key, F.ceil(F.col(count) / most).cast("int").alias(parts))
+    n = F.coalesce(F.col(parts), F.lit(1))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn(part, F.pmod(F.xxhash64(*left.columns), n).cast("int")).drop(parts)
+    every = F.when(F.col(count) > most, F.ceil(F.col(count) / most).cast("int")).otherwise(1)
+    repeated = right.withColumn(part, F.explode(F.sequence(F.lit(0), every - 1)))
+    return dealt.join(repeated, [key, part]).drop(part)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
-from .common import stored, table
+from .common import fresh, spread_join, stored, table
 
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -16,21 +16,31 @@ SPACE = b" \t\n\r\x0b\x0c"
 def windows(text: bytes, min_words: int) -> list[tuple[int, int, list[bytes], int]]:
     """(first line, last line, lines, fingerprint) of every window of a text.
 
-    Lines without a word don't count. A window is the shortest run of lines from its first that holds min_words words; near the
-    end, where no run does, there is none, unless the whole text holds fewer: then it is one window. Its fingerprint is the least of its lines' hashes.
+    Lines without a word don't count. A window is the shortest run of lines from its first that holds min_words words, or the shortest such
+    run up to its last; a text of fewer words is one window. The window's fingerprint is the least of its lines' hashes.
     """
-    lines = [(i, x.strip(SPACE), len(x.split())) for i, x in enumerate(text.split(b"\n")) if x.split()]
+    lines = [(i, x.strip(SPACE), n) for i, x in enumerate(text.split(b"\n")) if (n := len(x.split()))]
     hashes = [xxh64_intdigest(x) - (1 << 63) for _, x, _ in lines]
-    out, end, words = [], 0, 0
+    spans, end, words = set(), 0, 0
     for start in range(len(lines)):
         while words < min_words and end < len(lines):
             words += lines[end][2]
             end += 1
-        if words < min_words and start:
+        if words < min_words:
+            if not start:
+                spans.add((start, end))
             break
-        out.append((lines[start][0], lines[end - 1][0], [x for _, x, _ in lines[start:end]], min(hashes[start:end])))
+        spans.add((start, end))
         words -= lines[start][2]
-    return out
+    start, words = 0, 0
+    for end in range(1, len(lines) + 1):
+        words += lines[end - 1][2]
+        while words - lines[start][2] >= min_words:
+            words -= lines[start][2]
+            start += 1
+        if words >= min_words:
+            spans.add((start, end))
+    return [(lines[a][0], lines[b - 1][0], [x for _, x, _ in lines[a:b]], min(hashes[a:b])) for a, b in sorted(spans)]
 
 
 def repeated(docs: DataFrame, min_words: int) -> DataFrame:
@@ -52,12 +62,13 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
 
     fields = f"doc_id {kind}, text_hash long, first int, last int, print long, window binary"
     all_windows = stored(docs.select("doc_id", "text_hash", F.col("text").cast("binary")).mapInArrow(cut, fields))
-    # fingerprints at one place only cannot belong to a repeat; the others' windows are compared as a whole
-    often = all_windows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    met = all_windows.join(often, "print").select("window", F.struct("doc_id", "text_hash", "first").alias("place"), "last")
-    earliest = met.groupBy("window").agg(F.min("place").alias("earliest"))
-    later = met.join(earliest, "window").where(F.col("place") != F.col("earliest"))
-    # windows that overlap or touch extend a match both ways
+    # fingerprints at one place only cannot belong to a repeat; the positions of the others meet
+    often = all_windows.groupBy("print").agg(F.count("*").alias("often")).where("often > 1")
+    met = spread_join(all_windows, often, "print", "often", all_windows.count()).select("window", F.struct("doc_id", "text_hash", "first").alias("place"), "last")
+    # a match at a fingerprint is extended over the lines before and behind it: the earliest place at which all lines of a window agree
+    earliest = met.groupBy("window").agg(F.min("place").alias("earliest"), F.count("*").alias("often")).where("often > 1")
+    later = spread_join(met, earliest, "window", "often", all_windows.count()).where(F.col("place") != F.col("earliest"))
+    # windows that overlap or touch make up the longest match
     return later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash")).agg(F.sort_array(F.collect_list(F.struct(F.col("place.first").alias("first"), "last"))).alias("runs"))
 
 
@@ -65,10 +76,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """docs without later repeats of runs of lines; adds n_lines and n_removed (lines with a word before, and deleted).
 
     A run of lines that holds at least min_words words is a repeat if the same lines stand at an earlier place: in a document with a
-    smaller doc_id, or further up in the same one. Winnowing finds all of them: each window of lines selects the least of its line
-    hashes as its fingerprint, and equal windows select equal fingerprints. Only windows whose fingerprint occurs elsewhere are
-    compared, as a whole, with the earliest place of the same window, so that thousands of copies give as many comparisons and
-    no pairs. Overlapping windows are deleted together, as the longest match.
+    smaller doc_id, or further up in the same one. All lines of all such runs go. Winnowing finds them: each window of lines selects the least of
+    its line hashes as its fingerprint, and equal windows select equal fingerprints, so only positions whose fingerprint occurs elsewhere meet.
+    A match is extended both ways from the fingerprint by the windows that hold it, from their first line on and up to their last one: every
+    line of a longest match lies in such a window that is part of the match, and none beyond it does. Each window is compared with the earliest
+    place of the same lines, so that thousands of copies give as many comparisons and no pairs. Very frequent fingerprints and windows are
+    spread over tasks.
 
     Lines are compared without white space at their ends; lines without a word stay. Null text stays null, blank texts stay as they are; a
     very long text is compared whole; null doc_ids come first; rows with equal doc_id and text are one document and get equal results; an
@@ -77,9 +90,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*columns)
     runs = stored(repeated(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), min_words))
-    runs = runs.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("runs").alias("_runs"))
-    base = docs.withColumn("_hash_of", F.xxhash64("text"))
-    joined = base.join(runs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash_of") == F.col("_hash")), "left").drop("_doc", "_hash", "_hash_of")
+    doc, text_hash, found, own_hash = fresh(columns, "_doc", "_hash", "_runs", "_own_hash")
+    runs = runs.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("runs").alias(found))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own_hash) == F.col(text_hash))
+    joined = docs.withColumn(own_hash, F.xxhash64("text")).join(runs, same, "left").drop(doc, text_hash, own_hash)
     at = columns.index("text")
 
     def delete(batches):
@@ -119,6 +133,10 @@ WITH cut AS (
   SELECT a.doc_id, a.k AS first, COALESCE(min(b.k), CASE WHEN a.k = 1 THEN any_value(a.n) END) AS last
   FROM lines a LEFT JOIN lines b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.words >= 10
   GROUP BY a.doc_id, a.k
+  UNION
+  SELECT b.doc_id, max(a.k) AS first, b.k AS last
+  FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.words >= 10
+  GROUP BY b.doc_id, b.k
 ), windows AS (
   SELECT s.doc_id, s.first, s.last, string_agg(l.line, chr(10) ORDER BY l.k) AS content
   FROM spans s JOIN lines l ON s.doc_id = l.doc_id AND l.k BETWEEN s.first AND s.last WHERE s.last IS NOT NULL
