@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 
+#: The ends of the range of a score.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, dims, vector): floor(scale * x) of each component as 64-bit numbers; vectors null or with null or non-finite components are left out."""
+    """(vec_id, dims, vector): floor(scale * x) of each component as doubles, which hold these whole numbers exactly.
+
+    Vectors null or with null or non-finite components and rows without a vec_id are left out.
+    """
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
     def run(batches):
         for batch in batches:
             column = batch.column(1)
             sizes = column.value_lengths().to_numpy()
-            whole = np.floor(column.flatten().to_numpy() * scale).astype("<i8")
+            most = np.finfo(float).max
+            whole = np.clip(np.floor(column.flatten().to_numpy() * scale), -most, most) + 0.0
             ends = np.cumsum(sizes)
             rows = [whole[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), pa.array(rows, pa.binary())], ["vec_id", "dims", "vector"])
@@ -26,67 +34,92 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return vectors.where(sound).select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(run, f"vec_id {kind}, dims int, vector binary").distinct()
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, first: float = 0.125, few: int = 64) -> list[tuple]:
-    """(query, candidate, score) of each query's k best candidates, with ties by the smaller id, among the rows of one shard.
+class SortedLists:
+    """A shard's rows as one list for each dimension, sorted by this component; an entry has the row and its component.
 
-    Each dimension is a list of the candidates sorted by this component, which a query reads from the top if its own component is
-    positive, else from the bottom. At some depth a candidate's score is at least what has been read of it, with the lists' last values for the
-    rest, and at most that with the values the lists stand at. Depth grows until only a few candidates have an upper bound that reaches
-    the k-th best lower bound; these are all that can qualify, and their scores are then worked out in full.
+    Beside the entries a row's squared length is known when the row is first seen.
     """
-    n, d = vectors.shape
-    exact = int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(d, 1) < 2**52
-    v, q = (vectors.astype(float), queries.astype(float)) if exact else (vectors, queries)
-    order = np.argsort(-vectors, axis=0, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(n)[:, None].repeat(d, axis=1), axis=0)
-    ranked = np.take_along_axis(v, order, axis=0)
-    out, left, depth = [], np.arange(len(query_ids)), max(k + 1, int(n * first))
-    up, down = np.maximum(q, 0).T, np.minimum(q, 0).T  # by list: what reads it from the top, and from the bottom
-    while len(left):
-        depth = min(depth, n)
-        last = depth >= n
-        top, bottom = place < depth, place >= n - depth
-        read = np.concatenate((v * top, v * bottom, top, bottom), axis=1) if not last and exact else None
-        u, w = up[:, left], down[:, left]
-        if read is None:
-            low = high = v @ q[left].T
-        else:
-            ends = (ranked[-1][:, None] * u, ranked[0][:, None] * w)
-            at = (ranked[depth - 1][:, None] * u, ranked[n - depth][:, None] * w)
-            low = read @ np.concatenate((u, w, -ends[0], -ends[1])) + ends[0].sum(axis=0) + ends[1].sum(axis=0)
-            high = read @ np.concatenate((u, w, -at[0], -at[1])) + at[0].sum(axis=0) + at[1].sum(axis=0)
-        own = ids[:, None] == query_ids[left][None, :]
-        low = np.where(own, -np.inf, low) if exact else np.where(own, np.iinfo(np.int64).min, low)
-        kth = np.partition(low, n - min(k, n), axis=0)[n - min(k, n)]
-        may = (high >= kth[None, :]) & ~own
-        done = []
-        for j in np.flatnonzero((may.sum(axis=0) <= few + k) | last):
-            rows = np.flatnonzero(may[:, j])
-            scores = vectors[rows] @ queries[left[j]]
-            best = np.lexsort((ids[rows], -scores))[:k]
-            out += [(query_ids[left[j]], ids[rows[i]], int(scores[i])) for i in best]
-            done.append(j)
-        left = np.delete(left, done)
-        depth *= 2
-    return out
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.whole = ids, vectors
+        self.n, self.d = vectors.shape
+        # bounds are worked out on numbers of at most 1, so that no sum is too large
+        self.shift = int(np.frexp(np.abs(vectors).max(initial=0))[1])
+        small = np.ldexp(vectors, -self.shift)
+        falling = np.argsort(-small, axis=0, kind="stable").T
+        values = np.take_along_axis(small.T, falling, axis=1)
+        self.lists = {True: (falling.copy(), values.copy()), False: (falling[:, ::-1].copy(), values[:, ::-1].copy())}
+        self.squares = (small**2).sum(axis=1)
+
+    def search(self, query_id, query: np.ndarray, k: int, few: int = 64) -> tuple[list[tuple], int]:
+        """([(candidate, score)] of the k best rows but the query's own, ties by the smaller id; entries read).
+
+        Each list is read from its top if the query's component is positive, else from its bottom, block after block, always the one whose
+        unread entries may still differ most. A row's score lies around the sum of what was read of it, by at most the product of the lengths
+        of the query's and the row's parts not read yet; that of a row not seen in any list is also at most the sum of where the lists
+        stand. Reading stops when all but a few rows have an upper bound below the k-th best lower bound; the few that are left can
+        qualify, and their scores are resolved exactly.
+        """
+        n, d = self.n, self.d
+        scaled = np.ldexp(query, -int(np.frexp(np.abs(query).max(initial=0))[1]))
+        lists = [(self.lists[x >= 0][0][j], self.lists[x >= 0][1][j]) for j, x in enumerate(scaled)]
+        front = np.array([x * v[0] for x, (_, v) in zip(scaled, lists, strict=True)])
+        back = np.array([x * v[-1] for x, (_, v) in zip(scaled, lists, strict=True)])
+        total, read_q, read_v, place = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(d, np.int64)
+        length = float((scaled**2).sum())
+        slack = 1e-9 * (np.sqrt(length * self.squares) + 1e-300)
+        own = self.ids == query_id
+        block, rounds, read = max(64, -(-n // 16)), max(1, d // 2), 0
+        may = np.flatnonzero(~own)
+        while len(may) > few + k and (place < n).any():
+            for _ in range(rounds):
+                j = int(np.argmax(np.where(place < n, front - back, -1.0)))
+                at, to = place[j], min(n, place[j] + block)
+                if at >= n:
+                    break
+                rows, x = lists[j][0][at:to], lists[j][1][at:to]
+                total[rows] += scaled[j] * x
+                read_q[rows] += scaled[j] ** 2
+                read_v[rows] += x * x
+                place[j], read = to, read + int(to - at)
+                front[j] = scaled[j] * lists[j][1][to] if to < n else back[j]
+            rest_q, rest_v = np.maximum(length - read_q, 0) + 1e-13 * length, np.maximum(self.squares - read_v, 0) + 1e-13 * self.squares
+            apart = np.sqrt(rest_q * rest_v) + slack
+            seen = read_q > 0
+            high = np.where(seen, total + apart, np.minimum(apart, front.sum() + slack))
+            low = np.where(own, -np.inf, total - apart)
+            kth = np.partition(low, n - min(k, n))[n - min(k, n)]
+            may = np.flatnonzero((high >= kth) & ~own)
+        scores = self.resolved(may, query)
+        best = sorted(zip(scores, self.ids[may].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
+        return [(i, s) for s, i in best], read
+
+    def resolved(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
+        """Exact scores; those beyond the range of a long are its ends."""
+        chosen = self.whole[rows]
+        if np.abs(chosen).max(initial=0) * np.abs(query).max(initial=0) * max(self.d, 1) < 2**52:
+            return (chosen @ query).astype(np.int64).tolist()
+        whole = [int(x) for x in query]
+        return [min(max(sum(int(a) * b for a, b in zip(row, whole, strict=True)), LEAST), MOST) for row in chosen]
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_rows: int = 16_384, block_queries: int = 4_096) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that is_query holds for, the k other rows with the largest inner products.
+    """(query_id, rank, vec_id, score, n_read): for each row that is_query holds for, the k other rows with the largest inner products.
 
     All rows are dealt to shards of about shard_rows by a hash of vec_id, the queries to blocks of about block_queries; a task
-    searches one shard for one block, and the shards' best are merged by query. Scores are integers and exact.
+    searches one shard's sorted lists for one block, and the shards' best are merged by query. Scores are integers and exact; n_read counts
+    the list entries that were read for the query in all shards (all would be rows times dimensions).
 
-    Vectors that are null or hold null or non-finite components take no part; only vectors of the same length are compared; ties go to the
-    smaller vec_id; a repeated row counts once; an empty table gives no rows; columns other than vec_id and embedding (and those of the condition)
-    don't matter.
+    Vectors that are null or hold null or non-finite components take no part, nor do rows with a null vec_id; only vectors of the same length
+    are compared; ties go to the smaller vec_id; a repeated row counts once; rows of one vec_id and different vectors are candidates each,
+    and as queries share one ranking, never with each other; a score beyond the range of a long counts as the end of the range; an empty table
+    gives no rows; columns other than vec_id and embedding (and those of the condition) don't matter.
     """
     whole = stored(quantised(vectors, scale))
-    asked = whole.where(is_query)
+    asked = whole.where(is_query).select(F.col("vec_id").alias("query_id"), (F.col("dims") + 0).alias("dims"), F.col("vector").alias("query"))
     shards, blocks = max(1, -(-whole.count() // shard_rows)), max(1, -(-asked.count() // block_queries))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     # each shard meets each block of the stated query set
     left = whole.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -96,21 +129,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_rows
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(candidates) and len(queries):
-            candidates = candidates.sort_values("vec_id")
-            d = int(candidates["dims"].iloc[0])
-            matrix = lambda x: np.frombuffer(b"".join(x), "<i8").reshape(len(x), d)
-            v, q = matrix(candidates["vector"]), matrix(queries["vector"])
-            for i in range(0, len(q), 64):
-                rows += search(candidates["vec_id"].to_numpy(), v, queries["vec_id"].to_numpy()[i : i + 64], q[i : i + 64], k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+            matrix = lambda x: np.frombuffer(b"".join(x), "<f8").reshape(len(x), int(candidates["dims"].iloc[0]))
+            lists = SortedLists(candidates["vec_id"].to_numpy(), matrix(candidates["vector"]))
+            for query_id, query in zip(queries["query_id"].tolist(), matrix(queries["query"]), strict=True):
+                found, read = lists.search(query_id, query, k)
+                rows += [(query_id, i, s, read if j == 0 else 0) for j, (i, s) in enumerate(found)]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "n_read"])
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score long, n_read long")
+    by_query = Window.partitionBy("query_id")
+    found = found.withColumn("n_read", F.sum("n_read").over(by_query))
+    rank = F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_read")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).drop("n_read")
 
 
 OP6_SQL = """
