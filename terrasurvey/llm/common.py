@@ -40,8 +40,8 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: int) -> DataFrame:
-    """left joined with right by key, keys with very many rows spread over tasks. right has a row for each key, with the number of left's rows (`count`).
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined with right by key (inner or left), keys with very many rows spread over tasks. right has a row for each key, with the number of left's rows (`count`).
 
     rows: how many rows left has. A key is spread if it has over a ten-thousandth of them (1000 at least), so that fewer than 10,000 keys are
     broadcast; its rows are dealt to parts by all their values, and its row on the right is repeated for each part.
@@ -53,7 +53,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: i
     dealt = left.join(F.broadcast(hot), key, "left").withColumn(part, F.pmod(F.xxhash64(*left.columns), n).cast("int")).drop(parts)
     every = F.when(F.col(count) > most, F.ceil(F.col(count) / most).cast("int")).otherwise(1)
     repeated = right.withColumn(part, F.explode(F.sequence(F.lit(0), every - 1)))
-    return dealt.join(repeated, [key, part]).drop(part)
+    return dealt.join(repeated, [key, part], how).drop(part)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

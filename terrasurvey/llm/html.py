@@ -1,54 +1,56 @@
-"""Main text of web pages: markup that is never content goes, and lines shared with the page of the nearest URL go."""
+"""Main text of web pages: markup that is never content goes, and lines shared with the pages of the nearest URLs go."""
 
 import re
-from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import stored, table
+from .common import spread_join, stored, table
 
-# Element names of HTML, and words that sites use to name parts of a page.
+# Element names of HTML, roles, and names that say by themselves that an element is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("textarea title xmp noembed noframes".split())
 DROPPED = frozenset("head noscript template title nav footer aside form button select textarea datalist iframe object svg canvas audio video map dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-PARTS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs masthead footer "
-    "comment comments commentlist disqus replies respond cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations popular trending popup modal overlay widget toolbar pagination pager search skip copyright legal disclaimer".split()
-)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = frozenset("ad ads advert adverts advertisement sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment comments cookie cookies notice newsletter related share pagination".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-#: The largest number of pages of one host whose lines meet in one task, about.
-TOGETHER = 400
+#: Ranks of pages are followed in blocks of so many.
+RANKS = 1 << 16
+#: Matrices of aligned lines up to so many bits are kept whole.
+BITS = 1 << 28
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?>[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""")
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW | {"script", "style"}}
 
 
 def is_part(attributes: str) -> bool:
-    """Whether an element's attributes name it as something beside the content."""
+    """Whether an element's attributes name it as something beside the content: its role, or a whole class or id."""
     if not attributes or attributes.isspace():
         return False
     found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or "display:none" in found.get("style", "").replace(" ", ""):
         return True
-    names = found.get("class", "") + " " + found.get("id", "")
-    return any(word in PARTS for word in re.split(r"[^a-z]+", names))
+    return not PARTS.isdisjoint((found.get("class", "") + " " + found.get("id", "")).split())
 
 
 def lines_of(html: str | None) -> list[tuple[str, int]]:
-    """(line, place) of a page, block by block: place is 2 in its article or main element, 1 elsewhere, 0 in elements that are never content."""
+    """(line, place) of a page, block by block: place is 2 in its article or main element, 1 elsewhere, 0 in elements that are never content.
+
+    Time is linear in the page, whatever is left open: a tag, comment or script that never ends takes the rest of the page. Of the header of an
+    article its headings are content.
+    """
     html = html or ""
     out: list[tuple[str, int]] = []
-    open_tags: list[tuple[str, int, int]] = []  # name, 1 if dropped, 1 if main
-    dropped = main = 0
+    open_tags: list[tuple[str, str]] = []  # name, and what it does to the text in it
+    names: Counter[str] = Counter()
+    state = {"dropped": 0, "main": 0, "header": 0, "heading": 0, "": 0}
     words: list[str] = []
     at, n = 0, len(html)
 
@@ -56,47 +58,67 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
         text = " ".join(unescape("".join(words)).split())
         words.clear()
         if text:
-            out.append((text, 0 if dropped else 2 if main else 1))
+            seen = not state["dropped"] and (not state["header"] or state["heading"])
+            out.append((text, (2 if state["main"] else 1) if seen else 0))
 
     while at < n:
-        m = TAG.search(html, at)
-        if not m:
+        m = html.find("<", at)
+        if m < 0:
             words.append(html[at:])
             break
-        if m.start() > at:
-            words.append(html[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        words.append(html[at:m])
+        after = html[m + 1 : m + 2]
+        letter = html[m + 2 : m + 3] if after == "/" else after
+        if after in ("!", "?") or after == "/" and letter and not (letter.isascii() and letter.isalpha()):
+            end = "-->" if html.startswith("<!--", m) else ">"
+            close = html.find(end, m + 2)
+            at = close + len(end) if close >= 0 else n
             continue
+        if not (letter.isascii() and letter.isalpha()):
+            words.append("<")
+            at = m + 1
+            continue
+        tag = TAG.match(html, m)
+        if not tag:
+            break
+        at, name = tag.end(), tag[2].lower()
         if name in ("script", "style"):  # leaves no trace, also within a block
-            if not m[1]:
-                close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            if not tag[1]:
+                close = CLOSING[name].search(html, at)
                 at = close.end() if close else n
             continue
         if name not in INLINE:
             end_block()
         elif name == "br":
             words.append(" ")
-        if m[1]:
-            k = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), -1)
-            if k >= 0:
-                end = [x for x in open_tags[k:] if x[1] or x[2]]
-                if end:
+        if tag[1]:
+            if names[name]:
+                k = len(open_tags) - 1
+                while open_tags[k][0] != name:
+                    k -= 1
+                if any(effect for _, effect in open_tags[k:]):
                     end_block()
-                dropped -= sum(x[1] for x in end)
-                main -= sum(x[2] for x in end)
+                for other, effect in open_tags[k:]:
+                    names[other] -= 1
+                    state[effect] -= 1
                 del open_tags[k:]
-        elif name not in VOID and not m[3].endswith("/"):
-            inside = name in ("article", "main")
-            out_of_text = name in DROPPED or (name == "header" and not main) or (name not in ("html", "body", "main") and is_part(m[3]))
-            if out_of_text or inside:
+        elif name not in VOID and not tag[3].endswith("/"):
+            effect = ""
+            if name in ("article", "main"):
+                effect = "main"
+            if name in DROPPED or (name not in ("html", "body", "main") and is_part(tag[3])):
+                effect = "dropped"
+            elif name == "header":
+                effect = "header" if state["main"] else "dropped"
+            elif name in HEADINGS:
+                effect = "heading"
+            if effect:
                 end_block()
-            open_tags.append((name, int(out_of_text), int(inside)))
-            dropped += out_of_text
-            main += inside
+            open_tags.append((name, effect))
+            names[name] += 1
+            state[effect] += 1
             if name in RAW:  # no markup inside
-                close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                close = CLOSING[name].search(html, at)
                 at = close.start() if close else n
     end_block()
     return out
@@ -105,74 +127,155 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
 def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """A longest common subsequence of two lists of lines, as positions in both.
 
-    Lines that only one page has cannot take part. For lines that a page repeats, the k-th of one page is aligned with the k-th of the other.
+    Rows of the matrix of lengths are bit vectors (a zero where the length grows). Large matrices are halved first: the place in b at which the
+    first half of a ends is where the lengths from both sides add up to the most.
     """
-    places = defaultdict(list)
-    for j, x in enumerate(b):
-        places[x].append(j)
-    used: dict[int, int] = defaultdict(int)
-    pairs = []
-    for i, x in enumerate(a):
-        if used[x] < len(places.get(x, ())):
-            pairs.append((i, places[x][used[x]]))
-            used[x] += 1
-    tails: list[int] = []
-    ends: list[int] = []
-    before = [-1] * len(pairs)
-    for p, (_, j) in enumerate(pairs):
-        k = bisect_left(tails, j)
-        if k == len(tails):
-            tails.append(j)
-            ends.append(p)
-        else:
-            tails[k], ends[k] = j, p
-        before[p] = ends[k - 1] if k else -1
-    p, out = ends[-1] if ends else -1, []
-    while p >= 0:
-        out.append(pairs[p])
-        p = before[p]
-    return out[::-1]
-
-
-def differenced(pages: pd.DataFrame, reach: int = 5) -> pd.DataFrame:
-    """(page, shared): of the pages of one group, sorted by URL path, the lines that each shares with its neighbours.
-
-    Neighbours whose own text is largely the same (copies of an article) tell nothing about templates and are passed over, up to `reach` on
-    either side. A line outside article and main goes if the nearest other page has it; one inside only if the nearest on both sides have it.
+    both = set(a) & set(b)
+    x, y = [i for i, v in enumerate(a) if v in both], [j for j, v in enumerate(b) if v in both]
+
+    def rows(left: list[int], right: list[int]) -> list[int]:
+        places: dict[int, int] = {}
+        for j, v in enumerate(right):
+            places[v] = places.get(v, 0) | 1 << j
+        full, row, out = (1 << len(right)) - 1, (1 << len(right)) - 1, []
+        for v in left:
+            met = row & places.get(v, 0)
+            row = ((row + met) | (row - met)) & full
+            out.append(row)
+            if len(left) * len(right) > BITS:
+                out = out[-1:]
+        return out
+
+    def lengths(left: list[int], right: list[int]) -> list[int]:
+        row, out = rows(left, right)[-1], [0]
+        for bit in reversed(bin(row | 1 << len(right))[3:]):
+            out.append(out[-1] + (bit == "0"))
+        return out
+
+    def align(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+        if not x or not y:
+            return []
+        left, right = [a[i] for i in x], [b[j] for j in y]
+        if len(x) * len(y) > BITS and len(x) > 1:
+            half = len(x) // 2
+            before, behind = lengths(left[:half], right), lengths(left[half:][::-1], right[::-1])
+            cut = max(range(len(y) + 1), key=lambda j: before[j] + behind[len(y) - j])
+            return align(x[:half], y[:cut]) + align(x[half:], y[cut:])
+        if len(x) == 1:
+            return [(x[0], y[right.index(left[0])])] if left[0] in right else []
+        grown, out, i, j = rows(left, right), [], len(x), len(y)
+        while i and j:
+            if grown[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or grown[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((x[i], y[j]))
+        return out[::-1]
+
+    return align(x, y)
+
+
+def are_copies(a: dict, b: dict) -> bool:
+    """Whether half or more of the text of one page that is not common on the host is also on the other."""
+    own = [{v: n for v, n, place, rare in zip(p["lines"], p["sizes"], p["places"], p["rare"], strict=True) if place and rare} for p in (a, b)]
+    shared = sum(n for v, n in own[0].items() if v in own[1])
+    return shared > 0 and 2 * shared >= min(sum(x.values()) for x in own)
+
+
+def shared_lines(page: dict, back: dict | None, on: dict | None) -> list[int]:
+    """Positions of the lines that go: outside article and main those that the neighbour with the nearer URL has, inside those that both have
+    and that are common on the host.
+
+    An article is left whole if it would lose half of its text or more: a template is never most of an article.
     """
-    pages = pages.sort_values(["path", "page"]).reset_index(drop=True)
-    lines = [x.tolist() for x in pages["lines"]]
-    inside = [x.tolist() for x in pages["places"]]
-    own = [{x for x, p in zip(a, b, strict=True) if p} for a, b in zip(lines, inside, strict=True)]
-
-    def near(i: int, way: int) -> set[int] | None:
-        for j in range(i + way, i + way * (reach + 1), way):
-            if not 0 <= j < len(lines):
-                return None
-            if 2 * len(own[i] & own[j]) < max(1, min(len(own[i]), len(own[j]))):
-                return {p for p, _ in common(lines[i], lines[j])}
-        return None
-
-    out = []
-    for i in range(len(lines)):
-        back, on = near(i, -1), near(i, 1)
-        both = (back or set()) & (on or set())
-        one = back if back is not None else on or set()
-        out.append([p for p, place in enumerate(inside[i]) if place and p in (both if place == 2 else one)])
-    return pd.DataFrame({"page": pages["page"], "shared": out})
-
-
-def extract(pages: DataFrame, together: int = TOGETHER) -> DataFrame:
+    sides = [x for x in (back, on) if x]
+    if not sides:
+        return []
+
+    def alike(other: dict) -> int:
+        p, q = page["path"], other["path"]
+        return next((i for i, (c, d) in enumerate(zip(p, q, strict=False)) if c != d), min(len(p), len(q)))
+
+    met = [{i for i, _ in common(page["lines"], x["lines"])} for x in sides]
+    nearest = met[max(range(len(sides)), key=lambda k: (alike(sides[k]), -k))]
+    both = {i for i in met[0] & met[1] if not page["rare"][i]} if len(met) == 2 else set()
+    places, sizes = page["places"], page["sizes"]
+    if 2 * sum(sizes[i] for i in both if places[i] == 2) >= sum(n for n, p in zip(sizes, places, strict=True) if p == 2):
+        both = set()
+    return [i for i, p in enumerate(places) if p and i in (both if p == 2 else nearest)]
+
+
+def with_neighbours(pages: DataFrame) -> DataFrame:
+    """(class, path, lines, places, sizes, rare, back, on): of the distinct pages, the pages of the nearest URLs that are not copies of theirs.
+
+    Pages are ranked by host and path: sorted in ranges, with the ranges' sizes added up. Pages next to each other that are copies make a
+    run, and the neighbours of all pages of a run are the page before it and the page behind it, however long it is. Nothing is
+    gathered by host, and what is next to a page does not depend on how many pages there are.
+    """
+    first = pages.groupBy("class").agg(F.min(F.struct("path", "page")).alias("first"), F.first("host").alias("host"))
+    order = ["host", "path", "class"]
+    ranked = first.select("host", F.col("first.path").alias("path"), "class", F.col("first.page").alias("page")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranked = stored(ranked.withColumn("id", F.monotonically_increasing_id()).select("page", "id"))
+    sizes = ranked.groupBy(F.shiftright("id", 33).alias("range")).agg(F.count("*").alias("n"))
+    # a row for each range of the sort, of which there are as many as partitions
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    ranked = ranked.withColumn("range", F.shiftright("id", 33)).join(F.broadcast(before), "range")
+    ranked = ranked.select("page", (F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    distinct = stored(pages.dropDuplicates(["page"]).join(ranked, "page").drop("page"))
+    n = distinct.count()
+
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("n"))
+    own = F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "places"), lambda x: x["places"] > 0), lambda x: x["lines"]))
+    often = distinct.select("host", F.explode(own).alias("line")).groupBy("host", "line").agg(F.count("*").alias("often")).where("often >= 3")
+    usual = spread_join(often, hosts, "host", "n", n).where("2 * often > n").groupBy("host").agg(F.collect_set("line").alias("usual"))
+    hosts = hosts.join(usual, "host", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<long>")))
+    rare = F.transform("lines", lambda x: ~F.array_contains("usual", x))
+    known = stored(spread_join(distinct, hosts, "host", "n", n).withColumn("rare", rare).drop("usual", "n"))
+
+    page = F.struct("host", "path", "lines", "places", "sizes", "rare")
+    here, behind = known.select("rank", page.alias("a")), known.select((F.col("rank") - 1).alias("rank"), page.alias("b"))
+
+    def copies(batches):
+        for batch in batches:
+            flags = [are_copies(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(flags, pa.bool_()))], ["rank"])
+
+    joined = here.join(behind, "rank").where("a.host = b.host").select("rank", "a", "b").mapInArrow(copies, "rank long")
+    ranks = known.select("rank").join(joined.select((F.col("rank") + 1).alias("rank"), F.lit(True).alias("copy")), "rank", "left")
+    # where each run begins and the next one does: within blocks of ranks, then from block to block
+    cut = F.when(F.col("copy").isNull(), F.col("rank"))
+    ranks = stored(ranks.select("rank", F.floor(F.col("rank") / RANKS).alias("block"), cut.alias("cut")))
+    blocks = ranks.groupBy("block").agg(F.min("cut").alias("low"), F.max("cut").alias("high"))
+    in_order = Window.orderBy("block")  # a row for each block of RANKS pages
+    blocks = blocks.select("block", F.max("high").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("former"), F.min("low").over(in_order.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
+    inside = Window.partitionBy("block").orderBy("rank")
+    begin = F.max("cut").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.min("cut").over(inside.rowsBetween(1, Window.unboundedFollowing))
+    runs = ranks.select("rank", "block", begin.alias("begin"), end.alias("end")).join(blocks, "block")
+    runs = runs.select("rank", (F.coalesce("begin", "former") - 1).alias("before"), F.coalesce("end", "next").alias("after"))
+    asked = known.join(runs, "rank")
+    for side, name in (("before", "back"), ("after", "on")):
+        times = runs.groupBy(side).agg(F.count("*").alias("times"))
+        other = known.select(F.col("rank").alias(side), F.struct("host", "path", "lines").alias(name)).join(times, side)
+        asked = spread_join(asked, other, side, "times", n, "left").drop("times", side)
+    same = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), F.col(side)).alias(side)
+    return asked.select("class", "path", "lines", "places", "sizes", "rare", same("back"), same("on"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page: its lines, joined by line feeds.
 
-    Pages are grouped by host and paired by URL path: sorted by path, each page is compared with the nearest page before and after it.
-    Their lines (as hashes) are aligned by a longest common subsequence and shared lines are deleted. Large hosts are split by
-    directory and by ever longer prefixes of the last part of the path, so that near URLs stay together, and, if that is not enough,
-    by a hash. Elements that are never content by their name, class or role are left out; if a page marks its article or main
-    part, only that counts.
+    Pages are paired by URL path within each host: each page is compared with the nearest pages before and behind it in the order of paths that
+    are not copies of it. Their lines (as hashes) are aligned by a longest common subsequence and shared lines are deleted, so that what a
+    site repeats goes, whatever its markup. Two pages are copies if they share half or more of the text that is not common on the host
+    (on three pages and over half of them); copies tell nothing about templates and are passed over. Elements that are never
+    content by their name, role, or a class or id that is such a name as a whole are left out. If half or more of what is left lies in article or
+    main elements, only that counts.
 
-    Null html gives an empty text; a null or odd url is a host of its own kind; very long pages are read whole; repeated rows are each
-    other's copies and delete nothing; an empty table gives no rows; columns other than page_id, url and html don't matter.
+    Null html gives an empty text; a null or odd url is a host of its own kind; very long pages are read whole, in linear time; repeated rows are
+    each other's copies and delete nothing; an empty table gives no rows; columns other than page_id, url and html don't matter.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     keyed = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -180,35 +283,35 @@ def extract(pages: DataFrame, together: int = TOGETHER) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            hashes, places = [], []
-            for html in batch.column(1).to_pylist():
-                found = lines_of(html)
-                hashes.append([hash_of(x) for x, _ in found])
-                places.append([p for _, p in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["page", "url", "lines", "places"])
-
-    hashed = keyed.select(row.alias("page"), "html", "url").mapInArrow(read, "page long, url string, lines array<long>, places array<int>")
+            found = [lines_of(html) for html in batch.column(1).to_pylist()]
+            hashes = pa.array([[hash_of(x) for x, _ in lines] for lines in found], pa.list_(pa.int64()))
+            places = pa.array([[p for _, p in lines] for lines in found], pa.list_(pa.int32()))
+            sizes = pa.array([[len(x) for x, _ in lines] for lines in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), hashes, places, sizes], ["page", "url", "lines", "places", "sizes"])
+
+    hashed = keyed.select(row.alias("page"), "html", "url").mapInArrow(read, "page long, url string, lines array<long>, places array<int>, sizes array<int>")
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
     host, path = F.lower(F.substring_index(bare, "/", 1)), F.regexp_replace(bare, r"^[^/]*", "")
-    last = F.regexp_extract(path, r"([^/]*)/?$", 1)
-    hashed = stored(hashed.withColumn("host", host).withColumn("path", path).withColumn("folder", F.regexp_replace(path, r"[^/]*/?$", "")).withColumn("last", last))
-    by_folder = hashed.groupBy("host", "folder").agg(F.count("*").alias("_n"))
-    depth = F.when(F.col("_n") <= together, 0).otherwise(F.ceil(F.log10(F.col("_n") / together))).cast("int")
-    cut = hashed.join(by_folder.withColumn("_depth", depth), ["host", "folder"]).withColumn("prefix", F.substring(F.col("last"), F.lit(1), F.col("_depth")))
-    by_prefix = hashed.join(by_folder.withColumn("_depth", depth), ["host", "folder"]).withColumn("prefix", F.substring(F.col("last"), F.lit(1), F.col("_depth")))
-    by_prefix = by_prefix.groupBy("host", "folder", "prefix").agg(F.ceil(F.count("*") / (4 * together)).cast("int").alias("_parts"))
-    cut = cut.join(by_prefix, ["host", "folder", "prefix"]).withColumn("part", F.pmod(F.xxhash64("path", "page"), F.col("_parts")).cast("int"))
-    keys = ["host", "folder", "prefix", "part"]
-    shared = cut.select(*keys, "path", "page", "lines", "places").groupBy(*keys).applyInPandas(lambda group: differenced(group), "page long, shared array<int>")
-    shared = stored(shared.where(F.size("shared") > 0).dropDuplicates(["page"]))
+    hashed = stored(hashed.select("page", host.alias("host"), path.alias("path"), F.xxhash64(host, "lines", "places").alias("class"), "lines", "places", "sizes"))
+
+    def compare(batches):
+        for batch in batches:
+            out = [shared_lines(r, r["back"], r["on"]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["class", "shared"])
+
+    of_class = stored(with_neighbours(hashed).mapInArrow(compare, "class long, shared array<int>").where(F.size("shared") > 0))
+    members = hashed.select("page", "class").distinct()
+    times = members.groupBy("class").agg(F.count("*").alias("times"))
+    shared = stored(spread_join(members, of_class.join(times, "class"), "class", "times", hashed.count()).select("page", "shared"))
 
     def write(batches):
         for batch in batches:
             out = []
             for html, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found, gone = lines_of(html), set(gone or ())
-                least = 2 if any(p == 2 for _, p in found) else 1
-                out.append("\n".join(x for i, (x, p) in enumerate(found) if p >= least and i not in gone))
+                gone = set(gone or ())
+                left = [(x, p) for i, (x, p) in enumerate(lines_of(html)) if p and i not in gone]
+                chars = [sum(len(x) for x, p in left if p == k) for k in (1, 2)]
+                out.append("\n".join(x for x, p in left if p == 2 or chars[1] < chars[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     # pages with shared lines are told to each task if they are few, else joined by a shuffle

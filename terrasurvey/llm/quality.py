@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -22,7 +22,7 @@ class Text:
         self.n = len(self.words)
 
     def word_chars(self) -> int:
-        return len(b"".join(self.words).decode())
+        return len(b"".join(self.words).decode(errors="replace"))
 
     def symbols(self) -> int:
         return sum(self.raw.count(bytes([c])) for c in SYMBOLS)
@@ -118,7 +118,7 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = Non
     Base: fewer than 50 words, or over half of them in repeated 3-word windows. What passes goes through the cascade, which stops at the
     first rule that rejects it; rejected_by names it ('base' for the base, null if kept).
 
-    Null and blank texts have no words and fail the base; a very long text is judged whole; equal rows get equal rows; an empty
+    Null and blank texts have no words and fail the base; a very long text is judged whole; bytes that are no UTF-8 count as one character each; equal rows get equal rows; an empty
     table gives no rows; columns other than doc_id and text don't matter.
     """
     rules = rules or RULES
@@ -143,19 +143,20 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = Non
 
 
 def keep(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = None, sample_rows: int = 2000) -> DataFrame:
-    """The documents that pass base and cascade, with all their columns."""
+    """The documents that pass base and cascade, with all their columns, whatever their names; odd rows as in judge()."""
     rules = rules or RULES
     order = [rules[name] for name in cascade(docs, rules, sample_rows)]
 
     def run(batches):
         for batch in batches:
             kept = []
-            for raw in batch.column("_raw").to_pylist():
+            for raw in batch.column(batch.num_columns - 1).to_pylist():
                 t = Text(raw)
                 kept.append(t.n >= 50 and not any(rule(t) for rule in order) and 100 * t.repeat_words() <= 50 * t.n)
-            yield batch.filter(pa.array(kept, pa.bool_())).drop_columns(["_raw"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], docs.columns).filter(pa.array(kept, pa.bool_()))
 
-    return docs.withColumn("_raw", F.col("text").cast("binary")).mapInArrow(run, docs.schema)
+    (raw,) = fresh(docs.columns, "raw")
+    return docs.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, docs.schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 from html import unescape
 
+from terrasurvey.llm import html
 from terrasurvey.llm.html import common, extract, lines_of, op3_html
 
 
@@ -17,7 +19,7 @@ def test_query_equals_the_article_of_each_page(spark):
 
 
 def test_markup():
-    page = """<!DOCTYPE html><html><head><title>T</title></head><body><header>H</header><div class="site-nav">N</div><p>one&nbsp;&amp; <i>two</i><br>three
+    page = """<!DOCTYPE html><html><head><title>T</title></head><body><header>H</header><div class="main nav">N</div><p>one&nbsp;&amp; <i>two</i><br>three
     <p>four<script>var x = "</p>";</script> five<ul><li>six<li>seven</ul><div id='comments'><div>no</div>no</div><form>no</form>
     <div class="loaded header2">eight &#233;&lt;b&gt;</div><!-- no <p> --><footer>F</footer><div hidden>no</div><p role="alert">no"""
     assert [x for x, place in lines_of(page) if place] == ["one & two three", "four five", "six", "seven", "eight é<b>"]
@@ -25,16 +27,60 @@ def test_markup():
     assert lines_of("<main>x<aside>y</aside></main>z") == [("x", 2), ("y", 0), ("z", 1)]
 
 
-def test_common_is_a_longest_common_subsequence():
+def test_common_is_a_longest_common_subsequence(monkeypatch):
     rng = random.Random(2)
-    for _ in range(300):
-        a, b = ([x for x in rng.sample(range(12), rng.randint(0, 10))] for _ in range(2))
+    for turn in range(400):
+        a, b = ([rng.randint(0, rng.choice([2, 12])) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        monkeypatch.setattr(html, "BITS", turn % 2 * 1000)  # with and without halving
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         got = common(a, b)
-        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got) and got == sorted(got)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(p < q and r < t for (p, r), (q, t) in zip(got, got[1:]))
+    assert len(common([1, 2, 1], [2, 1])) == 2
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_what_differs_decides_not_the_markup(spark):
+    # one line that all pages have and one of their own: a template that is half of each page
+    rows = [(i, f"http://a.example/{i:02d}/story", f"<body><p>All rights and every menu of this site<p>Own story number {i}</body>") for i in range(60)]
+    # copies with small changes in a long row, each alone in its folder; their template is unmarked
+    rows += [(100 + i, f"http://b.example/{i:02d}/x", f"<div>Menu of b</div><div>the same long story told on many pages</div><div>told at {i} o'clock</div>") for i in range(20)]
+    rows += [(200 + i, f"http://b.example/9{i:02d}/x", f"<div>Menu of b</div><div>quite another story {i} that stands alone</div>") for i in range(30)]
+    texts = texts_of(spark, rows)
+    assert all(texts[i] == f"Own story number {i}" for i in range(60))
+    assert all(texts[100 + i] == f"the same long story told on many pages\ntold at {i} o'clock" for i in range(20))
+    assert all(texts[200 + i] == f"quite another story {i} that stands alone" for i in range(30))
+
+
+def test_names_that_only_hold_a_word_lose_nothing(spark):
+    rows = [
+        (1, "http://a.example/", '<div class="layout has-sidebar"><article><header>Site<h2>Title</h2>by me</header><p>the text</article></div>'),
+        (2, "http://b.example/", '<section id="legal-analysis"><p>the analysis</section>'),
+        (3, "http://c.example/", "<article>teaser</article><div><p>the body of the page is much longer<p>than its teaser</div>"),
+        (4, "http://d.example/", "<p>text</ p><p>more</><a href='x>y'>link</a> <b title=it's>bold</b></p>"),
+    ]
+    assert texts_of(spark, rows) == {1: "Title\nthe text", 2: "the analysis", 3: "teaser\nthe body of the page is much longer\nthan its teaser", 4: "text\nmorelink bold"}
+
+
+def test_time_is_linear_in_odd_pages():
+    for odd in ("<a b ", "<a b='", '<a b="', "<!-- ", "<div>", "</x>", "<div></b>", "<p class=", "&amp", "<script>", "<b><i>x</b>", "<", "</"):
+        page = "start" + odd * (400_000 // len(odd))
+        began = time.process_time()
+        lines_of(page)
+        assert time.process_time() - began < 5
+
+
+def test_a_page_of_many_lines_is_compared_whole(spark):
+    long = "".join(f"<p>line {i}" for i in range(20_000))
+    rows = [(1, "http://a.example/1", "<p>menu" + long), (2, "http://a.example/2", "<p>menu<p>short"), (3, "http://a.example/3", "<p>menu<p>other")]
+    texts = texts_of(spark, rows)
+    assert texts[1].startswith("line 0\n") and texts[1].endswith("line 19999") and texts[2] == "short"
 
 
 def test_lines_shared_with_the_nearest_url_go(spark):
@@ -44,8 +90,10 @@ def test_lines_shared_with_the_nearest_url_go(spark):
     rows = [(i, f"http://a.example/x/{i:04d}", page(i, 4)) for i in range(40)]
     rows += [(100, "http://b.example/x/1", page(1, 4)), (101, "http://c.example/1", page(7, 3)), (102, "http://c.example/2", page(7, 3)), (103, None, None), (104, "http://c.example/3", ""), (104, "http://c.example/3", "")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
-    for together in (400, 5):
-        got = extract(pages, together).collect()
+    for parts in (4, 23):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = extract(pages).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
         assert len(got) == len(rows) and set(extract(pages).columns) == {"page_id", "url", "text"}
         texts = {r.page_id: r.text for r in got}
         for i in range(40):
