@@ -21,7 +21,7 @@ PARTS = frozenset("ad ads advert adverts advertisement sponsored promo sidebar n
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 #: Ranks of pages are followed in blocks of so many.
-RANKS = 1 << 16
+RANKS = 1 << 12
 #: Matrices of aligned lines up to so many bits are kept whole.
 BITS = 1 << 28
 
