@@ -146,6 +146,7 @@ def keep(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = None
     """The documents that pass base and cascade, with all their columns, whatever their names; odd rows as in judge()."""
     rules = rules or RULES
     order = [rules[name] for name in cascade(docs, rules, sample_rows)]
+    columns = docs.columns
 
     def run(batches):
         for batch in batches:
@@ -153,7 +154,7 @@ def keep(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = None
             for raw in batch.column(batch.num_columns - 1).to_pylist():
                 t = Text(raw)
                 kept.append(t.n >= 50 and not any(rule(t) for rule in order) and 100 * t.repeat_words() <= 50 * t.n)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], docs.columns).filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], columns).filter(pa.array(kept, pa.bool_()))
 
     (raw,) = fresh(docs.columns, "raw")
     return docs.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, docs.schema)

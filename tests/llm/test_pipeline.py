@@ -1,15 +1,37 @@
 from collections import Counter, defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from llm.test_lines import plain as without_repeats
-from llm.test_simhash import plain_print, roots
 from terrasurvey.llm.mixing import mix
 from terrasurvey.llm.quality import RULES, Text
 
 
+def similar(texts):
+    """Of each text the index of the first one that it is linked to, directly or by way of others, by five-word shingles and 0.8 or more."""
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, first = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and both >= 0.8 * len(a | sets[j]) - 1e-9:
+                x, y = sorted((top(i), top(j)))
+                first[y] = x
+    return [top(i) for i in range(len(texts))]
+
+
 def test_run_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -17,13 +39,11 @@ def test_run_equals_brute_force(spark):
     lines = without_repeats(list(kept.items()), 10)
     left = {i: t for i, t in lines.items() if t == kept[i] or any(x.strip() for x in t.split("\n"))}
     ids = sorted(left)
-    first = roots([plain_print(left[i]) for i in ids], ids)
-    unique = [i for i, c in zip(ids, first, strict=True) if i == c]
+    unique = [i for k, (i, c) in enumerate(zip(ids, similar([left[i] for i in ids]), strict=True)) if k == c]
     # the mix is tested on its own: here its copies of the brute-force documents
     frame = spark.createDataFrame([(i, left[i], rows[i].source) for i in unique], "doc_id long, text string, source string")
     copies = {r.doc_id: r.copies for r in mix(frame).collect()}
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter({i: n * (len(t.encode(left[i], add_special_tokens=False).ids) + 1) for i, n in copies.items() if n})
     got, places = Counter(), defaultdict(list)
     for r in corpus_pipeline.run(spark, sf).collect():
@@ -38,14 +58,38 @@ def test_run_equals_brute_force(spark):
         assert end <= 1024
 
 
-def test_stages_keep_the_columns_and_stand_empty_tables(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, "").columns == docs.columns
-        assert stage(spark, docs.limit(0), "").count() == 0
-    odd = docs.limit(0).unionByName(spark.createDataFrame([(1, None, None, None, None), (2, "", "en", None, 0), (None, "x " * 60, "en", "a", 120), (3, "y " * 60, "en", "a", 120)], docs.schema))
+#: Columns beside those of documents, with names that stages use themselves.
+CLASHING = ["_row", "rest", "_ROOT", "copies", "_class", "n_lines", "n_removed", "raw", "_copy", "size", "hash", "piece"]
+
+
+def table_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("-"))).alias(c) for c in CLASHING])
+
+
+def test_odd_rows_in_every_stage(spark):
+    one = " ".join(f"word{i} text{i} line{i} here" for i in range(30))
+    two = " ".join(f"other{i} words{i} in{i} there" for i in range(30))
+    long = " ".join(f"tok{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (3, " \n ", "en", "a", 3), (4, one, "en", "a", len(one)), (4, one, "en", "a", len(one))]
+    rows += [(4, two, "en", "b", len(two)), (None, one, "en", "a", len(one)), (None, long, None, None, len(long)), (9, long + " end", "en", "b", 4 + len(long))]
+    docs = table_of(spark, rows)
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    whole = Counter((r[0], r[1]) for r in rows)
+    quality, lines, near, mixed = (stage(spark, docs, "") for _, stage in corpus_pipeline.STAGES[:-1])
+    for out in (quality, lines, near, mixed):
+        assert out.columns == docs.columns
+        assert all(r[c] == f"{c}:{r.text if out is not lines else r[c].split(':', 1)[1]}" for r in out.where("text is not null").collect() for c in CLASHING)
+    assert texts(quality) == Counter({k: n for k, n in whole.items() if k[1] and k[1].split()})
+    # texts of one line: what stands with an earlier id (null first) goes as a whole, and the document with it
+    assert texts(lines) == Counter({(1, None): 1, (2, ""): 1, (3, " \n "): 1, (None, one): 1, (4, two): 1, (None, long): 1, (9, long + " end"): 1})
+    blank = [k for k in texts(near) if not (k[1] or "").split()]
+    assert blank == [(1, None)] and texts(near) == Counter({(1, None): 1, (4, one): 1, (4, two): 1, (9, long + " end"): 1})
+    assert set(texts(mixed)) <= set(whole) and all(n <= 3 * whole[k] for k, n in texts(mixed).items())
+    packed = corpus_pipeline.best_fit_packing(spark, docs, "").collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows)
     for _, stage in corpus_pipeline.STAGES:
-        stage(spark, odd, "").collect()
+        assert stage(spark, docs.limit(0), "").count() == 0
 
 
 def test_near_copies_leave_one(spark):
