@@ -3,15 +3,34 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Burn order of the label classes; classes not named burn last.
+#: Burn order of the label classes; classes not named are left out.
 PRIORITY = ("vineyard", "interrow_area", "waste", "row")
 
 
+def rank_of(label: str) -> Column:
+    """A label's place in the burn order; null for labels that are not burnt."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), F.col(label)), F.lit(0))
+
+
 def burn(pixels: DataFrame, place: list[str], order: str) -> DataFrame:
-    """The label that each pixel ends up with: classes burn by priority, then in the given order; later ones overwrite."""
-    at = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("label"))
-    rank = F.when(at > 0, at).otherwise(99)
-    return pixels.groupBy(*place).agg(F.max_by("label", F.struct(rank, order)).alias("label"))
+    """The label that each pixel ends up with: classes burn by priority, then in the given order; later ones overwrite. Other labels are left out."""
+    return pixels.where(rank_of("label").isNotNull()).groupBy(*place).agg(F.max_by("label", F.struct(rank_of("label"), order)).alias("label"))
+
+
+def burnt_runs(runs: DataFrame, keys: list[str], line: str, order: str) -> DataFrame:
+    """(keys, line, start, end, label): what runs of pixels (from start, before end) on each line look like when all are burnt.
+
+    Between two neighbouring ends of runs nothing changes, so only these pieces are judged, not pixels: the work follows the number of runs on a
+    line and not how long they are.
+    """
+    known = runs.where(rank_of("label").isNotNull())
+    ends = known.select(*keys, line, F.explode(F.array("start", "end")).alias("from")).distinct()
+    upto = F.lead("from").over(Window.partitionBy(*keys, line).orderBy("from"))
+    ends = ends.withColumn("to", upto).where("to is not null").groupBy(*keys, line).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("pieces"))
+    inside = F.filter("pieces", lambda p: (p["from"] >= F.col("start")) & (p["to"] <= F.col("end")))
+    piece = known.join(ends, [*keys, line]).withColumn("p", F.explode(inside))
+    top = piece.groupBy(*keys, line, "p").agg(F.max_by("label", F.struct(rank_of("label"), order)).alias("label"))
+    return top.select(*keys, line, F.col("p.from").alias("start"), F.col("p.to").alias("end"), "label")
 
 
 def vegetation_index(r: Column, g: Column, b: Column) -> Column:

@@ -28,15 +28,28 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, strict: bool = Fals
     return a.join(b, ["_cx", "_cy"]).where(inside & corner).drop("_cx", "_cy")
 
 
-def first_containing(points: DataFrame, areas: DataFrame, point_id: str, cell: float) -> DataFrame:
-    """(point_id, area): the first area, by `place`, whose closed ring covers each point; null without one. areas: area, place, ring."""
+def mean_extent(boxes: DataFrame, least: float = 1.0) -> float:
+    """The mean of the longer sides of boxes: a cell of this size is shared by few of them and cuts few of them into many parts."""
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return max(least, boxes.agg(F.avg(size)).first()[0] or least)
+
+
+def first_containing(points: DataFrame, areas: DataFrame, point_id: str, cell: float | None = None) -> DataFrame:
+    """(point_id, area): the first area, by `place`, whose closed ring covers each point; null without one. areas: area, place, ring.
+
+    Points and areas meet in the cells of a grid, by default as large as areas are on average. Within a cell the bounds are compared
+    first, so that rings are only tested for the few areas around a point; points at one place are tested once.
+    """
     b = areas.withColumn("b", g.bounds(F.col("ring"))).select("area", "place", "ring", "b.*")
+    cell = cell or mean_extent(b)
     b = b.withColumn("_cx", F.explode(cells(F.col("x0"), F.col("x1"), cell))).withColumn("_cy", F.explode(cells(F.col("y0"), F.col("y1"), cell)))
-    p = points.withColumn("_cx", F.floor(F.col("x") / cell).cast("long")).withColumn("_cy", F.floor(F.col("y") / cell).cast("long"))
-    edge = F.exists(g.pairs(F.col("ring")), lambda s: g.segment_distance(F.col("x"), F.col("y"), s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) <= 1e-9)
-    hits = p.join(b, ["_cx", "_cy"]).where(g.contains(F.col("ring"), F.col("x"), F.col("y")) | edge)
-    found = hits.groupBy(point_id).agg(F.min_by("area", "place").alias("area"))
-    return points.select(point_id).join(found, point_id, "left")
+    p = points.select("x", "y").distinct().withColumn("_cx", F.floor(F.col("x") / cell).cast("long")).withColumn("_cy", F.floor(F.col("y") / cell).cast("long"))
+    near = 1e-9
+    edge = F.exists(g.pairs(F.col("ring")), lambda s: g.segment_distance(F.col("x"), F.col("y"), s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) <= near)
+    around = F.col("x").between(F.col("x0") - near, F.col("x1") + near) & F.col("y").between(F.col("y0") - near, F.col("y1") + near)
+    hits = p.join(b, (p._cx == b._cx) & (p._cy == b._cy) & around).where(g.contains(F.col("ring"), F.col("x"), F.col("y")) | edge)
+    found = hits.groupBy("x", "y").agg(F.min_by("area", "place").alias("area"))
+    return points.select(point_id, "x", "y").join(found, ["x", "y"], "left").select(point_id, "area")
 
 
 def nearest_on_axis(points: DataFrame, rows: DataFrame, keys: list[str], offset: str, reach: float) -> DataFrame:

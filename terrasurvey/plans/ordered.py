@@ -141,8 +141,10 @@ def path(spark, sf_dir):
   s AS (SELECT *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len FROM seg WHERE x2 IS NOT NULL),
   d AS (SELECT *, COALESCE(sum(len) OVER (PARTITION BY route_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
   t AS (SELECT s_suppkey AS target_id, CAST(s_suppkey * 13 % 61 AS DOUBLE) AS tx, CAST(s_suppkey * 17 % 43 AS DOUBLE) AS ty FROM supplier),
-  m AS (SELECT route_id, target_id, before, len, (x2 - x) * (x2 - x) + (y2 - y) * (y2 - y) AS a, 2 * ((x - tx) * (x2 - x) + (y - ty) * (y2 - y)) AS b, (x - tx) * (x - tx) + (y - ty) * (y - ty) - 4 AS c FROM d, t),
-  e AS (SELECT *, CASE WHEN c <= 1e-9 THEN 0.0::DOUBLE WHEN a > 0 AND b * b - 4 * a * c >= 0 AND (-b - sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) BETWEEN 0 AND 1 THEN (-b - sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) END AS t FROM m)
+  m AS (SELECT route_id, target_id, before, len, (x2 - x) * (x2 - x) + (y2 - y) * (y2 - y) AS a, (x - tx) * (x2 - x) + (y - ty) * (y2 - y) AS b,
+    (x - tx) * (x - tx) + (y - ty) * (y - ty) - 4 AS c FROM d, t),
+  r AS (SELECT *, (-b - sqrt(greatest(b * b - a * c, 0))) / nullif(a, 0) AS place FROM m),
+  e AS (SELECT *, CASE WHEN c <= 1e-9 THEN 0.0::DOUBLE WHEN b * b - a * c >= -1e-9 AND place BETWEEN -1e-9 AND 1 + 1e-9 THEN greatest(0, least(1, place)) END AS t FROM r)
   SELECT route_id, target_id, round(min(before + t * len), 6) AS distance_m FROM e WHERE t IS NOT NULL GROUP BY 1, 2""")
 def w05(spark, sf_dir):
     t = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target_id"), (F.col("s_suppkey") * 13 % 61).cast("double").alias("x"), (F.col("s_suppkey") * 17 % 43).cast("double").alias("y"))

@@ -68,7 +68,7 @@ def points(spark, sf_dir):
 def j09(spark, sf_dir):
     b = kinds(spark, sf_dir, "vineyard")
     ring = g.box_ring(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    return spatial.first_containing(points(spark, sf_dir), b.select(F.col("id").alias("area"), F.col("id").alias("place"), ring.alias("ring")), "id", 16.0)
+    return spatial.first_containing(points(spark, sf_dir), b.select(F.col("id").alias("area"), F.col("id").alias("place"), ring.alias("ring")), "id")
 
 
 @query("j10_commune_and_district", f"""WITH {SQL_BOXES}, {SQL_POINTS}, c AS (SELECT p.id, min(b.id) AS a FROM points p LEFT JOIN boxes b ON b.label = 'vineyard' AND p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1 GROUP BY 1),
@@ -76,7 +76,7 @@ def j09(spark, sf_dir):
   SELECT id, CASE WHEN c.a IS NULL AND d.a IS NULL THEN 'Location not stated' ELSE concat_ws(', ', 'commune ' || c.a, 'district ' || d.a) END AS location FROM c JOIN d USING (id)""")
 def j10(spark, sf_dir):
     ring = g.box_ring(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    level = lambda label, name: spatial.first_containing(points(spark, sf_dir), kinds(spark, sf_dir, label).select(F.col("id").alias("area"), F.col("id").alias("place"), ring.alias("ring")), "id", 16.0).select("id", F.concat(F.lit(f"{name} "), F.col("area").cast("string")).alias(name))
+    level = lambda label, name: spatial.first_containing(points(spark, sf_dir), kinds(spark, sf_dir, label).select(F.col("id").alias("area"), F.col("id").alias("place"), ring.alias("ring")), "id").select("id", F.concat(F.lit(f"{name} "), F.col("area").cast("string")).alias(name))
     both = level("vineyard", "commune").join(level("interrow_area", "district"), "id")
     return both.select("id", F.coalesce(F.nullif(F.concat_ws(", ", "commune", "district"), F.lit("")), F.lit("Location not stated")).alias("location"))
 
