@@ -110,3 +110,111 @@ def holds(ring: np.ndarray, x: float, y: float) -> bool:
     with np.errstate(divide="ignore", invalid="ignore"):
         at = d[:, 0] * (y - a[:, 1]) / d[:, 1] + a[:, 0]
     return bool(np.sum(over & (x < at)) % 2)
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """The convex hull of points, counter-clockwise, without collinear points."""
+    p = np.unique(points, axis=0)
+    if len(p) < 3:
+        return p
+
+    def half(order):
+        out: list = []
+        for q in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(half(p) + half(p[::-1]))
+
+
+def rectangle(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(centre, unit vector along the long side, long side, short side) of the least-area rectangle around points, by the hull's edges."""
+    h = hull(np.asarray(points, float))
+    if len(h) < 3:
+        d = h[-1] - h[0]
+        n = float(np.hypot(*d))
+        return (h[0] + h[-1]) / 2, d / n if n else np.array([1.0, 0.0]), n, 0.0
+    best = None
+    for e in np.roll(h, -1, axis=0) - h:
+        u = e / np.hypot(*e)
+        v = np.array([-u[1], u[0]])
+        along, across = h @ u, h @ v
+        w, t = float(np.ptp(along)), float(np.ptp(across))
+        if best is None or w * t < best[0] - 1e-12:
+            centre = u * (along.max() + along.min()) / 2 + v * (across.max() + across.min()) / 2
+            best = (w * t, centre, u if w >= t else v, max(w, t), min(w, t))
+    return best[1:]
+
+
+def corridor(ring: np.ndarray, reach: float) -> np.ndarray | None:
+    """A strip as wide as a ring's rectangle, prolonged by `reach` past both ends of its longer axis; none where it has no width or length."""
+    centre, u, long, short = rectangle(ring)
+    if not long or not short:
+        return None
+    a, b = u * (long / 2 + reach), np.array([-u[1], u[0]]) * short / 2
+    return np.array([centre - a - b, centre + a - b, centre + a + b, centre - a + b])
+
+
+def capsule(p: np.ndarray, q: np.ndarray, radius: float, steps: int = 8) -> np.ndarray:
+    """The ring around a segment at a distance: half circles of 2 * steps edges at both ends."""
+    at = np.arctan2(*(q - p)[::-1]) if np.any(q != p) else 0.0
+    turn = np.linspace(-np.pi / 2, np.pi / 2, 2 * steps + 1)
+    arc = lambda c, by: c + radius * np.column_stack((np.cos(turn + at + by), np.sin(turn + at + by)))
+    return np.vstack((arc(q, 0.0), arc(p, np.pi)))
+
+
+def buffered(line: np.ndarray, radius: float, steps: int = 8) -> list[np.ndarray]:
+    """Rings whose union is the ground within `radius` of a line: one for each segment."""
+    line = np.asarray(line, float)
+    return [capsule(p, q, radius, steps) for p, q in zip(line[:-1], line[1:], strict=True)] if len(line) > 1 else [capsule(line[0], line[0], radius, steps)]
+
+
+def inset(ring: np.ndarray, by: float) -> np.ndarray:
+    """A convex counter-clockwise ring moved inwards: cut by each edge's line, moved; empty if nothing is left."""
+    out = ring
+    for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+        n = np.array([p[1] - q[1], q[0] - p[0]]) / np.hypot(*(q - p))
+        side = (out - p) @ n - by
+        kept = []
+        for i in range(len(out)):
+            j = (i + 1) % len(out)
+            if side[i] >= 0:
+                kept.append(out[i])
+            if (side[i] >= 0) != (side[j] >= 0):
+                kept.append(out[i] + (out[j] - out[i]) * side[i] / (side[i] - side[j]))
+        out = np.array(kept).reshape(-1, 2)
+        if len(out) < 3:
+            return np.zeros((0, 2))
+    return out
+
+
+def covers_line(cells: np.ndarray, p: np.ndarray, q: np.ndarray, slack: float = 1e-7) -> bool:
+    """Whether a segment lies in the union of trapezoids (rows x0, x1, a0, b0, a1, b1 that don't overlap), borders included."""
+    if p[0] > q[0]:
+        p, q = q, p
+    x0, x1, a0, b0, a1, b1 = cells.T
+    if q[0] - p[0] <= slack:
+        here = (x0 <= p[0] + slack) & (x1 >= p[0] - slack)
+        share = np.clip((p[0] - x0[here]) / (x1 - x0)[here], 0, 1)
+        low, high = a0[here] + (a1 - a0)[here] * share, b0[here] + (b1 - b0)[here] * share
+        at, end = min(p[1], q[1]), max(p[1], q[1])
+        for i in np.argsort(low):
+            if low[i] > at + slack:
+                break
+            at = max(at, high[i])
+        return bool(at >= end - slack)
+    here = (x1 > p[0]) & (x0 < q[0])
+    x0, x1, a0, b0, a1, b1 = cells[here].T
+    left, right = np.maximum(x0, p[0]), np.minimum(x1, q[0])
+    y = lambda x: p[1] + (q[1] - p[1]) * (x - p[0]) / (q[0] - p[0])
+    edge = lambda v0, v1, x: v0 + (v1 - v0) * (x - x0) / (x1 - x0)
+    begin, end = np.zeros(len(x0)), np.ones(len(x0))
+    for s, t in ((y(left) - edge(a0, a1, left), y(right) - edge(a0, a1, right)), (edge(b0, b1, left) - y(left), edge(b0, b1, right) - y(right))):
+        s, t = s + slack, t + slack  # the part on which the line between s and t is not below zero
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cut = s / (s - t)
+        begin = np.where(s < 0, np.where(t < 0, 2.0, np.maximum(begin, cut)), begin)
+        end = np.where((t < 0) & (s >= 0), np.minimum(end, cut), end)
+    return bool(np.sum(np.maximum(end - begin, 0) * (right - left)) >= q[0] - p[0] - slack * (1 + len(x0)))

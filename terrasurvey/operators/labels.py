@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpoint_folder
+
 STATUSES = ("unchecked", "in_progress", "verified", "invalid")
 
 
@@ -41,10 +43,15 @@ def in_view(board: DataFrame, user: str) -> DataFrame:
 
 
 def sorted_tiles(board: DataFrame, by_status: bool) -> DataFrame:
-    """Tiles numbered by name, or by the rank of their status and then name."""
-    rank = F.array_position(F.array(*map(F.lit, ("in_progress", "unchecked", "verified", "invalid"))), F.col("status"))
-    order = Window.partitionBy().orderBy(*([rank] if by_status else []), "name")
-    return board.select("name", "status", F.row_number().over(order).alias("place"))
+    """Tiles numbered by name, or by the rank of their status and then name: sorted in ranges, and numbered by the ranges' sizes added up."""
+    rank = F.array_position(F.array(*map(F.lit, ("in_progress", "unchecked", "verified", "invalid"))), F.col("status")) if by_status else F.lit(0)
+    ranged = board.select("name", "status", rank.alias("rank")).repartitionByRange("rank", "name").withColumn("range", F.spark_partition_id())
+    checkpoint_folder(board.sparkSession)
+    ranged = ranged.checkpoint()  # both uses below must see the same ranges
+    inside = ranged.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("rank", "name")))
+    before = inside.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    before = before.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return inside.join(F.broadcast(before), "range").select("name", "status", (F.col("place") + F.col("before")).cast("int").alias("place"))
 
 
 def enough_points(annotations: DataFrame) -> DataFrame:

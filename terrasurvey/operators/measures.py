@@ -100,3 +100,15 @@ def legs(stops: DataFrame) -> DataFrame:
     walked = F.coalesce(F.max(F.when(F.col("reached"), F.col("distance_m"))).over(whole), F.lit(0.0))
     current = F.min(F.when(~F.col("reached"), F.col("stop_order"))).over(whole)
     return stops.select("route_id", "stop_order", "distance_m", (F.col("distance_m") - F.lag("distance_m", 1, 0.0).over(order)).alias("leg_m"), walked.alias("walked_m"), current.alias("current_stop"))
+
+
+def manifest(features: DataFrame, part_ids: int = 100_000) -> DataFrame:
+    """(label, features, physical_rows, sha256) of each label's features (label, id, row).
+
+    The digest is that of the digests of parts of part_ids ids each, so that no label's ids are gathered in one row.
+    """
+    joined = lambda x: F.array_join(x, ",")
+    parts = features.groupBy("label", F.floor(F.col("id") / part_ids).alias("part")).agg(F.sha2(joined(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string"))), 256).alias("digest"))
+    whole = parts.groupBy("label").agg(F.sha2(joined(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"])), 256).alias("sha256"))
+    counts = features.groupBy("label").agg(F.count("*").alias("features"), F.count_distinct("row").alias("physical_rows"))
+    return counts.join(whole, "label")

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
+
 #: Burn order of the label classes; classes not named are left out.
 PRIORITY = ("vineyard", "interrow_area", "waste", "row")
 
@@ -24,11 +26,11 @@ def burnt_runs(runs: DataFrame, keys: list[str], line: str, order: str) -> DataF
     line and not how long they are.
     """
     known = runs.where(rank_of("label").isNotNull())
-    ends = known.select(*keys, line, F.explode(F.array("start", "end")).alias("from")).distinct()
-    upto = F.lead("from").over(Window.partitionBy(*keys, line).orderBy("from"))
-    ends = ends.withColumn("to", upto).where("to is not null").groupBy(*keys, line).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("pieces"))
-    inside = F.filter("pieces", lambda p: (p["from"] >= F.col("start")) & (p["to"] <= F.col("end")))
-    piece = known.join(ends, [*keys, line]).withColumn("p", F.explode(inside))
+    ends = known.select(*keys, line, F.explode(F.array("start", "end")).alias("at")).groupBy(*keys, line).agg(F.sort_array(F.collect_set("at")).alias("ends"))
+    # a run covers the pieces from the one that begins at its start to the one that ends at its end
+    first, last = F.array_position("ends", F.col("start")).cast("int"), F.array_position("ends", F.col("end")).cast("int")
+    piece = spread(known, *keys, line).join(ends, [*keys, line]).withColumn("i", F.explode(F.sequence(first, last - 1)))
+    piece = piece.withColumn("p", F.struct(F.element_at("ends", F.col("i")).alias("from"), F.element_at("ends", F.col("i") + 1).alias("to")))
     top = piece.groupBy(*keys, line, "p").agg(F.max_by("label", F.struct(rank_of("label"), order)).alias("label"))
     return top.select(*keys, line, F.col("p.from").alias("start"), F.col("p.to").alias("end"), "label")
 

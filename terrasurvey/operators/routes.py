@@ -10,37 +10,88 @@ from pyspark.sql import functions as F
 from ..functions import kernel
 
 
-def walkable_cells(areas: DataFrame, passable: list[str], blocked: list[str]) -> DataFrame:
+CELLS = "site long, cell long, x0 double, x1 double, a0 double, b0 double, a1 double, b1 double"
+
+
+def walkable_cells(areas: DataFrame, passable: list[str], blocked: list[str], clearance: float = 0.0, study: str | None = None) -> DataFrame:
     """(site, cell, x0, x1, a0, b0, a1, b1): the trapezoids of each site's passable area without its blocked one.
 
-    areas: site, label, ring (array of [x, y]). A cell is convex: between its ends x0 and x1 it reaches from a to b. The shapes of one site
-    meet each other, so a site is one group.
+    areas: site, label, ring (array of [x, y]). A cell is convex: between its ends x0 and x1 it reaches from a to b. Blocked shapes keep walkers
+    `clearance` metres away; with `study`, only ground within shapes of that label counts, on sites that have any. The shapes of one site meet
+    each other, so a site is one group.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rings = lambda labels: [np.array([list(p) for p in r]) for r in rows.loc[rows["label"].isin(labels), "ring"]]
+        stones, bounds = rings(blocked), rings([study])
+        if clearance:
+            stones = stones + [c for r in stones for c in kernel.buffered(np.vstack([r, r[:1]]), clearance)]
         out = []
-        for x0, x1, pieces in kernel.slabs([rings(passable), rings(blocked)], lambda on: on[0] and not on[1]):
+        for x0, x1, pieces in kernel.slabs([rings(passable), stones, bounds], lambda on: on[0] and not on[1] and (on[2] or not bounds)):
             out += [(x0, x1, a0, b0, a1, b1) for a0, b0, a1, b1 in pieces]
         cells = pd.DataFrame(out, columns=["x0", "x1", "a0", "b0", "a1", "b1"]).astype(float)
         cells.insert(0, "cell", np.arange(len(cells)))
         cells.insert(0, "site", rows["site"].iloc[0])
         return cells
 
-    return areas.groupBy("site").applyInPandas(run, "site long, cell long, x0 double, x1 double, a0 double, b0 double, a1 double, b1 double")
+    return areas.groupBy("site").applyInPandas(run, CELLS)
+
+
+def node(x, y):
+    return F.named_struct(F.lit("x"), F.round(x, 6), F.lit("y"), F.round(y, 6))
+
+
+def cell_nodes(cells: DataFrame) -> DataFrame:
+    """(site, cell, node, middle): each cell's middle, and the middles of the portals that it shares with cells of the next slab."""
+    middle = node((F.col("x0") + F.col("x1")) / 2, (F.col("a0") + F.col("b0") + F.col("a1") + F.col("b1")) / 4)
+    left = cells.select("site", F.col("cell").alias("c1"), F.round("x1", 9).alias("x"), F.col("a1").alias("lo1"), F.col("b1").alias("hi1"), middle.alias("m1"))
+    right = cells.select("site", F.col("cell").alias("c2"), F.round("x0", 9).alias("x"), F.col("a0").alias("lo2"), F.col("b0").alias("hi2"), middle.alias("m2"))
+    shared = left.join(right, ["site", "x"]).withColumn("lo", F.greatest("lo1", "lo2")).withColumn("hi", F.least("hi1", "hi2")).where("hi - lo > 1e-7")
+    sides = F.explode(F.array(F.struct(F.col("c1").alias("cell"), F.col("m1").alias("m")), F.struct(F.col("c2").alias("cell"), F.col("m2").alias("m"))))
+    portals = shared.select("site", node(F.col("x"), (F.col("lo") + F.col("hi")) / 2).alias("node"), sides.alias("s"))
+    return portals.select("site", "s.cell", "node", F.col("s.m").alias("middle")).distinct().union(cells.select("site", "cell", middle.alias("node"), middle.alias("middle")))
+
+
+def apart(a: str, b: str):
+    return F.hypot(F.col(f"{a}.x") - F.col(f"{b}.x"), F.col(f"{a}.y") - F.col(f"{b}.y"))
 
 
 def network(cells: DataFrame) -> DataFrame:
     """(site, a, b, length): edges from each cell's middle to the portals it shares with cells of the next slab. Nodes are struct<x, y>."""
-    left = cells.select("site", F.col("cell").alias("c1"), F.round("x1", 9).alias("x"), F.col("a1").alias("lo1"), F.col("b1").alias("hi1"), ((F.col("x0") + F.col("x1")) / 2).alias("mx1"), ((F.col("a0") + F.col("b0") + F.col("a1") + F.col("b1")) / 4).alias("my1"))
-    right = cells.select("site", F.col("cell").alias("c2"), F.round("x0", 9).alias("x"), F.col("a0").alias("lo2"), F.col("b0").alias("hi2"), ((F.col("x0") + F.col("x1")) / 2).alias("mx2"), ((F.col("a0") + F.col("b0") + F.col("a1") + F.col("b1")) / 4).alias("my2"))
-    lo, hi = F.greatest("lo1", "lo2"), F.least("hi1", "hi2")
-    shared = left.join(right, ["site", "x"]).withColumn("lo", lo).withColumn("hi", hi).where("hi - lo > 1e-7")
-    node = lambda x, y: F.struct(F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
-    portal = node(F.col("x"), (F.col("lo") + F.col("hi")) / 2)
-    ends = F.explode(F.array(F.struct(node(F.col("mx1"), F.col("my1")).alias("m"), portal.alias("p")), F.struct(node(F.col("mx2"), F.col("my2")).alias("m"), portal.alias("p"))))
-    e = shared.select("site", ends.alias("e"))
-    return e.select("site", F.col("e.m").alias("a"), F.col("e.p").alias("b"), F.hypot(F.col("e.m.x") - F.col("e.p.x"), F.col("e.m.y") - F.col("e.p.y")).alias("length")).distinct()
+    nodes = cell_nodes(cells).where("node != middle")
+    return nodes.select("site", F.col("middle").alias("a"), F.col("node").alias("b"), apart("middle", "node").alias("length")).distinct()
+
+
+def attached(cells: DataFrame, terminals: DataFrame, slack: float = 1e-7, nudge: float = 1e-6) -> DataFrame:
+    """(site, terminal, a, b, length): edges that join terminals (site, terminal, x, y) to the nodes of the cells they lie in, and to each other there.
+
+    A cell holds a terminal within `slack`, which must never bridge a gap. A terminal that is outside all cells by less than that moves `nudge`
+    towards the middle of its cell, but the start (terminal 0) never moves. One that no cell holds is an error.
+    """
+    x, y = F.col("x"), F.col("y")
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("x0")) / (F.col("x1") - F.col("x0"))))
+    low, high = F.col("a0") + (F.col("a1") - F.col("a0")) * share, F.col("b0") + (F.col("b1") - F.col("b0")) * share
+    within = lambda by: x.between(F.col("x0") - by, F.col("x1") + by) & y.between(low - by, high + by)
+    middles = cell_nodes(cells).where("node = middle").select("site", "cell", "middle")
+    near = terminals.join(cells, "site").where(within(slack)).withColumn("inside", within(0.0)).join(middles, ["site", "cell"])
+    gap = F.hypot(F.col("middle.x") - x, F.col("middle.y") - y)
+    part = F.when(F.col("inside") | (F.col("terminal") == 0) | (gap == 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), nudge / gap))
+    moved = near.select("site", "cell", "terminal", "inside", "x", "y", (x + (F.col("middle.x") - x) * part).alias("mx"), (y + (F.col("middle.y") - y) * part).alias("my"))
+    one = Window.partitionBy("site", "terminal")
+    stays, nearest = F.max("inside").over(one), one.orderBy("cell")
+    held = moved.select("site", "cell", "terminal", *[F.when(stays, F.col(c)).otherwise(F.first(f"m{c}").over(nearest)).alias(f"a{c}") for c in "xy"])
+    held = held.select("site", "cell", "terminal", F.named_struct(F.lit("x"), F.col("ax"), F.lit("y"), F.col("ay")).alias("at"))
+    other = cell_nodes(cells).select("site", "cell", F.col("node").alias("b")).union(held.select("site", "cell", F.col("at").alias("b")))
+    links = held.join(other, ["site", "cell"]).where("at != b").select("site", "terminal", F.col("at").alias("a"), "b", apart("at", "b").alias("length")).distinct()
+    known = lambda c: F.coalesce(c, F.raise_error(F.lit("a terminal lies in no cell"))).alias(c)
+    return terminals.select("site", "terminal").join(links, ["site", "terminal"], "left").select("site", "terminal", known("a"), known("b"), "length")
+
+
+def with_terminals(cells: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, terminals): the network with the terminals as nodes of their own, and where these are."""
+    links = attached(cells, terminals).cache()
+    edges = network(cells).union(links.drop("terminal"))
+    return edges, links.select("site", "terminal", F.col("a.x").alias("x"), F.col("a.y").alias("y")).distinct()
 
 
 def shortest(edges: dict, start) -> dict:
@@ -93,7 +144,7 @@ def tour(distance: np.ndarray) -> tuple[list[int], float, float]:
         order.append(k)
         left.remove(k)
     size = lambda o: float(sum(distance[a, b] for a, b in zip(o, [*o[1:], o[0]], strict=True)))
-    base = best = size(order)
+    base = size(order)
     better = n > 3
     while better:
         better = False
@@ -105,16 +156,17 @@ def tour(distance: np.ndarray) -> tuple[list[int], float, float]:
                     better = True
         for i in range(1, n):
             for m in (1, 2, 3):
-                if i + m > n:
+                if i + m > n or better:
                     continue
                 part, rest = order[i : i + m], order[:i] + order[i + m :]
-                for k in range(1, len(rest) + 1):
-                    new = rest[:k] + part + rest[k:]
-                    if size(new) < size(order) - 1e-9:
-                        order, better = new, True
-                        break
-        best = size(order)
-    return order, best, base
+                # taking the part out saves this; putting it between any two others costs that
+                saved = distance[order[i - 1], part[0]] + distance[part[-1], order[(i + m) % n]] - distance[order[i - 1], order[(i + m) % n]]
+                before, after = np.array(rest), np.array([*rest[1:], rest[0]])
+                cost = distance[before, part[0]] + distance[part[-1], after] - distance[before, after]
+                k = int(np.argmin(cost))
+                if cost[k] < saved - 1e-9:
+                    order, better = rest[: k + 1] + part + rest[k + 1 :], True
+    return order, size(order), base
 
 
 def tours(lengths: DataFrame, start: int = 0) -> DataFrame:
@@ -135,6 +187,122 @@ def tours(lengths: DataFrame, start: int = 0) -> DataFrame:
     return lengths.groupBy("site").applyInPandas(run, "site long, stop_order int, terminal long, length_m double, baseline_m double")
 
 
+def expanded(edges: DataFrame, legs: DataFrame, cells: DataFrame, ahead: int = 100) -> DataFrame:
+    """(site, leg, points, metres): the path of each leg (site, leg, a, b) between two nodes, with shortcuts.
+
+    The shortest path's nodes are followed; from each one the farthest of the next `ahead` nodes is taken to which a straight line stays on
+    walkable ground, borders included. Legs without a path are an error.
+    """
+    both = edges.select("site", F.lit(-1).cast("long").alias("leg"), "a", "b", "length").union(legs.select("site", "leg", "a", "b", F.lit(0.0).alias("length")))
+
+    def run(key, rows: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
+        links: dict = {}
+        at = lambda p: (p["x"], p["y"])
+        for r in rows[rows["leg"] < 0].itertuples():
+            links.setdefault(at(r.a), []).append((at(r.b), r.length))
+            links.setdefault(at(r.b), []).append((at(r.a), r.length))
+        shape, out = ground[["x0", "x1", "a0", "b0", "a1", "b1"]].to_numpy(), []
+        reach: dict = {}
+        for r in rows[rows["leg"] >= 0].sort_values("leg").itertuples():
+            a, b = at(r.a), at(r.b)
+            if a not in reach:
+                reach[a] = shortest(links, a)
+            if b not in reach[a]:
+                raise ValueError("a leg has no path")
+            path = [b]
+            while path[-1] != a:  # back along the distances
+                path.append(min(links[path[-1]], key=lambda e: (reach[a].get(e[0], np.inf) + e[1], e[0]))[0])
+            path, short = path[::-1], [a]
+            i = 0
+            while i < len(path) - 1:
+                end = min(i + ahead, len(path) - 1)
+                while end > i + 1 and not kernel.covers_line(shape, np.array(path[i]), np.array(path[end])):
+                    end -= 1
+                short.append(path[end])
+                i = end
+            metres = float(sum(np.hypot(p[0] - q[0], p[1] - q[1]) for p, q in zip(short, short[1:], strict=False)))
+            out.append((key[0], r.leg, [{"x": x, "y": y} for x, y in short], metres))
+        return pd.DataFrame(out, columns=["site", "leg", "points", "metres"])
+
+    ground = cells.toDF(*cells.columns)  # columns of their own: edges come from the same cells
+    return both.groupBy("site").cogroup(ground.groupBy("site")).applyInPandas(run, "site long, leg long, points array<struct<x:double,y:double>>, metres double")
+
+
+def legs_of(stops: DataFrame, places: DataFrame) -> DataFrame:
+    """(site, leg, a, b) of closed tours (site, stop_order, terminal): from each stop to the next, and from the last one back to the first."""
+    at = stops.join(places.select("site", "terminal", F.struct("x", "y").alias("a")), ["site", "terminal"])
+    order = Window.partitionBy("site").orderBy("stop_order")
+    first = F.first("a").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return at.select("site", F.col("stop_order").cast("long").alias("leg"), "a", F.coalesce(F.lead("a").over(order), first).alias("b")).where("a != b")
+
+
+def route_lines(paths: DataFrame) -> DataFrame:
+    """(site, points, length_m): the legs' points one after the other, each place once in a row."""
+    both = paths.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("leg", "points"))).alias("legs"), F.sum("metres").alias("length_m"))
+    joined = F.flatten(F.transform("legs", lambda x, i: F.when(i == 0, x["points"]).otherwise(F.slice(x["points"], 2, F.size(x["points"])))))
+    return both.select("site", joined.alias("points"), "length_m")
+
+
+def road_areas(lines: DataFrame, polygons: DataFrame, half_width: float = 1.5) -> DataFrame:
+    """(site, label, ring): roads as passages: the ground within half_width of lines (site, line), and polygons (site, ring) as they are."""
+
+    def run(batches):
+        for rows in batches:
+            out = [(site, ring.tolist()) for site, line in zip(rows["site"], rows["line"], strict=True) for ring in kernel.buffered(np.array([list(p) for p in line]), half_width)]
+            yield pd.DataFrame(out, columns=["site", "ring"])
+
+    wide = lines.select("site", "line").mapInPandas(run, "site long, ring array<array<double>>")
+    return wide.unionByName(polygons.select("site", "ring")).select("site", F.lit("passage").alias("label"), "ring")
+
+
+def corridors(strips: DataFrame, reach: float = 10.0) -> DataFrame:
+    """(site, label, ring): strips (site, ring) prolonged by `reach` past both ends, as wide as they are, whatever their direction."""
+
+    def run(batches):
+        for rows in batches:
+            out = [(site, kernel.corridor(np.array([list(p) for p in ring]), reach)) for site, ring in zip(rows["site"], rows["ring"], strict=True)]
+            yield pd.DataFrame([(site, ring.tolist()) for site, ring in out if ring is not None], columns=["site", "ring"])
+
+    return strips.select("site", "ring").mapInPandas(run, "site long, ring array<array<double>>").select("site", F.lit("passage").alias("label"), "ring")
+
+
+def cells_with_access(areas: DataFrame, roads: DataFrame, strips: DataFrame, passable: list[str], blocked: list[str], reach: float = 10.0, most: int = 100_000) -> DataFrame:
+    """Walkable cells of areas with roads and prolonged strips as further passages; sites that get more than `most` cells are made without the strips."""
+    whole = walkable_cells(areas.unionByName(roads).unionByName(corridors(strips, reach)), passable, blocked).cache()
+    heavy = whole.groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") > most).select("site")
+    less = walkable_cells(areas.unionByName(roads).join(heavy, "site", "left_semi"), passable, blocked)
+    return whole.join(heavy, "site", "left_anti").unionByName(less)
+
+
+def headland_areas(blocks: DataFrame, rows: DataFrame, overlap: float = 0.25) -> DataFrame:
+    """(site, label, ring): the ground of each block (site, ring) between its border and the hull of its rows (site, line), as passages.
+
+    The hull is taken `overlap` smaller, so that headlands reach the lanes' ends. A block with fewer than two rows, with rows that leave it or that
+    lie on one line is an error.
+    """
+
+    def run(key, block: pd.DataFrame, axes: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        points = [np.array([list(p) for p in line]) for line in axes["line"]]
+        for ring in block["ring"]:
+            ring = np.array([list(p) for p in ring])
+            if len(points) < 2:
+                raise ValueError(f"block {key[0]} needs two rows")
+            ground = np.array([(x0, x1, *t) for x0, x1, pieces in kernel.slabs([[ring]], lambda on: on[0]) for t in [(a0, b0, a1, b1) for a0, b0, a1, b1 in pieces]])
+            if not all(kernel.covers_line(ground, p, q) for line in points for p, q in zip(line[:-1], line[1:], strict=True)):
+                raise ValueError(f"rows leave block {key[0]}")
+            foot = kernel.hull(np.vstack(points))
+            if len(foot) < 3:
+                raise ValueError(f"the rows of block {key[0]} lie on one line")
+            inner = kernel.inset(foot, overlap)
+            for x0, x1, pieces in kernel.slabs([[ring], [inner] if len(inner) else []], lambda on: on[0] and not on[1]):
+                out += [(key[0], [[x0, a0], [x1, a1], [x1, b1], [x0, b0]]) for a0, b0, a1, b1 in pieces]
+        return pd.DataFrame(out, columns=["site", "ring"])
+
+    found = blocks.groupBy("site").cogroup(rows.groupBy("site")).applyInPandas(run, "site long, ring array<array<double>>")
+    return found.select("site", F.lit("passage").alias("label"), "ring")
+
+
 def outside(lines: DataFrame, areas: DataFrame) -> DataFrame:
     """(site, length_m, outside_m) of each site's line (site, line) against its rings (site, ring)."""
 

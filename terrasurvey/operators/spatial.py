@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import kernel
+from ..sources.shared import spread
 
 
 def cells(x0: Column, x1: Column, cell: float) -> Column:
@@ -43,7 +45,7 @@ def first_containing(points: DataFrame, areas: DataFrame, point_id: str, cell: f
     b = areas.withColumn("b", g.bounds(F.col("ring"))).select("area", "place", "ring", "b.*")
     cell = cell or mean_extent(b)
     b = b.withColumn("_cx", F.explode(cells(F.col("x0"), F.col("x1"), cell))).withColumn("_cy", F.explode(cells(F.col("y0"), F.col("y1"), cell)))
-    p = points.select("x", "y").distinct().withColumn("_cx", F.floor(F.col("x") / cell).cast("long")).withColumn("_cy", F.floor(F.col("y") / cell).cast("long"))
+    p = spread(points.select("x", "y"), "x", "y").distinct().withColumn("_cx", F.floor(F.col("x") / cell).cast("long")).withColumn("_cy", F.floor(F.col("y") / cell).cast("long"))
     near = 1e-9
     edge = F.exists(g.pairs(F.col("ring")), lambda s: g.segment_distance(F.col("x"), F.col("y"), s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) <= near)
     around = F.col("x").between(F.col("x0") - near, F.col("x1") + near) & F.col("y").between(F.col("y0") - near, F.col("y1") + near)
@@ -104,33 +106,16 @@ def clusters(boxes: DataFrame, reach: float, least_area: float, cell: float) ->
     return out.join(size.where(F.col("area") >= least_area), "cluster").select("id", "cluster")
 
 
-def hull_points(points: np.ndarray) -> np.ndarray:
-    """The convex hull of points, counter-clockwise, without collinear points."""
-    p = np.unique(points, axis=0)
-    if len(p) < 3:
-        return p
-
-    def half(order):
-        out: list = []
-        for q in order:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(q)
-        return out[:-1]
-
-    return np.array(half(p) + half(p[::-1]))
-
-
 def hulls(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, area, ring) of each key's convex hull. Points are reduced to partial hulls by salted parts first, so a key with very many is shared out."""
     fields = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
 
     def partial(rows: pd.DataFrame) -> pd.DataFrame:
-        h = hull_points(rows[["x", "y"]].to_numpy())
+        h = kernel.hull(rows[["x", "y"]].to_numpy())
         return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(h) for k in keys}, "x": h[:, 0], "y": h[:, 1]})
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        h = hull_points(rows[["x", "y"]].to_numpy())
+        h = kernel.hull(rows[["x", "y"]].to_numpy())
         x, y = h[:, 0], h[:, 1]
         area = float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
         return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "n": [len(h)], "area": [area], "ring": [h.tolist()]})
@@ -140,35 +125,23 @@ def hulls(points: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).applyInPandas(whole, f"{fields}, n int, area double, ring array<array<double>>")
 
 
-def oriented_box(points: np.ndarray) -> tuple[float, float, float]:
-    """(long side, short side, angle of the long side in degrees 0 to 180) of the least-area rectangle around points, by the hull's edges."""
-    h = hull_points(points)
-    if len(h) < 3:
-        d = h.max(axis=0) - h.min(axis=0) if len(h) else np.zeros(2)
-        return float(np.hypot(*d)), 0.0, float(np.degrees(np.arctan2(d[1], d[0])) % 180)
-    e = np.roll(h, -1, axis=0) - h
-    best = None
-    for a in np.arctan2(e[:, 1], e[:, 0]):
-        c, s = np.cos(a), np.sin(a)
-        u, v = h @ np.array([c, s]), h @ np.array([-s, c])
-        w, t = np.ptp(u), np.ptp(v)
-        if best is None or w * t < best[0] - 1e-12:
-            best = (w * t, w, t, a)
-    _, w, t, a = best
-    return (float(w), float(t), float(np.degrees(a) % 180)) if w >= t else (float(t), float(w), float((np.degrees(a) + 90) % 180))
-
-
 def oriented_boxes(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, long_m, short_m, angle, fill) from each key's convex hull; fill: the share of the rectangle that the hull takes."""
+    """(keys, long_m, short_m, angle, fill, ax, ay, bx, by) of the least-area rectangle around each key's points.
+
+    angle: of the long side, in degrees from 0 to 180; fill: the share of the rectangle that the hull takes; a and b: the ends of its centreline.
+    """
     fields = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
         for rows in batches:
-            out = [oriented_box(np.array([list(p) for p in ring])) for ring in rows["ring"]]
-            long, short, angle = (np.array([o[i] for o in out]) for i in range(3))
-            yield rows[keys].assign(long_m=long, short_m=short, angle=angle, fill=np.where(long * short > 0, rows["area"] / np.where(long * short > 0, long * short, 1), 0.0))
-
-    return hulls(points, keys).mapInPandas(run, f"{fields}, long_m double, short_m double, angle double, fill double")
+            out = []
+            for ring, area in zip(rows["ring"], rows["area"], strict=True):
+                centre, u, long, short = kernel.rectangle(np.array([list(p) for p in ring]))
+                ends = np.concatenate((centre - u * long / 2, centre + u * long / 2))
+                out.append((long, short, float(np.degrees(np.arctan2(u[1], u[0])) % 180), area / (long * short) if long * short > 0 else 0.0, *ends))
+            yield pd.concat([rows[keys].reset_index(drop=True), pd.DataFrame(out, columns=["long_m", "short_m", "angle", "fill", "ax", "ay", "bx", "by"])], axis=1)
+
+    return hulls(points, keys).mapInPandas(run, f"{fields}, long_m double, short_m double, angle double, fill double, ax double, ay double, bx double, by double")
 
 
 def simplified(line: np.ndarray, tolerance: float) -> np.ndarray:

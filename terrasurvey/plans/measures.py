@@ -144,11 +144,13 @@ def j08(spark, sf_dir):
     return s.select("survey", F.array_contains("parcels", F.lit(7).cast("long")).alias("has_parcel"), (~F.arrays_overlap("parcels", F.array(*[F.lit(x).cast("long") for x in (1, 2, 3)]))).alias("outside"))
 
 
-@query("a14_manifest", """SELECT label, count(*) AS features, count(DISTINCT row) AS physical_rows, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS sha256 FROM (SELECT p_brand AS label, p_partkey AS id, p_partkey % 50 AS row FROM part) GROUP BY 1""")
+@query("a14_manifest", """WITH t AS (SELECT p_brand AS label, p_partkey AS id, p_partkey % 50 AS row, p_partkey // 1000 AS part FROM part),
+  parts AS (SELECT label, part, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS digest FROM t GROUP BY 1, 2),
+  whole AS (SELECT label, sha256(string_agg(digest, ',' ORDER BY part)) AS sha256 FROM parts GROUP BY 1)
+  SELECT label, count(*) AS features, count(DISTINCT row) AS physical_rows, any_value(sha256) AS sha256 FROM t JOIN whole USING (label) GROUP BY 1""")
 def a14(spark, sf_dir):
     t = read(spark, sf_dir, "part").select(F.col("p_brand").alias("label"), F.col("p_partkey").alias("id"), (F.col("p_partkey") % 50).alias("row"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",")
-    return t.groupBy("label").agg(F.count("*").alias("features"), F.count_distinct("row").alias("physical_rows"), F.sha2(joined, 256).alias("sha256"))
+    return measures.manifest(t, 1000)
 
 
 @query("a22_coverage", """SELECT c_nationkey AS survey, count(*) AS targets, count(*) FILTER (WHERE c_acctbal > 3000) AS visited, round(count(*) FILTER (WHERE c_acctbal > 3000) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM customer GROUP BY 1""")

@@ -191,9 +191,3 @@ def write_survey(layers: dict[str, DataFrame], folder: str) -> None:
             raise ValueError(f"{name} lacks {sorted(missing)}")
     for name in LAYERS:
         layers[name].write.mode("overwrite").parquet(f"{folder}/{name}")
-
-
-def read_roads(lines: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Road pieces as boxes around lines, 1.5 m wider than they are, and polygons as they are: (kind, x0, y0, x1, y1)."""
-    b = lambda df, kind, w: df.select(F.lit(kind).alias("kind"), g.bounds(F.col("points")).alias("b")).select("kind", *[(F.col(f"b.{c}") + s * w).alias(c) for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
-    return b(lines, "line", 1.5).unionByName(b(polygons, "polygon", 0.0))

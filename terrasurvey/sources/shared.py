@@ -2,6 +2,8 @@
 
 import tempfile
 
+from pyspark.sql import DataFrame
+
 
 def checkpoint_folder(spark) -> str:
     """spark.checkpoint.dir of the session, or a new folder where it is unset on one machine (tests)."""
@@ -13,3 +15,8 @@ def checkpoint_folder(spark) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many partitions as the session has for shuffles, also if it is small: what follows is more work than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
