@@ -199,12 +199,13 @@ def covers_line(cells: np.ndarray, p: np.ndarray, q: np.ndarray, slack: float =
         here = (x0 <= p[0] + slack) & (x1 >= p[0] - slack)
         share = np.clip((p[0] - x0[here]) / (x1 - x0)[here], 0, 1)
         low, high = a0[here] + (a1 - a0)[here] * share, b0[here] + (b1 - b0)[here] * share
-        at, end = min(p[1], q[1]), max(p[1], q[1])
+        at, end, met = min(p[1], q[1]), max(p[1], q[1]), False
         for i in np.argsort(low):
             if low[i] > at + slack:
                 break
-            at = max(at, high[i])
-        return bool(at >= end - slack)
+            if high[i] >= at - slack:
+                at, met = max(at, high[i]), True
+        return bool(met and at >= end - slack)
     here = (x1 > p[0]) & (x0 < q[0])
     x0, x1, a0, b0, a1, b1 = cells[here].T
     left, right = np.maximum(x0, p[0]), np.minimum(x1, q[0])

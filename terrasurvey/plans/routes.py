@@ -18,7 +18,7 @@ def site_areas(spark, sf_dir):
 
 
 def terminals(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("site"), F.col("s_suppkey").alias("terminal"), ((F.col("s_suppkey") % 20) * 3 + 1).cast("double").alias("x"), (F.col("s_suppkey") * 7 % 58 + 1).cast("double").alias("y"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("site"), (F.col("s_suppkey") + 1).alias("terminal"), ((F.col("s_suppkey") % 20) * 3 + 1).cast("double").alias("x"), (F.col("s_suppkey") * 7 % 58 + 1).cast("double").alias("y"))
     one = s.groupBy("site", "x").agg(F.min_by(F.struct("terminal", "y"), "terminal").alias("t")).select("site", F.col("t.terminal").alias("terminal"), "x", F.col("t.y").alias("y"))
     return one.unionByName(s.select("site", F.lit(0).cast("long").alias("terminal"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).distinct())
 
