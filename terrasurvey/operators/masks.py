@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.shared import spread
 from .spatial import components
 
 
@@ -66,7 +67,7 @@ def outlines(pixels: DataFrame, keys: list[str]) -> DataFrame:
                 out.append((*[rows[k].iloc[0] for k in keys], [{"x": float(x), "y": float(y)} for x, y in turn], area))
         return pd.DataFrame(out, columns=[*keys, "ring", "area"])
 
-    return border(pixels, keys).groupBy(*keys).applyInPandas(trace, f"{fields}, ring array<struct<x:double,y:double>>, area double")
+    return spread(border(pixels, keys), *keys).groupBy(*keys).applyInPandas(trace, f"{fields}, ring array<struct<x:double,y:double>>, area double")
 
 
 def flooded(pixels: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import kernel
 from ..operators import masks, routes
 from ..sources.shared import checkpoint_folder
@@ -25,8 +26,9 @@ def g07(spark, sf_dir):
     angle = F.col("p_partkey") % 180 * 1.0
     lines = p.select(F.col("p_partkey").cast("long").alias("site"), F.array(xy(F.lit(1.0), F.lit(2.0)), xy(1 + F.col("p_size") * F.cos(F.radians(angle)), 2 + F.col("p_size") * F.sin(F.radians(angle)))).alias("line"))
     areas = routes.road_areas(lines, lines.limit(0).select("site", F.col("line").alias("ring")))
-    cell = (F.col("x1") - F.col("x0")) * (F.col("b0") - F.col("a0") + F.col("b1") - F.col("a1")) / 2
-    return routes.walkable_cells(areas, ["passage"], []).groupBy("site").agg(F.round(F.sum(cell), 4).alias("area"))
+    # one segment a site: the shoelace area of its ring is that of the road
+    ring = F.transform(F.concat("ring", F.slice("ring", 1, 1)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return areas.groupBy("site").agg(F.round(F.sum(g.area(ring)), 4).alias("area"))
 
 
 @query("gr10_headlands", """WITH b AS (SELECT n_nationkey AS site, 40 + n_nationkey AS w, 30.0::DOUBLE AS h FROM nation)
