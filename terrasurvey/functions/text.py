@@ -84,3 +84,28 @@ def scale_bar(span: Column) -> Column:
 def mean_axis(angle: Column) -> Column:
     """The mean of axes in degrees, 0 to 180, by doubled angles; an aggregate expression."""
     return F.pmod(F.degrees(F.atan2(F.sum(F.sin(2 * F.radians(angle))), F.sum(F.cos(2 * F.radians(angle))))) / 2, F.lit(180.0))
+
+
+def whole(number: Column) -> Column:
+    """A whole number with groups of three, as in British English."""
+    return F.format_number(F.round(number), 0)
+
+
+def square_metres(area: Column) -> Column:
+    return F.concat(whole(area), F.lit(" m²"))
+
+
+def metres(length: Column) -> Column:
+    return F.concat(whole(length), F.lit(" m"))
+
+
+def hectares_text(area_m2: Column) -> Column:
+    return F.concat(F.format_number(F.round(area_m2 / 10_000, 2), 2), F.lit(" ha"))
+
+
+def quantity(count: Column, one: str, many: str) -> Column:
+    return F.concat(whole(count), F.lit(" "), F.when(count == 1, one).otherwise(many))
+
+
+def percent(ratio: Column) -> Column:
+    return F.concat(F.format_number(F.round(ratio * 100, 1), 1), F.lit("%"))

@@ -1,14 +1,23 @@
 """Edits and small rules of the editor and the planner: corridors, layers, joins with fallbacks, erasing, snapping, styles."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import kernel
 
 #: The layer of each segment class.
 LAYER_OF = {"canopy": "canopy", "vineyard": "canopy", "waste": "waste", "row": "rows", "interrow_area": "interrows"}
 
 
+def decoded(rows: DataFrame) -> DataFrame:
+    """Stored rows with their points ([[x, y], ...] as JSON) as structs and their attributes (a JSON object) as a map; null or broken JSON gives empty ones."""
+    points = F.transform(F.coalesce(F.from_json("points", "array<array<double>>"), F.array().cast("array<array<double>>")), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    attributes = F.coalesce(F.from_json("attributes", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return rows.withColumn("points", points).withColumn("attributes", attributes)
+
+
 def layer_of(kind: Column, strict: bool) -> Column:
     """The layer of a segment's class; an unknown class is null, or an error if strict."""
     names = F.create_map(*[F.lit(x) for kv in LAYER_OF.items() for x in kv])
@@ -50,10 +59,34 @@ def orphans(parts: DataFrame, seeded: DataFrame, key: str) -> DataFrame:
     return parts.select(key).exceptAll(seeded.select(key)).distinct()
 
 
+def crosses_itself(ring: Column) -> Column:
+    """Whether two edges of a closed ring that are not neighbours meet."""
+    n = F.size(ring) - 1
+    side = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    between = lambda p, q, r: r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+
+    def meet(e, f):
+        a, b, c, d = e["a"], e["b"], f["a"], f["b"]
+        one, two, three, four = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+        touch = ((one == 0) & between(a, b, c)) | ((two == 0) & between(a, b, d)) | ((three == 0) & between(c, d, a)) | ((four == 0) & between(c, d, b))
+        return ((F.signum(one) * F.signum(two) < 0) & (F.signum(three) * F.signum(four) < 0)) | touch
+
+    edges = F.transform(g.pairs(ring), lambda p, i: F.struct(i.alias("i"), p["a"].alias("a"), p["b"].alias("b")))
+    apart = lambda e, f: (f["i"] > e["i"] + 1) & ~((e["i"] == 0) & (f["i"] == n - 1))
+    return F.exists(edges, lambda e: F.exists(edges, lambda f: apart(e, f) & meet(e, f)))
+
+
 def valid_ring(ring: Column) -> Column:
-    """Whether a ring is closed, has four positions or more, is finite and encloses an area."""
+    """Whether a ring is closed, has four positions or more, is finite, encloses an area and does not cross or touch itself."""
     finite = F.forall(ring, lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
-    return F.coalesce((F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)) & finite & (g.area(ring) > 0), F.lit(False))
+    whole = (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)) & finite & (g.area(ring) > 0)
+    return F.coalesce(F.when(whole, ~crosses_itself(ring)).otherwise(False), F.lit(False))
+
+
+def largest_valid(parts: Column) -> Column:
+    """The ring with the largest area of an array's valid ones; null without any."""
+    ranked = F.transform(F.filter(parts, valid_ring), lambda r: F.struct(g.area(r).alias("area"), r.alias("ring")))
+    return F.aggregate(ranked, F.lit(None).cast(f"struct<area:double,ring:array<{g.POINT}>>"), lambda s, r: F.when(s.isNull() | (r["area"] > s["area"]), r).otherwise(s))["ring"]
 
 
 def snapped(ring: Column, step: float = 0.01) -> Column:
@@ -64,9 +97,20 @@ def snapped(ring: Column, step: float = 0.01) -> Column:
 
 
 def joined_strips(boxes: DataFrame, keys: list[str], x1: float, y1: float) -> DataFrame:
-    """One strip from several of a key: their common bounds within the tile, with the first one's attributes."""
-    b = boxes.groupBy(*keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), F.min_by("cover", "interrow_id").alias("cover"))
-    return b.select(*keys, F.greatest("x0", F.lit(0)).alias("x0"), F.greatest("y0", F.lit(0)).alias("y0"), F.least("x1", F.lit(x1)).alias("x1"), F.least("y1", F.lit(y1)).alias("y1"), "cover")
+    """(keys, ring, x0, y0, x1, y1, cover): one strip from several of a key: the convex hull of them all, cut at the tile's edges, with its bounds and the first one's attributes."""
+    fields = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in keys)
+    x, y, w, h = (F.col(c) for c in "xywh")
+    corners = boxes.select(*keys, "interrow_id", "cover", F.explode(F.slice(g.box_ring(x, y, w, h), 1, 4)).alias("p")).select(*keys, "interrow_id", "cover", "p.x", "p.y")
+
+    def around(rows):
+        ring = [{"x": float(a), "y": float(b)} for a, b in kernel.hull(rows[["x", "y"]].to_numpy())]
+        first = rows.sort_values("interrow_id").iloc[0]
+        return pd.DataFrame({**{k: [first[k]] for k in keys}, "ring": [ring], "cover": [first["cover"]]})
+
+    hulls = corners.groupBy(*keys).applyInPandas(around, f"{fields}, ring array<{g.POINT}>, cover string")
+    for axis, limit, below in (("x", 0.0, False), ("y", 0.0, False), ("x", x1, True), ("y", y1, True)):
+        hulls = hulls.withColumn("ring", g.clip_box(F.col("ring"), axis, F.lit(limit), below))
+    return hulls.select(*keys, "ring", g.bounds(F.col("ring")).alias("b"), "cover").select(*keys, "ring", "b.*", "cover")
 
 
 def erased(lines: DataFrame, key: str, first: str, last: str, at: float, radius: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import text as tx
 from ..operators import edits, measures
 from .inputs import SQL_ANNOTATIONS, SQL_AREAS, SQL_SEGMENTS, SQL_STATUSES, annotations, areas, read, segments, statuses
 from .registry import query
@@ -84,10 +85,10 @@ def p14(spark, sf_dir):
     return areas(spark, sf_dir).where(F.col("area_m2") >= least).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("g10_joined_strips", f"""WITH {SQL_AREAS} SELECT vineyard_id, greatest(min(x), 0) AS x0, greatest(min(y), 0) AS y0, CAST(least(max(x + w), 64.0::DOUBLE) AS DOUBLE) AS x1, CAST(least(max(y + h), 56.0::DOUBLE) AS DOUBLE) AS y1, arg_min(cover, interrow_id) AS cover
+@query("g10_joined_strips", f"""WITH {SQL_AREAS} SELECT vineyard_id, CAST(greatest(min(x), 0) AS DOUBLE) AS x0, CAST(greatest(min(y), 0) AS DOUBLE) AS y0, CAST(least(max(x + w), 64.0::DOUBLE) AS DOUBLE) AS x1, CAST(least(max(y + h), 56.0::DOUBLE) AS DOUBLE) AS y1, arg_min(cover, interrow_id) AS cover
   FROM areas WHERE label = 'interrow_area' GROUP BY 1""")
 def g10(spark, sf_dir):
-    return edits.joined_strips(areas(spark, sf_dir).where("label = 'interrow_area'"), ["vineyard_id"], 64.0, 56.0)
+    return edits.joined_strips(areas(spark, sf_dir).where("label = 'interrow_area'"), ["vineyard_id"], 64.0, 56.0).drop("ring")
 
 
 @query("g11_erased_lines")
@@ -126,3 +127,19 @@ def u01(spark, sf_dir):
     p = measures.covered(p, ["row"]).groupBy("row").agg(F.collect_list("first").alias("a"), F.collect_list("last").alias("b"))
     p.createOrReplaceTempView("_survey_rows")
     return spark.sql("SELECT row, gap_start, gap_end FROM _survey_rows, LATERAL survey_gaps(a, b, 1.5D)")
+
+
+@query("pr07_decoded_rows", """SELECT event_id, event_type AS kind, CAST(value AS DOUBLE) AS x, 2 AS n, event_type IS NULL AS bare FROM (SELECT event_id, event_type, user_id % 100 AS value FROM events)""")
+def pr07(spark, sf_dir):
+    x = (F.col("user_id") % 100).cast("double")
+    stored = read(spark, sf_dir, "events").select("event_id", F.to_json(F.array(F.array(x, x + 1), F.array(x, x + 2))).alias("points"), F.to_json(F.struct(F.col("event_type").alias("kind"))).alias("attributes"))
+    t = edits.decoded(stored)
+    return t.select("event_id", F.try_element_at("attributes", F.lit("kind")).alias("kind"), F.col("points")[0]["x"].alias("x"), F.size("points").alias("n"), (F.size("attributes") == 0).alias("bare"))
+
+
+@query("f14_number_formats", """SELECT p_partkey, format('{:,}', CAST(p_partkey * 7919 AS BIGINT)) || ' m²' AS area, format('{:,}', CAST(p_partkey * 31 AS BIGINT)) || ' m' AS metres,
+  format('{:.1f}%', round((p_partkey % 801) / 800.0::DOUBLE * 100, 1)) AS percent, CASE WHEN p_partkey % 5 = 1 THEN '1 row' ELSE CAST(p_partkey % 5 AS VARCHAR) || ' rows' END AS rows FROM part WHERE p_partkey % 8 <> 0""")
+def f14(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").where("p_partkey % 8 != 0")
+    return p.select("p_partkey", tx.square_metres(k * 7919).alias("area"), tx.metres(k * 31).alias("metres"), tx.percent((k % 801) / 800).alias("percent"), tx.quantity(k % 5, "row", "rows").alias("rows"))

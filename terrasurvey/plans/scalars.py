@@ -172,11 +172,17 @@ def f04(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
-@query("f05_coordinates")
+@query("f05_coordinates", """WITH t AS (SELECT p_partkey AS id, p_partkey % 4 AS form, 47 + (p_partkey % 97) / 128.0::DOUBLE AS a, 28 + (p_partkey % 89) / 128.0::DOUBLE AS b FROM part)
+  SELECT id, CASE WHEN form = 3 THEN NULL WHEN form = 2 THEN 'utm' ELSE 'geographic' END AS kind, CASE WHEN form = 2 THEN 600000 + (a - 47) * 128 WHEN form < 2 THEN a END AS a, CASE WHEN form = 2 THEN 5200000 + (b - 28) * 128 WHEN form < 2 THEN b END AS b FROM t""")
 def f05(spark, sf_dir):
-    forms = F.array(F.lit("47.01, 28.85"), F.lit("47,0105° N 28,8638° E"), F.lit("629012.5 5220001"), F.lit("nothing"), F.lit("1 2 3"))
-    t = read(spark, sf_dir, "part").select(F.element_at(forms, (F.col("p_partkey") % 5 + 1).cast("int")).alias("text")).distinct()
-    return t.withColumn("c", tx.read_coordinates(F.col("text"))).select("text", "c.kind", "c.a", "c.b")
+    k = F.col("p_partkey")
+    degrees = lambda low, n: F.format_string("%.7f", low + (k % n) / 128)
+    plain = F.concat(degrees(47, 97), F.lit(", "), degrees(28, 89))
+    comma = F.concat(F.replace(degrees(47, 97), F.lit("."), F.lit(",")), F.lit("° N "), F.replace(degrees(28, 89), F.lit("."), F.lit(",")), F.lit("° E"))
+    utm = F.concat((600_000 + k % 97).cast("string"), F.lit(" "), (5_200_000 + k % 89).cast("string"))
+    text = F.element_at(F.array(plain, comma, utm, F.concat(F.lit("plot "), k.cast("string"))), (k % 4 + 1).cast("int"))
+    t = read(spark, sf_dir, "part").select(k.alias("id"), tx.read_coordinates(text).alias("c"))
+    return t.select("id", "c.kind", "c.a", "c.b")
 
 
 @query("f06_hectares", r"SELECT doc_id, TRY_CAST(NULLIF(regexp_extract(replace(text, ',', '.'), '(\d{1,12}(?:\.\d{1,4})?)', 1), '') AS DOUBLE) IS NOT NULL AS has_number FROM documents")

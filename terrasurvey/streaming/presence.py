@@ -60,8 +60,11 @@ def lock_stream(events: DataFrame, ttl: float = TTL) -> DataFrame:
 
 
 def lock_history(events: DataFrame, ttl: float = TTL) -> DataFrame:
-    """The same for a table of events: the events of one tile are folded in order."""
-    return events.select("tile", "event_id", "kind", "client", "at").groupBy("tile").applyInPandas(lambda rows: fold(rows, None, ttl)[0], FIELDS)
+    """The same for a table of events: the events of one tile are folded in order, from each silence of more than ttl to the next, after which no lock is held."""
+    order = Window.partitionBy("tile").orderBy("at", "event_id")
+    cut = events.select("tile", "event_id", "kind", "client", "at").withColumn("fresh", F.coalesce((F.col("at") - F.lag("at").over(order) > ttl).cast("int"), F.lit(0)))
+    runs = cut.withColumn("run", F.sum("fresh").over(order)).drop("fresh")
+    return runs.groupBy("tile", "run").applyInPandas(lambda rows: fold(rows, None, ttl)[0], FIELDS)
 
 
 def sessions(events: DataFrame, ttl: float) -> DataFrame:

@@ -114,3 +114,49 @@ def test_results_as_json(spark, tmp_path):
     files.write_results({"stops": spark.createDataFrame([(1, "a")], "id long, name string"), "none": spark.createDataFrame([], "id long")}, str(tmp_path))
     assert (tmp_path / "stops" / "_SUCCESS").exists() and (tmp_path / "none" / "_SUCCESS").exists()
     assert spark.read.json(str(tmp_path / "stops")).collect() == [(1, "a")]
+
+
+def test_rings_that_cross_themselves_and_the_largest_part(spark):
+    from terrasurvey.operators import edits
+
+    ring = lambda *p: [(float(x), float(y)) for x, y in p]
+    square, bow = ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ring((0, 0), (4, 3), (4, 0), (0, 4), (0, 0))
+    touching, open_ring = ring((0, 0), (4, 0), (2, 0), (2, 3), (0, 0)), ring((0, 0), (4, 0), (4, 4), (0, 4))
+    small, slanted = ring((9, 9), (10, 9), (10, 10), (9, 9)), ring((0, 0), (5, 1), (7, 6), (1, 4), (0, 0))
+    df = spark.createDataFrame([(0, square), (1, bow), (2, touching), (3, open_ring), (4, slanted)], "id long, ring array<struct<x:double,y:double>>")
+    assert [r.v for r in df.orderBy("id").select(edits.valid_ring(F.col("ring")).alias("v")).collect()] == [True, False, False, False, True]
+    parts = spark.createDataFrame([([small, square, bow],), ([bow],)], "parts array<array<struct<x:double,y:double>>>")
+    best = [r.b for r in parts.select(edits.largest_valid(F.col("parts")).alias("b")).collect()]
+    assert [(p.x, p.y) for p in best[0]] == square and best[1] is None
+
+
+def test_joined_strips_are_a_hull_within_the_tile(spark):
+    from terrasurvey.operators import edits
+
+    rows = [("V1", "b", "mixed", 0, 0, 2, 2), ("V1", "a", "bare_soil", 8, 8, 4, 2)]
+    strip = edits.joined_strips(spark.createDataFrame(rows, "vineyard_id string, interrow_id string, cover string, x long, y long, w long, h long"), ["vineyard_id"], 10.0, 20.0).first()
+    points = [(p.x, p.y) for p in strip.ring]
+    # the hull of both boxes has 6 corners; the tile's right edge cuts it
+    assert (strip.x0, strip.y0, strip.x1, strip.y1, strip.cover) == (0.0, 0.0, 10.0, 10.0, "bare_soil") and (2.0, 0.0) in points and (0.0, 2.0) in points
+    assert abs(kernel.union_area([np.array(points)]) - 42.4) < 1e-9
+
+
+def test_locks_are_folded_from_silence_to_silence(spark):
+    from terrasurvey.streaming import presence
+
+    rng = np.random.default_rng(8)
+    at = np.cumsum(rng.choice([1.0, 5.0, 19.5, 20.0, 20.5, 90.0], 300))
+    rows = pd.DataFrame({"tile": rng.integers(0, 3, 300), "event_id": range(300), "kind": rng.choice(["claim", "heartbeat", "release", "force_release"], 300), "client": rng.choice(list("abc"), 300), "at": at})
+    whole = pd.concat([presence.fold(part, None, 20.0)[0] for _, part in rows.groupby("tile")])
+    got = presence.lock_history(spark.createDataFrame(rows, "tile long, event_id long, kind string, client string, at double"), 20.0)
+    key = lambda r: r[1]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(whole.itertuples(index=False, name=None), key=key)
+
+
+def test_touches_of_the_circle_count_as_entries(spark):
+    from terrasurvey.operators import ordered
+
+    path = spark.createDataFrame([("r", 0, 0.0, 0.0), ("r", 1, 10.0, 0.0), ("r", 2, 10.0, 10.0)], "route_id string, at int, x double, y double")
+    targets = spark.createDataFrame([("touch", 5.0, 2.0), ("out", 5.0, 2.001), ("end", 12.0, 12.0), ("tip", 10.0, 12.0), ("on", 0.0, 2.0)], "target_id string, x double, y double")
+    got = {r.target_id: round(r.distance_m, 6) for r in ordered.first_entry(path, targets).collect()}
+    assert got == {"touch": 5.0, "tip": 20.0, "on": 0.0}
