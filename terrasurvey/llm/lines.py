@@ -93,7 +93,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     doc, text_hash, found, own_hash = fresh(columns, "_doc", "_hash", "_runs", "_own_hash")
     runs = runs.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("runs").alias(found))
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own_hash) == F.col(text_hash))
-    joined = docs.withColumn(own_hash, F.xxhash64("text")).join(runs, same, "left").drop(doc, text_hash, own_hash)
+    # merged, not broadcast: how many documents have repeats grows with the table
+    joined = docs.withColumn(own_hash, F.xxhash64("text")).join(runs.hint("merge"), same, "left").drop(doc, text_hash, own_hash)
     at = columns.index("text")
 
     def delete(batches):
