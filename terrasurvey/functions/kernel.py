@@ -1,75 +1,224 @@
-"""Areas and lengths of overlaid polygons by sweeping vertical slabs, in numpy."""
+"""Areas, borders and lengths of overlaid polygons by a sweep over vertical slabs, in numpy."""
 
 import numpy as np
 
 
 def edges_of(polygons: list[np.ndarray]) -> np.ndarray:
-    """(n, 5): x1, y1, x2, y2 and polygon of all edges that are not vertical; rings may be open or closed."""
+    """(n, 6): x1, y1, x2, y2, direction and polygon of all edges that are not vertical, left to right; rings may be open or closed."""
     out = []
     for k, ring in enumerate(polygons):
         ring = ring if np.array_equal(ring[0], ring[-1]) else np.vstack([ring, ring[:1]])
-        e = np.hstack([ring[:-1], ring[1:], np.full((len(ring) - 1, 1), k)])
-        out.append(e[e[:, 0] != e[:, 2]])
-    return np.vstack(out) if out else np.zeros((0, 5))
+        e = np.hstack([ring[:-1], ring[1:], np.ones((len(ring) - 1, 1)), np.full((len(ring) - 1, 1), k)])
+        e = e[e[:, 0] != e[:, 2]]
+        back = e[:, 0] > e[:, 2]
+        e[back] = e[back][:, [2, 3, 0, 1, 4, 5]] * [1, 1, 1, 1, -1, 1]
+        out.append(e)
+    return np.vstack(out) if out else np.zeros((0, 6))
+
+
+def layered(layers: list[list[np.ndarray]]) -> np.ndarray:
+    """(n, 7): the edges of several layers of polygons; the polygons are numbered through, and the last column is the layer."""
+    out, offset = [], 0
+    for k, polygons in enumerate(layers):
+        e = edges_of(polygons)
+        e[:, 5] += offset
+        offset += len(polygons)
+        out.append(np.column_stack([e, np.full(len(e), k)]))
+    return np.vstack(out) if out else np.zeros((0, 7))
+
+
+def exchanged(low: np.ndarray, high: np.ndarray) -> list[float]:
+    """The shares of a slab's width at which edges cross that stand in order `low` at its left side and at heights `high` at its right one."""
+    out, order = [], []
+    for j in range(len(low)):
+        at = len(order)
+        while at and high[order[at - 1]] > high[j] + 1e-12:  # each edge that it passes crosses it
+            i = order[at - 1]
+            gap, past = low[j] - low[i], high[i] - high[j]
+            out.append(gap / (gap + past))
+            at -= 1
+        order.insert(at, j)
+    return out
 
 
-def crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """x of the points in which edges of a and b cross."""
-    if not len(a) or not len(b):
-        return np.zeros(0)
-    slope = lambda e: (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
-    ma, mb = slope(a)[:, None], slope(b)[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = ((b[None, :, 1] - mb * b[None, :, 0]) - (a[:, None, 1] - ma * a[:, None, 0])) / (ma - mb)
-    lo = np.maximum(np.minimum(a[:, 0], a[:, 2])[:, None], np.minimum(b[:, 0], b[:, 2])[None, :])
-    hi = np.minimum(np.maximum(a[:, 0], a[:, 2])[:, None], np.maximum(b[:, 0], b[:, 2])[None, :])
-    return x[np.isfinite(x) & (x > lo) & (x < hi)]
+def swept(edges: np.ndarray, n_layers: int, inside, winding: bool = False):
+    """(x0, x1, pieces) of each slab that a vertical line sweeps; a piece is (edge below, edge above, its lower and upper y at x0 and at x1).
+
+    edges: rows of x1, y1, x2, y2, direction, polygon, layer. Slabs end where an edge begins or ends, or two cross. The line keeps the edges it cuts
+    in order from below; only edges that exchange places between a slab's sides are looked at as a pair. A polygon is filled by parity, or, with
+    `winding`, where it winds around at all; a layer is covered where any of its polygons is. inside(covered): covered has a flag for each layer.
+    """
+    if not len(edges):
+        return
+    edges = edges[np.argsort(edges[:, 0], kind="stable")]
+    begin, end = np.round(edges[:, 0], 9), np.round(edges[:, 2], 9)
+    slope = (edges[:, 3] - edges[:, 1]) / (edges[:, 2] - edges[:, 0])
+    polygon, layer, turn = edges[:, 5].astype(int).tolist(), edges[:, 6].astype(int).tolist(), edges[:, 4].astype(int).tolist()
+    xs = np.unique(np.concatenate((begin, end)))
+    height = lambda at, x: edges[at, 1] + slope[at] * (x - edges[at, 0])
+    on, taken = np.zeros(0, int), 0
+    for x0, x1 in zip(xs, xs[1:], strict=False):
+        to = int(np.searchsorted(begin, x0, side="right"))
+        on = np.concatenate((on[end[on] >= x1], np.arange(taken, to)[end[taken:to] >= x1]))
+        taken = to
+        if x1 - x0 < 1e-9 or not len(on):
+            continue
+        low, high = height(on, x0), height(on, x1)
+        order = np.lexsort((high, low))
+        on, low, high = on[order], low[order], high[order]
+        cuts = [x0, x1]
+        if np.any(np.diff(high) < -1e-12):
+            cuts = np.unique(np.round([x0, x1, *(x0 + (x1 - x0) * np.array(exchanged(low.tolist(), high.tolist())))], 9))
+        for left, right in zip(cuts, cuts[1:], strict=False):
+            if right - left < 1e-9:
+                continue
+            mid, a, b = height(on, (left + right) / 2), height(on, left), height(on, right)
+            line = np.argsort(mid, kind="stable")
+            place = {int(e): j for j, e in enumerate(on)}
+            state: dict[int, int] = {}
+            counts, open_at, pieces = [0] * n_layers, -1, []
+            for j in line.tolist():
+                e = on[j]
+                p = polygon[e]
+                before = state.get(p, 0)
+                after = before + turn[e] if winding else 1 - before
+                state[p] = after
+                if bool(after) != bool(before):
+                    counts[layer[e]] += 1 if after else -1
+                covered = inside([c > 0 for c in counts])
+                if covered and open_at < 0:
+                    open_at = j
+                    if pieces and abs(pieces[-1][3] - a[j]) < 1e-9 and abs(pieces[-1][5] - b[j]) < 1e-9:  # what touches is one piece
+                        open_at = place[pieces.pop()[0]]
+                elif not covered and open_at >= 0:
+                    if mid[j] > mid[open_at]:
+                        pieces.append((int(on[open_at]), int(e), a[open_at], a[j], b[open_at], b[j]))
+                    open_at = -1
+            if pieces:
+                yield float(left), float(right), pieces
 
 
 def slabs(layers: list[list[np.ndarray]], inside) -> list[tuple[float, float, list[tuple[float, float, float, float]]]]:
-    """(x0, x1, trapezoids) of each slab; a trapezoid has its lower and upper y at x0 and at x1. inside(covered): covered has a flag for each layer.
+    """(x0, x1, trapezoids) of each slab; a trapezoid has its lower and upper y at x0 and at x1. See swept."""
+    return [(x0, x1, [piece[2:] for piece in pieces]) for x0, x1, pieces in swept(layered(layers), len(layers), inside)]
+
+
+def area_of(slab: tuple) -> float:
+    x0, x1, pieces = slab
+    return (x1 - x0) * sum((b - a) + (d - c) for _, _, a, b, c, d in pieces) / 2
 
-    Slabs end where a vertex lies or edges cross, so within a slab no edges cross and each piece is a trapezoid. A polygon of a layer is filled
-    by parity, and a layer is covered where any of its polygons is.
+
+def dissolved(polygons: list[np.ndarray], winding: bool = True) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """(outer ring, holes) of each part of the union of polygons, which may cross themselves; outer rings turn left, holes right.
+
+    The union's border is read off the sweep: the edge below a piece forwards, that above it backwards, as far as it stays a border, and of a slab's
+    sides what the next slab does not continue. Where borders touch in a point they stay apart.
     """
-    edges = [edges_of(polygons) for polygons in layers]
-    ids, offset = [], 0
-    for e, polygons in zip(edges, layers, strict=True):
-        ids.append(e[:, 4] + offset)
-        offset += len(polygons)
-    whole = np.vstack([np.column_stack([e[:, :4], i, np.full(len(e), k)]) for k, (e, i) in enumerate(zip(edges, ids, strict=True))]) if edges else np.zeros((0, 6))
-    if not len(whole):
-        return []
-    xs = np.unique(np.round(np.concatenate([whole[:, 0], whole[:, 2], crossings(whole, whole)]), 9))
-    out = []
-    for x0, x1 in zip(xs, xs[1:], strict=False):
-        if x1 - x0 < 1e-9:
-            continue
-        mid = (x0 + x1) / 2
-        on = whole[(np.minimum(whole[:, 0], whole[:, 2]) <= mid) & (np.maximum(whole[:, 0], whole[:, 2]) >= mid)]
-        y = lambda x, on=on: on[:, 1] + (on[:, 3] - on[:, 1]) * (x - on[:, 0]) / (on[:, 2] - on[:, 0])
-        order = np.argsort(y(mid), kind="stable")
-        ys, left, right = y(mid)[order], y(x0)[order], y(x1)[order]
-        state: dict[float, bool] = {}
-        counts = [0] * len(layers)
-        open_at, pieces = None, []
-        for j, (polygon, layer) in enumerate(on[order][:, 4:6]):
-            state[polygon] = not state.get(polygon, False)
-            counts[int(layer)] += 1 if state[polygon] else -1
-            covered = inside([c > 0 for c in counts])
-            if covered and open_at is None:
-                open_at = j
-            elif not covered and open_at is not None:
-                if ys[j] > ys[open_at]:
-                    pieces.append((left[open_at], left[j], right[open_at], right[j]))
-                open_at = None
-        if pieces:
-            out.append((float(x0), float(x1), pieces))
+    return dissolved_edges(layered([polygons]), winding)
+
+
+def dissolved_edges(edges: np.ndarray, winding: bool = True) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """dissolved for edges of one layer, as `swept` takes them."""
+    starts: dict[tuple, list] = {}
+    running: dict[tuple, tuple] = {}
+
+    def border(p, q):
+        if p != q:
+            starts.setdefault(p, []).append(q)
+
+    def flush(keep):
+        for key in [k for k in running if k not in keep]:
+            a, b = running.pop(key)
+            border(a, b) if key[1] else border(b, a)
+
+    slab = list(swept(edges, 1, lambda on: on[0], winding))
+    for before, after in zip([None, *slab], [*slab, None], strict=True):
+        if before and after and after[0] - before[1] > 1e-9:
+            sides = [(before, None), (None, after)]
+        else:
+            sides = [(before, after)]
+        for left, right in sides:
+            x = round(left[1] if left else right[0], 9)
+            ends = [y for piece in left[2] for y in piece[4:6]] if left else []
+            begins = [y for piece in right[2] for y in piece[2:4]] if right else []
+            level = levels([*ends, *begins])
+            spans = [sorted(level[y] for y in ys) for ys in (ends, begins)]
+            for y0, y1 in zip(rows := sorted(set(spans[0] + spans[1])), rows[1:], strict=False):
+                covered = [bool(sum(y <= y0 for y in side) % 2) for side in spans]
+                if covered[0] and not covered[1]:
+                    border((x, y0), (x, y1))
+                elif covered[1] and not covered[0]:
+                    border((x, y1), (x, y0))
+            if left:
+                for below, above, _, _, c, d in left[2]:
+                    for key, y in (((below, True), c), ((above, False), d)):
+                        running[key] = (running[key][0], (x, level[y]))
+            now = {}
+            for below, above, a, b, _, _ in right[2] if right else []:
+                now[below, True], now[above, False] = (x, level[a]), (x, level[b])
+            flush({k for k in now if k in running and running[k][1] == now[k]})
+            for key, p in now.items():
+                running.setdefault(key, (p, p))
+    return nested(traced(starts))
+
+
+def levels(heights: list[float], near: float = 1e-6) -> dict[float, float]:
+    """For each height the one it counts as: those that lie close together are one."""
+    out: dict[float, float] = {}
+    last = at = None
+    for y in sorted(set(heights)):
+        if last is None or y - last > near:
+            at = round(float(y), 9) + 0.0
+        out[y], last = at, y
     return out
 
 
+def traced(starts: dict[tuple, list]) -> list[np.ndarray]:
+    """The rings of directed edges (from each point to others); where several leave a point, the one furthest to the left goes on. Points within straight lines go."""
+    rings = []
+    for first in sorted(starts):
+        while starts[first]:
+            ring, at = [first], starts[first].pop()
+            while at != first:
+                ways, (px, py) = starts[at], ring[-1]
+                ring.append(at)
+                if len(ways) > 1:
+                    dx, dy = at[0] - px, at[1] - py
+                    turn = lambda q, dx=dx, dy=dy, at=at: np.arctan2(dx * (q[1] - at[1]) - dy * (q[0] - at[0]), dx * (q[0] - at[0]) + dy * (q[1] - at[1]))
+                    ways.sort(key=turn)
+                at = ways.pop()
+            p = np.array(ring)
+            while len(p) > 2:
+                d, e = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
+                bend = np.abs(d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]) > 1e-9 * np.maximum(1.0, np.hypot(*d.T) * np.hypot(*e.T))
+                if bend.all():
+                    break
+                p = p[bend]
+            if len(p) > 2:
+                rings.append(p)
+    return rings
+
+
+def turned_area(ring: np.ndarray) -> float:
+    x, y = (ring - ring[0]).T
+    return float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+
+
+def nested(rings: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rings that turn left, each with the rings that turn right within it (and within no smaller one)."""
+    outer = sorted((r for r in rings if turned_area(r) > 0), key=turned_area)
+    held: list[list[np.ndarray]] = [[] for _ in outer]
+    for hole in (r for r in rings if turned_area(r) < 0):
+        middle = (hole[0] + hole[1]) / 2
+        for k, ring in enumerate(outer):
+            if turned_area(ring) > -turned_area(hole) and holds(ring, *middle):
+                held[k].append(hole)
+                break
+    return list(zip(outer, held, strict=True))
+
+
 def overlay_area(layers: list[list[np.ndarray]], inside) -> float:
-    return float(sum((x1 - x0) * ((b - a) + (d - c)) / 2 for x0, x1, pieces in slabs(layers, inside) for a, b, c, d in pieces))
+    return float(sum(map(area_of, swept(layered(layers), len(layers), inside))))
 
 
 def union_area(polygons: list[np.ndarray]) -> float:

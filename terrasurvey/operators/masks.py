@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..sources.shared import spread
-from .spatial import components
+from ..sources.shared import spread, stored
+from .graph import components
 
 
 def rasterised(shapes: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,16 +70,37 @@ def outlines(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return spread(border(pixels, keys), *keys).groupBy(*keys).applyInPandas(trace, f"{fields}, ring array<struct<x:double,y:double>>, area double")
 
 
+def in_runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """pixels (keys, px, py), each once, with `start`: the first pixel of the run of neighbours on its line."""
+    line = Window.partitionBy(*keys, "py")
+    p = pixels.select(*keys, "px", "py").distinct().withColumn("_gap", F.col("px") - F.row_number().over(line.orderBy("px")))
+    return p.withColumn("start", F.min("px").over(Window.partitionBy(*keys, "py", "_gap"))).drop("_gap")
+
+
+def regions(pixels: DataFrame, keys: list[str], cell: int = 64) -> DataFrame:
+    """(keys, px, py, region): pixels with the region they belong to over their eight neighbours; a region is named by a number without a meaning.
+
+    The nodes are runs of pixels, numbered, so a region of any size has few of them. Runs on lines next to each other meet in cells along the line and are
+    linked if they touch, in the one cell where their common part begins.
+    """
+    p = stored(in_runs(pixels, keys))
+    lines = stored(p.groupBy(*keys, "py", "start").agg((F.max("px") + 1).alias("end")).withColumn("run", F.monotonically_increasing_id()))
+    along = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor(b / cell)))
+    upper = lines.select(*keys, "py", "run", "start", "end").withColumn("_at", along(F.col("start") - 1, F.col("end")))
+    lower = lines.select(*keys, (F.col("py") - 1).alias("py"), F.col("run").alias("b"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    lower = lower.withColumn("_at", along(F.col("b_start"), F.col("b_end") - 1))
+    begin = F.greatest(F.col("start") - 1, F.col("b_start"))
+    touch = (begin < F.least(F.col("end") + 1, F.col("b_end"))) & (F.floor(begin / cell) == F.col("_at"))
+    links = upper.join(lower, [*keys, "py", "_at"]).where(touch).select(F.col("run").alias("a"), "b")
+    roots = lines.select(*keys, "py", "start", "run").join(components(links), F.col("run") == F.col("node"), "left")
+    return p.join(roots.select(*keys, "py", "start", F.coalesce("root", "run").alias("region")), [*keys, "py", "start"]).drop("start")
+
+
 def flooded(pixels: DataFrame, seeds: DataFrame) -> DataFrame:
     """(tile, px, py): the pixels that seeds reach over the eight neighbours of each pixel. Every region counts whole: no padding or rounds end the fill."""
-    node = F.xxhash64("tile", "px", "py")
-    p = pixels.select("tile", "px", "py").distinct().withColumn("node", node)
-    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1))]))
-    moved = p.select("tile", F.col("node").alias("a"), "px", "py", steps.alias("s")).select("tile", "a", (F.col("px") + F.col("s.dx")).alias("px"), (F.col("py") + F.col("s.dy")).alias("py"))
-    edges = moved.join(p.withColumnRenamed("node", "b"), ["tile", "px", "py"]).select("a", "b")
-    roots = p.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    hit = roots.join(seeds.select("tile", "px", "py"), ["tile", "px", "py"], "left_semi").select("root").distinct()
-    return roots.join(hit, "root", "left_semi").select("tile", "px", "py")
+    found = stored(regions(pixels, ["tile"]))
+    hit = found.join(seeds.select("tile", "px", "py"), ["tile", "px", "py"], "left_semi").select("region").distinct()
+    return found.join(hit, "region", "left_semi").select("tile", "px", "py")
 
 
 def row_lines(pixels: DataFrame, block: str, piece: str, slim: float = 0.35, swing: float = 8.0) -> DataFrame:

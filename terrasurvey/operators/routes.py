@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel
+from ..sources.shared import stored
+from .overlay import passable_cells
 
 
 CELLS = "site long, cell long, x0 double, x1 double, a0 double, b0 double, a1 double, b1 double"
@@ -17,24 +19,29 @@ def walkable_cells(areas: DataFrame, passable: list[str], blocked: list[str], cl
     """(site, cell, x0, x1, a0, b0, a1, b1): the trapezoids of each site's passable area without its blocked one.
 
     areas: site, label, ring (array of [x, y]). A cell is convex: between its ends x0 and x1 it reaches from a to b. Blocked shapes keep walkers
-    `clearance` metres away; with `study`, only ground within shapes of that label counts, on sites that have any. The shapes of one site meet
-    each other, so a site is one group.
+    `clearance` metres away; with `study`, only ground within shapes of that label counts, on sites that have any. A site of very many edges
+    is swept in columns.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rings = lambda labels: [np.array([list(p) for p in r]) for r in rows.loc[rows["label"].isin(labels), "ring"]]
-        stones, bounds = rings(blocked), rings([study])
-        if clearance:
-            stones = stones + [c for r in stones for c in kernel.buffered(np.vstack([r, r[:1]]), clearance)]
-        out = []
-        for x0, x1, pieces in kernel.slabs([rings(passable), stones, bounds], lambda on: on[0] and not on[1] and (on[2] or not bounds)):
-            out += [(x0, x1, a0, b0, a1, b1) for a0, b0, a1, b1 in pieces]
-        cells = pd.DataFrame(out, columns=["x0", "x1", "a0", "b0", "a1", "b1"]).astype(float)
-        cells.insert(0, "cell", np.arange(len(cells)))
-        cells.insert(0, "site", rows["site"].iloc[0])
-        return cells
-
-    return areas.groupBy("site").applyInPandas(run, CELLS)
+    def around(batches):
+        for rows in batches:
+            rings = [kernel.buffered(np.vstack([r, r[:1]]), clearance) for r in (np.array([list(p) for p in r]) for r in rows["ring"])]
+            yield pd.DataFrame({"site": np.repeat(rows["site"].to_numpy(), [len(r) for r in rings]), "layer": 1, "ring": [c.tolist() for r in rings for c in r]})
+
+    layer = F.when(F.col("label").isin(passable), 0).when(F.col("label").isin(blocked), 1).when(F.col("label") == F.lit(study), 2)
+    shapes = areas.select("site", layer.alias("layer"), "ring").where("layer is not null")
+    if clearance:
+        shapes = shapes.unionByName(shapes.where("layer = 1").select("site", "ring").mapInPandas(around, "site long, layer int, ring array<array<double>>"))
+    # a site without a study area is studied everywhere
+    free = areas.groupBy("site").agg(F.max(F.when(F.col("label") == F.lit(study), 1).otherwise(0)).alias("studied")) if study else None
+    points = F.transform("ring", lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y")))
+    shapes = shapes.withColumn("ring", points).withColumn("shape", F.monotonically_increasing_id())
+    if free is None:
+        return passable_cells(shapes, ["site"], lambda on: on[0] and not on[1], 3).select(*[c.split()[0] for c in CELLS.split(", ")])
+    both = shapes.join(free, "site")
+    some = passable_cells(both.where("studied = 1").drop("studied"), ["site"], lambda on: on[0] and not on[1] and on[2], 3)
+    every = passable_cells(both.where("studied = 0").drop("studied"), ["site"], lambda on: on[0] and not on[1], 3)
+    return some.unionByName(every).select(*[c.split()[0] for c in CELLS.split(", ")])
 
 
 def node(x, y):
@@ -268,7 +275,7 @@ def corridors(strips: DataFrame, reach: float = 10.0) -> DataFrame:
 
 def cells_with_access(areas: DataFrame, roads: DataFrame, strips: DataFrame, passable: list[str], blocked: list[str], reach: float = 10.0, most: int = 100_000) -> DataFrame:
     """Walkable cells of areas with roads and prolonged strips as further passages; sites that get more than `most` cells are made without the strips."""
-    whole = walkable_cells(areas.unionByName(roads).unionByName(corridors(strips, reach)), passable, blocked).cache()
+    whole = stored(walkable_cells(areas.unionByName(roads).unionByName(corridors(strips, reach)), passable, blocked))
     heavy = whole.groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") > most).select("site")
     less = walkable_cells(areas.unionByName(roads).join(heavy, "site", "left_semi"), passable, blocked)
     return whole.join(heavy, "site", "left_anti").unionByName(less)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import kernel
 from ..operators import masks, routes
-from ..sources.shared import checkpoint_folder
 from .inputs import read
 from .registry import query
 from .routes import cells, terminals
@@ -144,7 +143,6 @@ SQL_SPOTS = """spots AS (SELECT DISTINCT s_nationkey AS tile, c_custkey % 40 AS
 @query("gr03_flood_fill", f"""WITH RECURSIVE {SQL_SPOTS}, fill(tile, px, py) AS (SELECT * FROM spots WHERE px % 11 = 4 UNION SELECT s.tile, s.px, s.py FROM fill f JOIN spots s ON s.tile = f.tile AND abs(s.px - f.px) <= 1 AND abs(s.py - f.py) <= 1)
   SELECT tile, count(*) AS n, CAST(sum(px * 100 + py) AS BIGINT) AS places FROM fill GROUP BY 1""")
 def gr03(spark, sf_dir):
-    checkpoint_folder(spark)
     tiles = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("tile")).distinct()
     spots = read(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_nationkey").alias("tile"), (F.col("c_custkey") % 40).alias("px"), (F.col("c_custkey") * 7 % 23).alias("py")).distinct().join(tiles, "tile")
     return masks.flooded(spots, spots.where("px % 11 = 4")).groupBy("tile").agg(F.count("*").alias("n"), F.sum(F.col("px") * 100 + F.col("py")).alias("places"))

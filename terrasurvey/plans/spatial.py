@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import kernel
-from ..operators import spatial
+from ..operators import overlay, spatial
 from .inputs import SQL_AREAS, areas, read
 from .registry import query
 
@@ -103,9 +103,6 @@ def j14(spark, sf_dir):
   c AS (SELECT id, min(seen) AS cluster FROM reach GROUP BY 1), sizes AS (SELECT cluster, sum((x1 - x0) * (y1 - y0)) AS area FROM c JOIN v USING (id) GROUP BY 1)
   SELECT id, cluster FROM c JOIN sizes USING (cluster) WHERE area >= 15""")
 def j15(spark, sf_dir):
-    from ..sources.shared import checkpoint_folder
-
-    checkpoint_folder(spark)
     return spatial.clusters(kinds(spark, sf_dir, "waste"), 1.5, 15.0, 8.0)
 
 
@@ -145,16 +142,14 @@ def g14(spark, sf_dir):
   n AS (SELECT i.block, count(*) AS lanes, count(*) FILTER (WHERE v.px IS NULL) AS walkable FROM i LEFT JOIN v ON v.block = i.block AND v.px = i.px AND v.py = i.py GROUP BY 1)
   SELECT block, CAST(COALESCE(lanes, 0) AS DOUBLE) AS lanes, CAST(COALESCE(walkable, 0) AS DOUBLE) AS walkable FROM k LEFT JOIN n USING (block)""")
 def g01(spark, sf_dir):
-    """Walkable area of each block: its inter-rows without its canopy, by the slab sweep. A block is one group, as its shapes meet each other."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ring = lambda r: np.array([[r.x, r.y], [r.x + r.w, r.y], [r.x + r.w, r.y + r.h], [r.x, r.y + r.h]], float)
-        lanes = [ring(r) for r in rows[rows.label == "interrow_area"].itertuples()]
-        canopy = [ring(r) for r in rows[rows.label == "vineyard"].itertuples()]
-        walkable = kernel.overlay_area([lanes, canopy], lambda on: on[0] and not on[1])
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "lanes": [round(kernel.union_area(lanes), 6)], "walkable": [round(walkable, 6)]})
-
-    return areas(spark, sf_dir).withColumn("block", F.coalesce("vineyard_id", F.lit(""))).groupBy("block").applyInPandas(run, "block string, lanes double, walkable double")
+    """Walkable area of each block: its inter-rows without its canopy, swept cell by cell."""
+    a = areas(spark, sf_dir).withColumn("block", F.coalesce("vineyard_id", F.lit("")))
+    ring = g.box_ring(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    layer = F.when(F.col("label") == "interrow_area", 0).when(F.col("label") == "vineyard", 1)
+    shapes = a.select("block", layer.alias("layer"), F.col("interrow_id").alias("shape"), ring.alias("ring")).where("layer is not null")
+    found = overlay.overlay_areas(shapes, ["block"], {"lanes": lambda on: on[0], "walkable": lambda on: on[0] and not on[1]}, 2)
+    whole = a.select("block").distinct().join(found, "block", "left")
+    return whole.select("block", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("lanes", "walkable")])
 
 
 @query("g04_line_in_polygon", f"WITH {SQL_BOXES} SELECT id, round(greatest(0, least(x1, 400) - greatest(x0, 20)), 6) AS inside, round(380 - greatest(0, least(x1, 400) - greatest(x0, 20)), 6) AS outside FROM boxes")

@@ -1,6 +1,7 @@
-"""The cluster's shared folder for checkpoints."""
+"""The cluster's shared folder for checkpoints and intermediate tables."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,21 @@ def checkpoint_folder(spark) -> str:
     return path
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: later work starts from the files, and its plan and size estimate from theirs."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing needs any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys to as many partitions as the session has for shuffles, also if it is small: what follows is more work than its bytes tell."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
