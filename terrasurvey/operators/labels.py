@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpoint_folder
+from ..sources.shared import forget, stored
+from .ranges import in_ranges, running
 
 STATUSES = ("unchecked", "in_progress", "verified", "invalid")
 
@@ -45,13 +46,8 @@ def in_view(board: DataFrame, user: str) -> DataFrame:
 def sorted_tiles(board: DataFrame, by_status: bool) -> DataFrame:
     """Tiles numbered by name, or by the rank of their status and then name: sorted in ranges, and numbered by the ranges' sizes added up."""
     rank = F.array_position(F.array(*map(F.lit, ("in_progress", "unchecked", "verified", "invalid"))), F.col("status")) if by_status else F.lit(0)
-    ranged = board.select("name", "status", rank.alias("rank")).repartitionByRange("rank", "name").withColumn("range", F.spark_partition_id())
-    checkpoint_folder(board.sparkSession)
-    ranged = ranged.checkpoint()  # both uses below must see the same ranges
-    inside = ranged.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("rank", "name")))
-    before = inside.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
-    before = before.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    return inside.join(F.broadcast(before), "range").select("name", "status", (F.col("place") + F.col("before")).cast("int").alias("place"))
+    ranged = in_ranges(board.select("name", "status", rank.alias("rank"), F.lit(1).alias("one")), "rank", "name")
+    return running(ranged, place="one").select("name", "status", F.col("place").cast("int").alias("place"))
 
 
 def enough_points(annotations: DataFrame) -> DataFrame:
@@ -92,20 +88,45 @@ def import_summary(features: DataFrame) -> DataFrame:
 def next_fit(files: DataFrame, limit: int) -> DataFrame:
     """Files, by name, put into parts of at most `limit` bytes: a new part opens when the next file doesn't fit an unempty one.
 
-    The fold is in order, so it is run in one group; its input is one row for each file to export.
+    Running sums tell for each file where the next part would begin if one began here: the first later file whose end is more than `limit` past this
+    one's beginning. It is looked up in cells of `limit` bytes. Pointers along these jumps, doubled each round, find the
+    files that parts begin with, in as many rounds as the number of parts has bits; no task has all files.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, part, size, parts = rows.sort_values("name"), 1, 0, []
-        for n in rows["size_bytes"]:
-            if size and size + n > limit:
-                part, size = part + 1, 0
-            size += n
-            parts.append(part)
-        return rows.assign(part=parts)[["name", "size_bytes", "part"]]
-
-    return files.select("name", "size_bytes", F.lit(1).alias("all")).groupBy("all").applyInPandas(fold, "name string, size_bytes long, part int")
+    order = in_ranges(files.select("name", "size_bytes"), "name", "size_bytes").withColumn("_one", F.lit(1))
+    rows = running(order, end="size_bytes", place="_one").withColumn("begin", F.col("end") - F.col("size_bytes"))
+    rows = stored(rows.select("name", "size_bytes", "begin", "end", "place"))
+    cell = lambda c: F.floor(c / limit)
+    ends = rows.select(cell(F.col("end")).alias("cell"), F.col("end").alias("at"), F.lit(0).alias("asks"), "place", "begin")
+    asked = rows.select(cell(F.col("begin") + limit).alias("cell"), (F.col("begin") + limit).alias("at"), F.lit(1).alias("asks"), "place", "begin")
+    # from the far end of a cell: what was met last before a question ends later, and first of those; a file that ends just there still fits
+    later = Window.partitionBy("cell").orderBy(F.desc("at"), F.desc("asks"), F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    file = F.when(F.col("asks") == 0, F.struct("place", F.col("begin").alias("from")))
+    near = ends.unionByName(asked).withColumn("hit", F.last(file, ignorenulls=True).over(later))
+    over = rows.select(F.explode(F.sequence(cell(F.col("begin")), F.greatest(cell(F.col("begin")), cell(F.col("end")) - 1))).alias("cell"), F.struct("place", F.col("begin").alias("from")).alias("out"), "end")
+    over = over.where(cell(F.col("end")) > F.col("cell")).groupBy("cell").agg(F.min("out").alias("out"))
+    found = near.where("asks = 1").join(over, "cell", "left").withColumn("hit", F.coalesce("hit", "out"))
+    # a file that is too large by itself fills the part that it begins
+    jumps = found.select("place", F.when(F.col("hit.from") > F.col("begin"), F.col("hit.place")).otherwise(F.col("hit.place") + 1).alias("to"))
+    starts = part_starts(jumps, rows.agg(F.max("place")).first()[0])
+    rows = in_ranges(rows.join(starts, "place", "left").withColumn("_new", F.when(F.col("part").isNotNull(), 1).otherwise(0)), "place")
+    return running(rows.drop("part"), part="_new").select("name", "size_bytes", F.col("part").cast("int").alias("part"))
+
+
+def part_starts(jumps: DataFrame, last: int | None) -> DataFrame:
+    """(place, part): the places that jumps (place, to) lead to from place 1, and how many jumps that takes, from 1."""
+    hop = stored(jumps.where(F.col("to") <= F.lit(last or 0)))
+    found = stored(jumps.sparkSession.range(1, 2).select(F.col("id").alias("place"), F.lit(1).cast("long").alias("part")).where(F.lit(last is not None)))
+    step = 1
+    while True:
+        new = stored(found.join(hop, "place").select(F.col("to").alias("place"), (F.col("part") + step).alias("part")))
+        if new.isEmpty():
+            return found
+        onward = hop.select(F.col("place").alias("to"), F.col("to").alias("on"))
+        before, hop = hop, stored(hop.join(onward, "to").select("place", F.col("on").alias("to")))
+        forget(before)
+        before, found = found, stored(found.unionByName(new))
+        forget(before)
+        step *= 2
 
 
 def latest_locks(events: DataFrame) -> DataFrame:

@@ -143,7 +143,10 @@ def j02(spark, sf_dir):
     return named.join(rasters, "tile", "left").groupBy("tile", F.col("has").isNotNull().alias("has_raster")).agg(F.count("*").alias("n"))
 
 
-@query("sk04_export_parts")
+@query("sk04_export_parts", f"""WITH RECURSIVE {SQL_TILES}, n AS (SELECT *, row_number() OVER (ORDER BY name, size_bytes) AS k FROM tiles),
+  f AS (SELECT name, size_bytes, k, 1 AS part, size_bytes AS held FROM n WHERE k = 1
+    UNION ALL SELECT n.name, n.size_bytes, n.k, CASE WHEN f.held + n.size_bytes > 90000000 THEN f.part + 1 ELSE f.part END, CASE WHEN f.held + n.size_bytes > 90000000 THEN n.size_bytes ELSE f.held + n.size_bytes END FROM f JOIN n ON n.k = f.k + 1)
+  SELECT name, size_bytes, CAST(part AS INTEGER) AS part FROM f""")
 def sk04(spark, sf_dir):
     return labels.next_fit(tiles(spark, sf_dir), 90_000_000)
 

@@ -157,7 +157,12 @@ def w06(spark, sf_dir):
     return path(spark, sf_dir).select("route_id", "at", "x", "y", F.lead("x").over(order).alias("x2"), F.lead("y").over(order).alias("y2")).where("x2 is not null")
 
 
-@query("w11_claimed_pixels")
+@query("w11_claimed_pixels", """WITH RECURSIVE q AS (SELECT l_suppkey % 20 AS tile, l_partkey % 30 AS quad, list(DISTINCT l_orderkey % 900) AS px FROM lineitem GROUP BY 1, 2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY quad) AS k FROM q),
+  f AS (SELECT tile, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS quad, CAST([] AS BIGINT[]) AS mine, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT tile FROM o)
+    UNION ALL SELECT tile, k, quad, free, CASE WHEN len(free) >= 20 THEN list_concat(taken, free) ELSE taken END
+    FROM (SELECT o.tile, o.k, o.quad, f.taken, list_filter(o.px, lambda x: NOT list_contains(f.taken, x)) AS free FROM f JOIN o ON o.tile = f.tile AND o.k = f.k + 1))
+  SELECT tile, quad, CAST(len(mine) AS BIGINT) AS pixels FROM f WHERE k > 0 AND len(mine) >= 20""")
 def w11(spark, sf_dir):
     quads = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("tile"), (F.col("l_partkey") % 30).alias("quad"), (F.col("l_orderkey") % 900).alias("pixel"))
     return ordered.claimed(quads, ["tile"], 20)

@@ -15,7 +15,14 @@ def events(spark, sf_dir):
     return t.select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("client"), (F.col("event_id") % 40).alias("tile"), (F.unix_micros("ts") / 1e6).alias("at"), kinds[F.col("event_type")].alias("kind"), "ts")
 
 
-@query("st01_locks")
+@query("st01_locks", f"""WITH RECURSIVE {SQL_EVENTS}, k AS (SELECT *, map {{'view': 'heartbeat', 'click': 'claim', 'purchase': 'release', 'signup': 'heartbeat', 'error': 'force_release'}}[event_type] AS kind,
+    row_number() OVER (PARTITION BY tile ORDER BY at_s, event_id) AS n FROM ev),
+  f AS (SELECT tile, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, false AS accepted, CAST(NULL AS VARCHAR) AS holder, CAST(NULL AS DOUBLE) AS since FROM (SELECT DISTINCT tile FROM k)
+    UNION ALL SELECT tile, n, event_id, CASE WHEN kind IN ('claim', 'heartbeat') THEN held IS NULL OR held = client WHEN kind = 'release' THEN coalesce(held = client, false) ELSE held IS NOT NULL END,
+      CASE WHEN kind IN ('claim', 'heartbeat') THEN coalesce(held, client) WHEN kind = 'release' AND held <> client THEN held END,
+      CASE WHEN kind IN ('claim', 'heartbeat') AND coalesce(held, client) = client THEN at_s ELSE since END
+    FROM (SELECT k.*, f.since, CASE WHEN k.at_s - f.since <= 3600 THEN f.holder END AS held FROM f JOIN k ON k.tile = f.tile AND k.n = f.n + 1))
+  SELECT tile, event_id, accepted, holder FROM f WHERE n > 0""")
 def st01(spark, sf_dir):
     return presence.lock_history(events(spark, sf_dir), 3600.0)
 

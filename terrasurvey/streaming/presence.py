@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ranges import in_ranges
+
 #: A holder or client that has not been heard of for longer than this many seconds is gone.
 TTL = 20.0
 
@@ -59,12 +61,58 @@ def lock_stream(events: DataFrame, ttl: float = TTL) -> DataFrame:
     return events.groupBy("tile").applyInPandasWithState(run, FIELDS, "client string, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def lock_history(events: DataFrame, ttl: float = TTL) -> DataFrame:
-    """The same for a table of events: the events of one tile are folded in order, from each silence of more than ttl to the next, after which no lock is held."""
-    order = Window.partitionBy("tile").orderBy("at", "event_id")
-    cut = events.select("tile", "event_id", "kind", "client", "at").withColumn("fresh", F.coalesce((F.col("at") - F.lag("at").over(order) > ttl).cast("int"), F.lit(0)))
-    runs = cut.withColumn("run", F.sum("fresh").over(order)).drop("fresh")
-    return runs.groupBy("tile", "run").applyInPandas(lambda rows: fold(rows, None, ttl)[0], FIELDS)
+def lock_history(events: DataFrame, ttl: float = TTL, most: int = 100_000) -> DataFrame:
+    """The same for a table of events. A tile's events may take many tasks: they are cut into ranges of about `most` events in order of time.
+
+    What a range does to a lock is a map from the holder before it to the holder after it. Who held the lock has been heard of within the TTL, and
+    holds it since its last event, so only few holders are possible before a range: nobody, or one of the clients heard of shortly before. Each range is
+    folded for each of them (until that comes to the same as for nobody), the maps of a tile's ranges are applied in order, a few
+    rows for each range, and each range is folded again from the holder that it begins with.
+    """
+    rows = in_ranges(events.select("tile", "event_id", "kind", "client", "at"), "tile", "at", "event_id", most=most)
+    spans = rows.groupBy("tile", "_range").agg(F.min("at").alias("since"))
+    # only tiles in several ranges have a later one; there are fewer of those than ranges
+    later = spans.withColumn("_first", F.min("_range").over(Window.partitionBy("tile"))).where("_range > _first").select("tile", F.col("_range").alias("_later"), "since")
+    heard = rows.where(F.col("kind").isin("claim", "heartbeat")).join(later, "tile").where((F.col("_range") < F.col("_later")) & (F.col("since") - F.col("at") <= ttl))
+    heard = heard.groupBy(F.col("tile").alias("tile"), F.col("_later").alias("_range"), F.col("client").alias("client")).agg(F.max("at").alias("at"))
+    own, kind = ["tile", "_range"], "tile long, _range long"
+
+    def follow(part: pd.DataFrame, possible: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["at", "event_id"])
+        turns = list(zip(part["kind"], part["client"], part["at"], strict=True))
+        trace, holder = [], None
+        for event in turns:
+            holder = step(holder, *event, ttl)[0]
+            trace.append(holder)
+        maps = [(None, None, *(holder or (None, None)))]
+        for client, at in zip(possible["client"], possible["at"], strict=True):
+            now = (client, at)
+            for event, plain in zip(turns, trace, strict=True):
+                now = step(now, *event, ttl)[0]
+                if now == plain:
+                    now = holder
+                    break
+            maps.append((client, at, *(now or (None, None))))
+        out = pd.DataFrame(maps, columns=["client", "at", "to", "to_at"])
+        return out.assign(tile=part["tile"].iloc[0], _range=part["_range"].iloc[0])[["tile", "_range", "client", "at", "to", "to_at"]] if len(part) else out.iloc[:0].assign(tile=0, _range=0)[["tile", "_range", "client", "at", "to", "to_at"]]
+
+    def chain(maps: pd.DataFrame) -> pd.DataFrame:
+        out, holder = [], (None, None)
+        for at, span in maps.groupby("_range", sort=True):
+            out.append((span["tile"].iloc[0], at, *holder))
+            known = {None if pd.isna(c) else c: (None, None) if pd.isna(t) else (t, w) for c, t, w in zip(span["client"], span["to"], span["to_at"], strict=True)}
+            holder = known.get(holder[0], known[None])  # who is not among them has not been heard of for too long
+        return pd.DataFrame(out, columns=["tile", "_range", "client", "at"])
+
+    split = rows.join(later.select("tile").distinct(), "tile", "left_semi")
+    maps = split.groupBy(*own).cogroup(heard.groupBy(*own)).applyInPandas(follow, f"{kind}, client string, at double, to string, to_at double")
+    begins = maps.groupBy("tile").applyInPandas(chain, f"{kind}, client string, at double")
+
+    def run(part: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        client = begin["client"].iloc[0] if len(begin) else None
+        return fold(part, None if pd.isna(client) else (client, begin["at"].iloc[0]), ttl)[0]
+
+    return rows.groupBy(*own).cogroup(begins.groupBy(*own)).applyInPandas(run, FIELDS)
 
 
 def sessions(events: DataFrame, ttl: float) -> DataFrame:
