@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernel
 from ..sources.shared import stored
+from .ordered import first_entry
 from .overlay import passable_cells
 
 
@@ -96,7 +97,7 @@ def attached(cells: DataFrame, terminals: DataFrame, slack: float = 1e-7, nudge:
 
 def with_terminals(cells: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, terminals): the network with the terminals as nodes of their own, and where these are."""
-    links = attached(cells, terminals).cache()
+    links = stored(attached(cells, terminals))
     edges = network(cells).union(links.drop("terminal"))
     return edges, links.select("site", "terminal", F.col("a.x").alias("x"), F.col("a.y").alias("y")).distinct()
 
@@ -116,7 +117,7 @@ def shortest(edges: dict, start) -> dict:
 
 
 def path_lengths(edges: DataFrame, terminals: DataFrame) -> DataFrame:
-    """(site, source, target, metres) of the shortest paths between a site's terminals (site, terminal, x, y), each attached to its nearest node.
+    """(site, source, target, metres) of the shortest paths between a site's terminals (site, terminal, x, y), which are nodes of it (see with_terminals).
 
     A network belongs to one site; its terminals are capped (at most 201), as a tour's are.
     """
@@ -132,48 +133,105 @@ def path_lengths(edges: DataFrame, terminals: DataFrame) -> DataFrame:
         if nodes and len(ends):
             if len(ends) > 201:
                 raise ValueError("more than 200 targets and a start")
-            at = np.array(list(nodes))
-            near = [(t.terminal, *min(((float(np.hypot(x - t.x, y - t.y)), i) for i, (x, y) in enumerate(at)))) for t in ends.itertuples()]
-            for source, d0, i in near:
+            at = [(t.terminal, nodes.get((t.x, t.y))) for t in ends.itertuples()]
+            if any(i is None for _, i in at):
+                raise ValueError(f"a terminal of site {key[0]} is no node of its network")
+            for source, i in at:
                 reach = shortest(links, i)
-                out += [(key[0], source, target, d0 + reach[j] + d1) for target, d1, j in near if j in reach and target != source]
+                out += [(key[0], source, target, reach[j]) for target, j in at if j in reach and target != source]
         return pd.DataFrame(out, columns=["site", "source", "target", "metres"])
 
     return edges.groupBy("site").cogroup(terminals.groupBy("site")).applyInPandas(run, "site long, source long, target long, metres double")
 
 
-def tour(distance: np.ndarray) -> tuple[list[int], float, float]:
-    """(order, length, nearest-neighbour length) of a closed tour from node 0: nearest neighbour, then 2-opt and or-opt while they shorten it."""
+def length_of(order: list[int], distance: np.ndarray) -> float:
+    return float(distance[order, [*order[1:], order[0]]].sum())
+
+
+def neighbours(d: np.ndarray, most: int = 10) -> np.ndarray:
+    """Of each stop the nearest others."""
+    return np.argsort(d + np.diag(np.full(len(d), np.inf)), axis=1, kind="stable")[:, : min(most, len(d) - 1)]
+
+
+def settled(order: np.ndarray, d: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
+    """A closed tour after the best of all reversals of a part and moves of up to three stops that join a stop to a near one, as long as one shortens it."""
+    n = len(order)
+    near = neighbours(d) if near is None else near
+    at = np.arange(n)
+    while True:
+        before, after = np.roll(order, 1), np.roll(order, -1)
+        place = np.empty(n, int)
+        place[order] = at
+        # a reversal of the stops from i to j joins before[i] with order[j], and order[i] with after[j]
+        i = np.repeat(at, near.shape[1])
+        best, move = 1e-9, None
+        for j in (place[near[before]].ravel(), place[near[order]].ravel() - 1):
+            ok = (i > 0) & (j > i)
+            p, q = i[ok], j[ok]
+            gain = d[before[p], order[p]] + d[order[q], after[q]] - d[before[p], order[q]] - d[order[p], after[q]]
+            k = int(np.argmax(gain)) if len(gain) else -1
+            if k >= 0 and gain[k] > best:
+                best, move = gain[k], ("turn", int(p[k]), int(q[k]))
+        for m in (1, 2, 3):
+            if n - m < 3:
+                continue
+            first = np.arange(1, n - m + 1)  # the start stays
+            last = first + m - 1
+            beyond = order[(last + 1) % n]
+            saved = (d[order[first - 1], order[first]] + d[order[last], beyond] - d[order[first - 1], beyond])[:, None]
+            for flip in (False, True):
+                head, tail = (order[last], order[first]) if flip else (order[first], order[last])
+                gap = np.hstack([place[near[head]], (place[near[tail]] - 1) % n])  # between a stop and the next one
+                cost = d[order[gap], head[:, None]] + d[tail[:, None], after[gap]] - d[order[gap], after[gap]]
+                worth = np.where((gap >= first[:, None] - 1) & (gap <= last[:, None]), -np.inf, saved - cost)
+                k = int(np.argmax(worth))
+                if worth.flat[k] > best + 1e-12:
+                    r, c = divmod(k, gap.shape[1])
+                    best, move = worth.flat[k], ("move", int(first[r]), m, int(gap[r, c]), flip)
+        if move is None:
+            return order
+        if move[0] == "turn":
+            order = order.copy()
+            order[move[1] : move[2] + 1] = order[move[1] : move[2] + 1][::-1]
+        else:
+            _, a, m, gap, flip = move
+            part = order[a : a + m][::-1] if flip else order[a : a + m]
+            rest = np.delete(order, np.arange(a, a + m))
+            gap = gap if gap < a else gap - m
+            order = np.concatenate((rest[: gap + 1], part, rest[gap + 1 :]))
+
+
+def tour(distance: np.ndarray, rounds: int = 150, share: float = 1.0) -> tuple[list[int], float, float]:
+    """(order, length, nearest-neighbour length) of a closed tour from node 0: nearest neighbour, local search, and guided local search.
+
+    Once no move shortens the tour, those of its edges that are long for the penalties they have get one more, lengths plus penalties are
+    searched again, and the shortest tour of all rounds counts; `share` of a mean edge is a penalty's weight. Distances are the same both ways.
+    """
     n = len(distance)
     order, left = [0], set(range(1, n))
     while left:
         k = min(left, key=lambda j: (distance[order[-1], j], j))
         order.append(k)
         left.remove(k)
-    size = lambda o: float(sum(distance[a, b] for a, b in zip(o, [*o[1:], o[0]], strict=True)))
-    base = size(order)
-    better = n > 3
-    while better:
-        better = False
-        for i in range(1, n - 1):
-            for j in range(i + 1, n):
-                a, b, c, d = order[i - 1], order[i], order[j], order[(j + 1) % n]
-                if distance[a, c] + distance[b, d] < distance[a, b] + distance[c, d] - 1e-9:
-                    order[i : j + 1] = order[i : j + 1][::-1]
-                    better = True
-        for i in range(1, n):
-            for m in (1, 2, 3):
-                if i + m > n or better:
-                    continue
-                part, rest = order[i : i + m], order[:i] + order[i + m :]
-                # taking the part out saves this; putting it between any two others costs that
-                saved = distance[order[i - 1], part[0]] + distance[part[-1], order[(i + m) % n]] - distance[order[i - 1], order[(i + m) % n]]
-                before, after = np.array(rest), np.array([*rest[1:], rest[0]])
-                cost = distance[before, part[0]] + distance[part[-1], after] - distance[before, after]
-                k = int(np.argmin(cost))
-                if cost[k] < saved - 1e-9:
-                    order, better = rest[: k + 1] + part + rest[k + 1 :], True
-    return order, size(order), base
+    base = length_of(order, distance)
+    if n < 4:
+        return order, base, base
+    near = neighbours(distance)
+    now = settled(np.array(order), distance, near)
+    best, least = now, length_of(now.tolist(), distance)
+    penalties, weight = np.zeros((n, n)), share * least / n
+    for _ in range(rounds):
+        a, b = now, np.roll(now, -1)
+        worth = distance[a, b] / (1 + penalties[a, b])
+        worst = np.flatnonzero(worth >= worth.max() - 1e-12)
+        penalties[a[worst], b[worst]] += 1
+        penalties[b[worst], a[worst]] = penalties[a[worst], b[worst]]
+        now = settled(now, distance + weight * penalties, near)
+        found = settled(now, distance, near)
+        size = length_of(found.tolist(), distance)
+        if size < least - 1e-9:
+            best, least = found, size
+    return best.tolist(), least, base
 
 
 def tours(lengths: DataFrame, start: int = 0) -> DataFrame:
@@ -250,6 +308,30 @@ def route_lines(paths: DataFrame) -> DataFrame:
     return both.select("site", joined.alias("points"), "length_m")
 
 
+def planned(ground: DataFrame, terminals: DataFrame, permitted: DataFrame, radius: float = 2.0) -> DataFrame:
+    """(site, points, length_m, baseline_m, outside_m, stops): each site's route, checked, with its stops (stop_order, terminal, distance_m) in the order met.
+
+    ground: walkable cells; terminals: site, terminal (0 is the start), x, y; permitted: site, ring, all that may be walked on. Terminals are attached to their
+    cells, the tour over the paths between them is expanded with shortcuts, and a stop counts where the route first comes within `radius` of it, also on the way
+    to another one. A route that leaves permitted ground, or misses a terminal that its start reaches, is an error.
+    """
+    edges, places = with_terminals(ground, terminals)
+    order = stored(tours(path_lengths(edges, places)))
+    lines = stored(route_lines(expanded(edges, legs_of(order, places), ground)))
+    path = lines.select(F.col("site").alias("route_id"), F.posexplode("points").alias("at", "p")).select("route_id", "at", "p.x", "p.y")
+    goals = order.where("terminal <> 0").select("site", "terminal").join(places, ["site", "terminal"])
+    met = first_entry(path, goals.select(F.col("site").alias("route_id"), F.col("terminal").alias("target_id"), "x", "y"), radius)
+    met = goals.select("site", "terminal").join(met.select(F.col("route_id").alias("site"), F.col("target_id").alias("terminal"), "distance_m"), ["site", "terminal"], "left")
+    missed = F.when(F.col("distance_m").isNull(), F.raise_error(F.concat(F.lit("a stop is missed: "), F.col("terminal").cast("string"))).cast("double")).otherwise(F.col("distance_m"))
+    met = met.withColumn("distance_m", missed).withColumn("stop_order", F.row_number().over(Window.partitionBy("site").orderBy("distance_m", "terminal")))
+    stops = met.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("stop_order", "terminal", "distance_m"))).alias("stops"))
+    beyond = outside(lines.select("site", F.transform("points", lambda p: F.array(p["x"], p["y"])).alias("line")), permitted)
+    checked = F.when(F.col("outside_m") > 1e-6, F.raise_error(F.lit("the route leaves permitted ground")).cast("double")).otherwise(F.col("outside_m"))
+    base = order.groupBy("site").agg(F.max("baseline_m").alias("baseline_m"))
+    whole = lines.join(beyond.select("site", checked.alias("outside_m")), "site").join(base, "site").join(stops, "site", "left")
+    return whole.select("site", "points", "length_m", "baseline_m", "outside_m", "stops")
+
+
 def road_areas(lines: DataFrame, polygons: DataFrame, half_width: float = 1.5) -> DataFrame:
     """(site, label, ring): roads as passages: the ground within half_width of lines (site, line), and polygons (site, ring) as they are."""
 

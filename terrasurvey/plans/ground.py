@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import kernel
 from ..operators import masks, routes
+from ..sources.shared import stored
 from .inputs import read
 from .registry import query
-from .routes import cells, terminals
+from .routes import SQL_TERMINALS, cells, terminals
 
 
 def xy(x, y):
@@ -81,28 +82,32 @@ def p07(spark, sf_dir):
     return s.mapInPandas(run, "id long, covered boolean")
 
 
-@query("gr04_attached_terminals", """SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS site, true AS whole FROM supplier""")
+@query("gr04_attached_terminals", f"""WITH {SQL_TERMINALS}, held AS (SELECT *, CASE WHEN y < 20 + k THEN -2.0 ELSE 22.0 + k END AS low, CASE WHEN y < 20 + k THEN 20.0 + k ELSE 62.0 END AS high FROM ends),
+  places AS (SELECT DISTINCT site, k, low, y FROM held)
+  SELECT h.site, terminal, CAST(3 * k + 0.5 AS DOUBLE) AS x0, CAST(3 * k + 1.5 AS DOUBLE) AS x1, CAST((SELECT count(*) FROM places p WHERE p.site = h.site AND p.k = h.k AND p.low = h.low AND p.y <> h.y AND p.y <> (h.low + h.high) / 2)
+    + CASE WHEN h.y = (low + high) / 2 THEN 2 ELSE 3 END AS BIGINT) AS links, round(CAST(abs(y - (low + high) / 2) + 2 * sqrt(0.25 + pow(y - (low + high) / 2, 2)) AS DOUBLE), 6) AS metres FROM held h""")
 def gr04(spark, sf_dir):
-    # every terminal but those on a stone lies in a cell of its lane; the edges stay within it
-    ends = terminals(spark, sf_dir)
-    k = ((F.col("x") - 1) / 3).cast("int")
-    free = ends.where((F.col("terminal") == 0) | ~F.col("y").between(20 + k - 0.5, 22 + k + 0.5))
-    links = routes.attached(cells(spark, sf_dir), free)
-    n = links.groupBy("site").agg(F.count_distinct("terminal").alias("n"), F.max("length").alias("longest"))
-    return n.join(free.groupBy("site").agg(F.count("*").alias("all")), "site").select("site", ((F.col("n") == F.col("all")) & (F.col("longest") < 90)).alias("whole"))
+    """Each target's edges: to the middle of the cell of its lane before or behind the stone, to its two portals, and to the other targets there."""
+    links = routes.attached(cells(spark, sf_dir), terminals(spark, sf_dir)).where("terminal <> 0")
+    dx = F.abs(F.col("b.x") - F.col("a.x"))
+    middle = links.groupBy("site", "terminal").agg(F.min("b.x").alias("x0"), F.max("b.x").alias("x1"), F.count("*").alias("links"), F.min(F.when(dx > 0, F.col("length"))).alias("side"))
+    # the two portals and the middle lie at one height
+    height = F.sqrt(F.col("side") * F.col("side") - 0.25)
+    return middle.select("site", "terminal", "x0", "x1", "links", F.round(height + 2 * F.col("side"), 6).alias("metres"))
 
 
-@query("gr07_routes", """SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS site, true AS closed, true AS no_longer FROM supplier""")
+@query("gr07_routes", f"""WITH {SQL_TERMINALS} SELECT site, count(DISTINCT (k, y)) AS places, true AS closed, true AS no_longer FROM ends GROUP BY 1""")
 def gr07(spark, sf_dir):
     ground = cells(spark, sf_dir)
-    ends = terminals(spark, sf_dir)
-    k = ((F.col("x") - 1) / 3).cast("int")
-    edges, places = routes.with_terminals(ground, ends.where((F.col("terminal") == 0) | ~F.col("y").between(20 + k - 0.5, 22 + k + 0.5)))
-    stops = routes.tours(routes.path_lengths(edges, places)).cache()
+    edges, places = routes.with_terminals(ground, terminals(spark, sf_dir))
+    stops = stored(routes.tours(routes.path_lengths(edges, places)))
     lines = routes.route_lines(routes.expanded(edges, routes.legs_of(stops, places), ground))
     tours = stops.groupBy("site").agg(F.max("length_m").alias("tour_m"))
+    # all targets' places are on the route
+    passed = lines.select("site", F.explode("points").alias("p")).select("site", "p.x", "p.y").distinct()
+    found = places.where("terminal <> 0").select("site", "x", "y").distinct().join(passed, ["site", "x", "y"], "left_semi").groupBy("site").agg(F.count("*").alias("places"))
     closed = F.element_at("points", 1) == F.element_at("points", -1)
-    return lines.join(tours, "site").select("site", closed.alias("closed"), (F.col("length_m") <= F.col("tour_m") + 0.1).alias("no_longer"))
+    return lines.join(tours, "site").join(found, "site").select("site", "places", closed.alias("closed"), (F.col("length_m") <= F.col("tour_m") + 0.1).alias("no_longer"))
 
 
 SQL_TRIANGLES = """t AS (SELECT p_partkey AS id, p_partkey % 30 + 0.3::DOUBLE AS x1, p_partkey % 20 + 0.2::DOUBLE AS y1, p_partkey % 30 + 4.1::DOUBLE + p_size % 9 AS x2, p_partkey % 20 + 1.7::DOUBLE AS y2,

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -124,11 +125,14 @@ def g12(spark, sf_dir):
     return spatial.oriented_boxes(points(spark, sf_dir).withColumn("block", F.col("id") % 40), ["block"])
 
 
-@query("g06_simplified_lines", """SELECT CAST(o_custkey AS BIGINT) AS id, CAST(2 AS INTEGER) AS n FROM orders GROUP BY 1""")
+@query("g06_simplified_lines", """SELECT CAST(o_custkey AS BIGINT) AS id, CAST(CASE WHEN o_custkey % 2 = 0 THEN least(2, count(*)) ELSE count(*) END AS INTEGER) AS n FROM orders GROUP BY o_custkey""")
 def g06(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("double").alias("x"), (F.col("o_orderkey") * 2).cast("double").alias("y")))).alias("line"))
-    far = F.concat(F.array(F.struct(F.lit(-1.0).alias("x"), F.lit(-2.0).alias("y"))), "line")
-    return spatial.simplify(o.withColumn("line", far), "line", 0.01).select("id", F.size("line").alias("n"))
+    """Straight lines keep their ends, lines that swing by five metres all their points."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), place.alias("k"))
+    at = F.struct((F.col("k") * 2).cast("double").alias("x"), (F.col("k") * 3 + F.when((F.col("id") % 2 == 1) & (F.col("k") % 2 == 1), 5).otherwise(0)).cast("double").alias("y"))
+    lines = o.groupBy("id").agg(F.array_sort(F.collect_list(at)).alias("line"))
+    return spatial.simplify(lines, "line", 0.01).select("id", F.size("line").alias("n"))
 
 
 @query("g14_bounds", f"WITH {SQL_BOXES} SELECT id, x0, y0, x1, y1 FROM boxes")

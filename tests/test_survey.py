@@ -42,7 +42,7 @@ def test_overlay_of_slanted_shapes():
 def plan(spark, areas, ends):
     a = spark.createDataFrame([(1, label, ring.tolist()) for label, ring in areas], "site long, label string, ring array<array<double>>")
     t = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate(ends)], "site long, terminal long, x double, y double")
-    return routes.path_lengths(routes.network(routes.walkable_cells(a, ["interrow_area", "passage"], ["forbidden", "canopy"])), t)
+    return routes.path_lengths(*routes.with_terminals(routes.walkable_cells(a, ["interrow_area", "passage"], ["forbidden", "canopy"]), t))
 
 
 def test_routes_go_round_obstacles(spark):
