@@ -84,3 +84,41 @@ def window_starts(extent: int, window: int, step: int) -> list[int]:
 def blended(scores: DataFrame, place: list[str], score: str, weight: str) -> DataFrame:
     """Overlapping windows' scores as their weighted mean."""
     return scores.groupBy(*place).agg((F.sum(F.col(score) * F.col(weight)) / F.sum(weight)).alias("score"))
+
+
+def window_weights(window: int):
+    """How much a window's pixels count along one axis: least at its ends, all from a quarter on."""
+    import numpy as np
+
+    i = np.arange(window)
+    return np.clip(np.minimum(i + 1, window - i) / (window / 4), 0.05, 1.0)
+
+
+def slid(pixels: DataFrame, keys: list[str], width: int, height: int, window: int, overlap: int, score) -> DataFrame:
+    """(keys, px, py, score): windows that slide over tiles of a width and height, scored, and blended where they overlap.
+
+    pixels: keys, px, py, value; those without a value are 0. score: a function of a window's image (rows, columns) that gives as many scores; it is asked
+    for the image and for the image mirrored along each axis, and the three answers' mean counts. A window is one group, of fixed size.
+    """
+    import numpy as np
+    import pandas as pd
+
+    starts = [window_starts(n, window, window - overlap) for n in (width, height)]
+    of = lambda c, s: F.explode(F.filter(F.array(*map(F.lit, s)), lambda x: (x <= F.col(c)) & (F.col(c) < x + window)))
+    dealt = pixels.select(*keys, "px", "py", "value").withColumn("sx", of("px", starts[0])).withColumn("sy", of("py", starts[1]))
+    fields = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
+    weight = np.outer(window_weights(window), window_weights(window))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(rows["sx"].iloc[0]), int(rows["sy"].iloc[0])
+        image = np.zeros((window, window))
+        image[rows["py"] - y, rows["px"] - x] = rows["value"].fillna(0.0)
+        found = (score(image) + score(image[:, ::-1])[:, ::-1] + score(image[::-1])[::-1]) / 3
+        j, i = np.divmod(np.arange(window * window), window)
+        out = pd.DataFrame({"px": i + x, "py": j + y, "found": found.ravel(), "weight": weight.ravel()})
+        for k in reversed(keys):
+            out.insert(0, k, rows[k].iloc[0])
+        return out[(out["px"] < width) & (out["py"] < height)]
+
+    scores = dealt.groupBy(*keys, "sx", "sy").applyInPandas(run, f"{fields}, px long, py long, found double, weight double")
+    return blended(scores, [*keys, "px", "py"], "found", "weight")

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
+from .masks import rasterised
+
 
 def clip_window(x0: Column, y0: Column, x1: Column, y1: Column, is_point: Column) -> Column:
     """The window around a click (140 either side) or a drag (80 and half its extent, between 80 and 300)."""
@@ -109,3 +112,17 @@ def sampled_grid(boxes: DataFrame, step: float) -> DataFrame:
     axis = lambda a, b: F.explode(F.transform(F.sequence(F.ceil(F.col(a) / step - 0.5), F.floor(F.col(b) / step - 0.5)), lambda i: (i + 0.5) * step))
     ok = boxes.where((F.ceil(F.col("x0") / step - 0.5) <= F.floor(F.col("x1") / step - 0.5)) & (F.ceil(F.col("y0") / step - 0.5) <= F.floor(F.col("y1") / step - 0.5)))
     return ok.withColumn("x", axis("x0", "x1")).withColumn("y", axis("y0", "y1"))
+
+
+def sampled_polygons(shapes: DataFrame, key: str, least: float = 0.25, most: float = 4e6) -> DataFrame:
+    """(key, x, y, step): the points of a grid inside each polygon (key, ring, closed), from half a step inside its bounds on.
+
+    The step is `least`, or so much more that the bounds hold `most` points. The grid's lines cross the ring's edges and are paired in order, as masks
+    are rasterised, so only points inside are made.
+    """
+    b = g.bounds(F.col("ring"))
+    sized = shapes.select(key, "ring", b.alias("b")).withColumn("step", F.greatest(F.lit(least), F.sqrt((F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0")) / most)))
+    scaled = F.transform("ring", lambda p: F.struct(((p["x"] - F.col("b.x0")) / F.col("step")).alias("x"), ((p["y"] - F.col("b.y0")) / F.col("step")).alias("y")))
+    runs = rasterised(sized.select(key, F.array(scaled).alias("rings")), [key]).withColumn("px", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    at = lambda c, low: ((F.col(c) + 0.5) * F.col("step") + F.col(f"b.{low}"))
+    return runs.join(sized.select(key, "b", "step"), key).select(key, at("px", "x0").alias("x"), at("py", "y0").alias("y"), "step")

@@ -151,16 +151,16 @@ def sk04(spark, sf_dir):
     return labels.next_fit(tiles(spark, sf_dir), 90_000_000)
 
 
-@query("w10_priority_overlay", f"""WITH {SQL_ANNOTATIONS}, pixels AS (SELECT id, z_order, label, x + i AS px, y + j AS py
+@query("w10_priority_overlay", f"""WITH {SQL_ANNOTATIONS}, pixels AS (SELECT tile_name, id, z_order, label, x + i AS px, y + j AS py
     FROM (SELECT *, unnest(range(w)) AS i FROM annotations), (SELECT unnest(range(7)) AS j) WHERE j < h AND label <> 'dead_vine'),
-  ranked AS (SELECT px, py, label, row_number() OVER (PARTITION BY px, py ORDER BY list_position(['vineyard', 'interrow_area', 'waste', 'row'], label) DESC, id DESC) AS k FROM pixels)
-  SELECT label, count(*) AS pixels, CAST(sum(px * 1000 + py) AS BIGINT) AS places FROM ranked WHERE k = 1 GROUP BY 1""")
+  ranked AS (SELECT tile_name, px, py, label, row_number() OVER (PARTITION BY tile_name, px, py ORDER BY list_position(['vineyard', 'interrow_area', 'waste', 'row'], label) DESC, id DESC) AS k FROM pixels)
+  SELECT tile_name, label, count(*) AS pixels, CAST(sum(px * 1000 + py) AS BIGINT) AS places FROM ranked WHERE k = 1 GROUP BY 1, 2""")
 def w10(spark, sf_dir):
     from ..operators.raster import burnt_runs
 
     a = annotations(spark, sf_dir).withColumn("py", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)))
     # of equal runs only the last one matters
-    runs = a.select("py", F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("end"), "label", "id").groupBy("py", "start", "end", "label").agg(F.max("id").alias("id"))
+    runs = a.select("tile_name", "py", F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("end"), "label", "id").groupBy("tile_name", "py", "start", "end", "label").agg(F.max("id").alias("id"))
     n = F.col("end") - F.col("start")
     places = (F.col("start") + F.col("end") - 1) * n / 2 * 1000 + F.col("py") * n
-    return burnt_runs(runs, [], "py", "id").groupBy("label").agg(F.sum(n).alias("pixels"), F.sum(places.cast("long")).alias("places"))
+    return burnt_runs(runs, ["tile_name"], "py", "id").groupBy("tile_name", "label").agg(F.sum(n).alias("pixels"), F.sum(places.cast("long")).alias("places"))

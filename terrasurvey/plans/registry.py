@@ -24,5 +24,5 @@ def flagship(spark, sf_dir):
     return QUERIES["a05_measurements"](spark, sf_dir)
 
 
-for _module in ("label_store", "measures", "ordered", "spatial", "scalars", "rasters", "routes", "streams", "extras", "ground", "shapes"):
+for _module in ("label_store", "measures", "ordered", "spatial", "scalars", "rasters", "routes", "streams", "extras", "ground", "shapes", "selection"):
     import_module(f"terrasurvey.plans.{_module}")
