@@ -43,7 +43,8 @@ def pieces_outside(lines: DataFrame, areas: DataFrame, key: str, least: float =
     p = whole.select(key, "segment", "a", "b", F.posexplode(parts).alias("k", "part")).select(key, "segment", "k", "part.from", "part.to", F.hypot(dx, dy).alias("metres"), *[(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * (F.col("part.from") + F.col("part.to")) / 2).alias(c) for c in "xy"])
     p = p.where((F.col("to") - F.col("from")) * F.col("metres") > least)
     middles = p.select(key, "segment", "k", "x", "y", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    held = box_join(middles, areas.select("ring", g.bounds(F.col("ring")).alias("b")).select("ring", "b.*"), cell).where(g.contains(F.col("r_ring"), F.col("x"), F.col("y"))).select(key, "segment", "k").distinct()
+    on_edge = F.exists(g.pairs(F.col("r_ring")), lambda s: g.segment_distance(F.col("x"), F.col("y"), s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) <= 1e-9)  # borders are inside
+    held = box_join(middles, areas.select("ring", g.bounds(F.col("ring")).alias("b")).select("ring", "b.*"), cell).where(g.contains(F.col("r_ring"), F.col("x"), F.col("y")) | on_edge).select(key, "segment", "k").distinct()
     out = p.join(held, [key, "segment", "k"], "left_anti")
     order = Window.partitionBy(key, "segment").orderBy("k")
     fresh = F.when(F.col("from") > F.lag("to").over(order) + 1e-12, 1).otherwise(0)
