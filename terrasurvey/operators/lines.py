@@ -24,7 +24,7 @@ def pieces_outside(lines: DataFrame, areas: DataFrame, key: str, least: float =
     s = segments_of(lines, key)
     e = areas.select(F.explode(g.pairs(F.col("ring"))).alias("e")).select(F.col("e.a").alias("p"), F.col("e.b").alias("q"))
     e = e.select("*", *[f(f"p.{c}", f"q.{c}").alias(n) for n, f, c in LOW_HIGH])
-    cell = max(mean_extent(s), mean_extent(e))
+    cell = max(mean_extent(s), mean_extent(e) / 16)  # long edges must not make one cell of everything
     m = box_join(s, e, cell)
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
     ex, ey = F.col("r_q.x") - F.col("r_p.x"), F.col("r_q.y") - F.col("r_p.y")
