@@ -18,6 +18,8 @@ DROPPED = frozenset("head noscript template title nav footer aside form button s
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("ad ads advert adverts advertisement sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment comments cookie cookies notice newsletter related share pagination".split())
+# Words that make a name of several words a state or a layout of the content instead of such an element: has-sidebar, comments-open.
+STATES = frozenset("has have with without no is not open opened closed enabled disabled active inactive status count hide show layout page wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 #: Ranks of pages are followed in blocks of so many.
@@ -27,17 +29,25 @@ BITS = 1 << 28
 
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?>[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""")
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NAME_WORDS = re.compile(r"[^-_]+")
 CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW | {"script", "style"}}
 
 
 def is_part(attributes: str) -> bool:
-    """Whether an element's attributes name it as something beside the content: its role, or a whole class or id."""
+    """Whether an element's attributes name it as something beside the content: its role, or a class or id.
+
+    Of a class or id of several words (site-footer, comment_list) the first or the last has to say so, and none may say that it is a state or a layout.
+    """
     if not attributes or attributes.isspace():
         return False
     found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or "display:none" in found.get("style", "").replace(" ", ""):
         return True
-    return not PARTS.isdisjoint((found.get("class", "") + " " + found.get("id", "")).split())
+    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+        words = NAME_WORDS.findall(name)
+        if words and not PARTS.isdisjoint((name, words[0], words[-1])) and STATES.isdisjoint(words):
+            return True
+    return False
 
 
 def lines_of(html: str | None) -> list[tuple[str, int]]:
@@ -184,13 +194,14 @@ def are_copies(a: dict, b: dict) -> bool:
     return shared > 0 and 2 * shared >= min(sum(x.values()) for x in own)
 
 
-def shared_lines(page: dict, back: dict | None, on: dict | None) -> list[int]:
+def shared_lines(page: dict, back: dict | None, on: dict | None, further: dict | None) -> list[int]:
     """Positions of the lines that go: outside article and main those that the neighbour with the nearer URL has, inside those that both have
     and that are common on the host.
 
-    An article is left whole if it would lose half of its text or more: a template is never most of an article.
+    further: where the host's first or last page has a neighbour on one side only, the next one on that side. An article is left whole if it would
+    lose half of its text or more: a template is never most of an article.
     """
-    sides = [x for x in (back, on) if x]
+    sides = [x for x in (back, on, further) if x]
     if not sides:
         return []
 
@@ -208,11 +219,12 @@ def shared_lines(page: dict, back: dict | None, on: dict | None) -> list[int]:
 
 
 def with_neighbours(pages: DataFrame) -> DataFrame:
-    """(class, path, lines, places, sizes, rare, back, on): of the distinct pages, the pages of the nearest URLs that are not copies of theirs.
+    """(class, path, lines, places, sizes, rare, back, on, further): of the distinct pages, the two pages of the nearest URLs that are not copies of theirs.
 
     Pages are ranked by host and path: sorted in ranges, with the ranges' sizes added up. Pages next to each other that are copies make a
-    run, and the neighbours of all pages of a run are the page before it and the page behind it, however long it is. Nothing is
-    gathered by host, and what is next to a page does not depend on how many pages there are.
+    run, and the neighbours of all pages of a run are the page before it and the page behind it, however long it is. If one of these is of
+    another host, the next run on the other side gives the second (further). Nothing is gathered by host, and what is next to a page does
+    not depend on how many pages there are.
     """
     first = pages.groupBy("class").agg(F.min(F.struct("path", "page")).alias("first"), F.first("host").alias("host"))
     order = ["host", "path", "class"]
@@ -231,8 +243,15 @@ def with_neighbours(pages: DataFrame) -> DataFrame:
     often = distinct.select("host", F.explode(own).alias("line")).groupBy("host", "line").agg(F.count("*").alias("often")).where("often >= 3")
     usual = spread_join(often, hosts, "host", "n", n).where("2 * often > n").groupBy("host").agg(F.collect_set("line").alias("usual"))
     hosts = hosts.join(usual, "host", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<long>")))
-    rare = F.transform("lines", lambda x: ~F.array_contains("usual", x))
-    known = stored(spread_join(distinct, hosts, "host", "n", n).withColumn("rare", rare).drop("usual", "n"))
+    asked = spread_join(distinct, hosts, "host", "n", n).select("rank", "host", "path", "class", "lines", "places", "sizes", "usual")
+
+    def flagged(batches):
+        for batch in batches:
+            flags = [[x not in usual for x in lines] for lines, usual in zip(batch.column(4).to_pylist(), map(set, batch.column(7).to_pylist()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(flags, pa.list_(pa.bool_()))], [*batch.schema.names[:7], "rare"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields[:7])
+    known = stored(asked.mapInArrow(flagged, f"{kinds}, rare array<boolean>"))
 
     page = F.struct("host", "path", "lines", "places", "sizes", "rare")
     here, behind = known.select("rank", page.alias("a")), known.select((F.col("rank") - 1).alias("rank"), page.alias("b"))
@@ -254,21 +273,32 @@ def with_neighbours(pages: DataFrame) -> DataFrame:
     begin = F.max("cut").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     end = F.min("cut").over(inside.rowsBetween(1, Window.unboundedFollowing))
     runs = ranks.select("rank", "block", begin.alias("begin"), end.alias("end")).join(blocks, "block")
-    runs = runs.select("rank", (F.coalesce("begin", "former") - 1).alias("before"), F.coalesce("end", "next").alias("after"))
+    runs = stored(runs.select("rank", F.coalesce("begin", "former").alias("begin"), F.coalesce("end", "next").alias("after")))
+    # each run once, with the runs before and behind it, and what stands in for a neighbour of another host
+    lengths = runs.groupBy("begin", "after").agg(F.count("*").alias("times"))
+    each = stored(lengths.join(known.select(F.col("rank").alias("begin"), "host"), "begin"))
+    former = each.select(F.col("after").alias("begin"), F.col("host").alias("former_host"), (F.col("begin") - 1).alias("former"))
+    latter = each.select(F.col("begin").alias("after"), F.col("host").alias("latter_host"), F.col("after").alias("latter"))
+    on_host = lambda c: F.coalesce(F.col(c) == F.col("host"), F.lit(False))
+    stand_in = F.when(on_host("latter_host") & ~on_host("former_host"), F.col("latter")).when(on_host("former_host") & ~on_host("latter_host"), F.col("former"))
+    each = each.join(former, "begin", "left").join(latter, "after", "left").select("begin", stand_in.alias("further"), "times")
+    runs = spread_join(runs, each, "begin", "times", n).drop("times")
+    # pages that need none ask for a rank that no page has, each for another one
+    runs = stored(runs.select("rank", (F.col("begin") - 1).alias("before"), "after", F.coalesce("further", -2 - F.col("rank")).alias("further")))
     asked = known.join(runs, "rank")
-    for side, name in (("before", "back"), ("after", "on")):
-        times = runs.groupBy(side).agg(F.count("*").alias("times"))
+    for side, name in (("before", "back"), ("after", "on"), ("further", "third")):
+        times = runs.where(F.col(side) >= 0).groupBy(side).agg(F.count("*").alias("times"))
         other = known.select(F.col("rank").alias(side), F.struct("host", "path", "lines").alias(name)).join(times, side)
         asked = spread_join(asked, other, side, "times", n, "left").drop("times", side)
     same = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), F.col(side)).alias(side)
-    return asked.select("class", "path", "lines", "places", "sizes", "rare", same("back"), same("on"))
+    return asked.select("class", "path", "lines", "places", "sizes", "rare", same("back"), same("on"), same("third").alias("further"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page: its lines, joined by line feeds.
 
     Pages are paired by URL path within each host: each page is compared with the nearest pages before and behind it in the order of paths that
-    are not copies of it. Their lines (as hashes) are aligned by a longest common subsequence and shared lines are deleted, so that what a
+    are not copies of it, the first and the last page of a host with the nearest two on their one side. Their lines (as hashes) are aligned by a longest common subsequence and shared lines are deleted, so that what a
     site repeats goes, whatever its markup. Two pages are copies if they share half or more of the text that is not common on the host
     (on three pages and over half of them); copies tell nothing about templates and are passed over. Elements that are never
     content by their name, role, or a class or id that is such a name as a whole are left out. If half or more of what is left lies in article or
@@ -296,7 +326,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            out = [shared_lines(r, r["back"], r["on"]) for r in batch.to_pylist()]
+            out = [shared_lines(r, r["back"], r["on"], r["further"]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["class", "shared"])
 
     of_class = stored(with_neighbours(hashed).mapInArrow(compare, "class long, shared array<int>").where(F.size("shared") > 0))
@@ -310,13 +340,11 @@ def extract(pages: DataFrame) -> DataFrame:
             for html, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 gone = set(gone or ())
                 left = [(x, p) for i, (x, p) in enumerate(lines_of(html)) if p and i not in gone]
-                chars = [sum(len(x) for x, p in left if p == k) for k in (1, 2)]
-                out.append("\n".join(x for x, p in left if p == 2 or chars[1] < chars[0]))
+                least = max((p for _, p in left), default=0)
+                out.append("\n".join(x for x, p in left if p == least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    # pages with shared lines are told to each task if they are few, else joined by a shuffle
-    small = shared.agg(F.coalesce(F.sum(F.size("shared") + 4), F.lit(0))).first()[0] <= 100_000
-    with_shared = keyed.withColumn("page", row).join(F.broadcast(shared) if small else shared, "page", "left")
+    with_shared = keyed.withColumn("page", row).join(shared, "page", "left")
     return with_shared.select("page_id", "url", "html", "shared").mapInArrow(write, f"page_id {kind}, url string, text string")
 
 

@@ -62,10 +62,10 @@ def test_names_that_only_hold_a_word_lose_nothing(spark):
     rows = [
         (1, "http://a.example/", '<div class="layout has-sidebar"><article><header>Site<h2>Title</h2>by me</header><p>the text</article></div>'),
         (2, "http://b.example/", '<section id="legal-analysis"><p>the analysis</section>'),
-        (3, "http://c.example/", "<article>teaser</article><div><p>the body of the page is much longer<p>than its teaser</div>"),
+        (3, "http://c.example/", '<body class="page-sidebar comments-open"><div class="has-sidebar no_ads is-nav-open notices-count"><p>the body</div>'),
         (4, "http://d.example/", "<p>text</ p><p>more</><a href='x>y'>link</a> <b title=it's>bold</b></p>"),
     ]
-    assert texts_of(spark, rows) == {1: "Title\nthe text", 2: "the analysis", 3: "teaser\nthe body of the page is much longer\nthan its teaser", 4: "text\nmorelink bold"}
+    assert texts_of(spark, rows) == {1: "Title\nthe text", 2: "the analysis", 3: "the body", 4: "text\nmorelink bold"}
 
 
 def test_time_is_linear_in_odd_pages():
@@ -104,8 +104,43 @@ def test_lines_shared_with_the_nearest_url_go(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
-def test_lines_inside_an_article_need_both_neighbours(spark):
+def test_lines_inside_an_article_need_two_other_pages(spark):
     rows = [(i, f"http://a.example/{i}", f"<article><p>Subscribe now<p>story {i}<p>more {i}<p>end {i}" + ("<p>quoted" if i in (2, 3) else "") + "</article>") for i in range(1, 6)]
     texts = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert texts[2] == "story 2\nmore 2\nend 2\nquoted" and texts[3].endswith("quoted")
-    assert texts[1].startswith("Subscribe") and texts[5].startswith("Subscribe")
+    # the first and the last page are held against the nearest two on their one side
+    assert all(texts[i].startswith(f"story {i}") for i in range(1, 6))
+    pages = [(i, f"http://{host}.example/{i:02d}", f"<article><p>Subscribe now<p>a story {i}<p>and its end {i}</article>") for host, among in (("a", (1, 2)), ("b", (3, 4, 5)), ("c", (6,))) for i in among]
+    # copies at the end of a host: all of them are held against the pages before their run
+    pages += [(i, f"http://d.example/{i:02d}", f"<article><p>Subscribe now<p>a story {i}<p>and its end {i}</article>") for i in range(10, 30)]
+    pages += [(i, f"http://d.example/{i:02d}", f"<article><p>Subscribe now<p>the story that was told very often<p>told at {i}</article>") for i in range(30, 40)]
+    texts = texts_of(spark, pages)
+    assert all(texts[i] == "Subscribe now\na story %d\nand its end %d" % (i, i) for i in (1, 2, 6))  # two pages don't tell a template from a quotation
+    assert all(texts[i] == f"a story {i}\nand its end {i}" for i in (3, 4, 5, *range(10, 30)))
+    assert all(texts[i] == f"the story that was told very often\ntold at {i}" for i in range(30, 40))
+
+
+def test_main_text_does_not_hang_on_lengths(spark):
+    comment = "<p>a reader says that this was a story to be remembered for years"
+    rows = []
+    for i, n in enumerate((0, 1, 9, 300)):
+        rows.append((i, f"http://a{i}.example/", f'<div class="site-header">Site</div><article><p>short story</article><div class="comment-list">{comment * n}</div><div id="cookie-banner">We use</div>'))
+        rows.append((10 + i, f"http://b{i}.example/", f"<div>Site</div><article><p>short story</article><div class=x>{comment * n}</div>"))
+        rows.append((20 + i, f"http://c{i}.example/", f'<div><p>short story</div><section class="comment_list">{comment * n}</section><div class="sidebar-left">more</div><div class="ad-slot">buy</div>'))
+    assert set(texts_of(spark, rows).values()) == {"short story"}
+
+
+def test_differencing_carries_pages_without_names(spark, monkeypatch):
+    """Class names emptied and no article elements: what the pages of a host share goes, their own lines stay."""
+    monkeypatch.setattr(html, "PARTS", frozenset())
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(7))
+    rows, want = [], {}
+    for host in range(4):
+        top, end = [[" ".join(word() for _ in range(5)) for _ in range(6)] for _ in range(2)]
+        for i in range(15):
+            own = [" ".join(word() for _ in range(12)) for _ in range(rng.choice([2, 10, 40]))]
+            block = lambda lines: "".join(f"<div class='comments'><p>{x}</p></div>" for x in lines)
+            rows.append((host * 100 + i, f"https://h{host}.example/s/{i:03d}", f"<body>{block(top)}{block(own)}{block(end)}</body>"))
+            want[host * 100 + i] = "\n".join(own)
+    assert texts_of(spark, rows) == want

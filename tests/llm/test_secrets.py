@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 from llm.rows import documents, odd
-from terrasurvey.llm.secrets import RULES, empty_ledger, op10_secrets, scan_blobs
+from terrasurvey.llm.secrets import RULES, empty_ledger, op10_secrets, scan, scan_blobs
 
 
 def plain(text):
@@ -67,3 +69,24 @@ def test_other_columns_and_long_names(spark):
     row = found.first()
     assert set(found.columns) == set(docs.columns) - {"text"} and (row.spans, row._blob, row.blob_, row.X) == ("x",) * 4
     assert [(x.kind, x.start, x.end) for x in row.findings] == [("userinfo", 0, 193)]
+
+
+def test_signed_tokens_equal_the_plain_pattern():
+    rng = random.Random(5)
+    plainly = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    parts = ["eyJ", "eyJabcdefgh", "eyJabcdefgh.", "eyJabcdefghi.", "abcdefghi", ".", "..", "a", "abcdefgh", "-_", " ", "\n", "\u00e9", "eyJeyJeyJeyJ"]
+    met = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = [m.span() for m in re.finditer(plainly, text)]
+        met += len(want)
+        assert [(x["start"], x["end"]) for x in scan(text, {"jwt": RULES["jwt"]})] == want
+    assert met > 200
+
+
+def test_time_is_linear_in_odd_texts():
+    for odd_text in ("eyJ", "eyJabcdefgh.", "eyJ.", "token", "token ", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "http://", "http://a:", "xoxb-", "ghp_", "AKIA", "password:", "a"):
+        text = odd_text * (1_000_000 // len(odd_text))
+        began = time.process_time()
+        scan(text, RULES)
+        assert time.process_time() - began < 5, odd_text
