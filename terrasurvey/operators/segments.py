@@ -92,13 +92,18 @@ def split_instances(pixels: DataFrame, size: int, least: int = 8) -> DataFrame:
 def row_direction(points: DataFrame, keys: list[str], width: float = 0.25) -> DataFrame:
     """(keys, theta): the direction in which points gather most in lines: the sum of squared counts by bins across it, over n squared, is largest.
 
-    180 whole degrees for every point, and then tenths of a degree about the best: sums by (key, angle, bin) only, so blocks of any size are shared out.
+    Points are counted by cells of a quarter of the bins' width first, so that angles multiply the cells that a block covers and not its points.
+    180 whole degrees for every cell, and then tenths of a degree about the best: sums by (key, angle, bin) only, so blocks of any size are shared out.
     """
+    size = width / 4
+    cell = lambda c: (F.floor(F.col(c) / size + 0.5) * size).alias(c)
+    points = points.groupBy(*keys, cell("x"), cell("y")).agg(F.count("*").alias("n"))
 
     def score(angles: DataFrame) -> DataFrame:
         t = F.radians(F.col("theta"))
         off = F.col("y") * F.cos(t) - F.col("x") * F.sin(t)
-        counts = angles.groupBy(*keys, "theta", F.floor(off / width).alias("bin")).agg(F.count("*").alias("n"))
+        # rounded, so that points on a bin's border fall to one side on every machine
+        counts = angles.groupBy(*keys, "theta", F.floor(F.round(off / width, 9)).alias("bin")).agg(F.sum("n").alias("n"))
         sums = counts.groupBy(*keys, "theta").agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2)) * (F.max("bin") - F.min("bin") + 1)).alias("score"))
         return sums.groupBy(*keys).agg(F.max_by("theta", F.struct(F.round("score", 9), -F.col("theta"))).alias("theta"))
 

@@ -114,7 +114,7 @@ def hulls(points: DataFrame, keys: list[str]) -> DataFrame:
 def oriented_boxes(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, long_m, short_m, angle, fill, ax, ay, bx, by) of the least-area rectangle around each key's points.
 
-    angle: of the long side, in degrees from 0 to 180; fill: the share of the rectangle that the hull takes; a and b: the ends of its centreline.
+    angle: of the long side, in degrees from 0 to 180; fill: the share of the rectangle that the hull takes; a and b: the ends of its centreline, that with the smaller x first.
     """
     fields = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -123,7 +123,8 @@ def oriented_boxes(points: DataFrame, keys: list[str]) -> DataFrame:
             out = []
             for ring, area in zip(rows["ring"], rows["area"], strict=True):
                 centre, u, long, short = kernel.rectangle(np.array([list(p) for p in ring]))
-                ends = np.concatenate((centre - u * long / 2, centre + u * long / 2))
+                half = (-u if u[0] < 0 else u) * long / 2
+                ends = np.concatenate((centre - half, centre + half))
                 out.append((long, short, float(np.degrees(np.arctan2(u[1], u[0])) % 180), area / (long * short) if long * short > 0 else 0.0, *ends))
             yield pd.concat([rows[keys].reset_index(drop=True), pd.DataFrame(out, columns=["long_m", "short_m", "angle", "fill", "ax", "ay", "bx", "by"])], axis=1)
 

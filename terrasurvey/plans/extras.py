@@ -91,7 +91,8 @@ def g10(spark, sf_dir):
     return edits.joined_strips(areas(spark, sf_dir).where("label = 'interrow_area'"), ["vineyard_id"], 64.0, 56.0).drop("ring")
 
 
-@query("g11_erased_lines")
+@query("g11_erased_lines", """WITH t AS (SELECT p_partkey AS id, CAST(p_partkey % 30 AS DOUBLE) AS a, CAST(p_partkey % 30 + p_size AS DOUBLE) AS b FROM part)
+  SELECT id, a AS first, least(b, 21) AS last FROM t WHERE least(b, 21) - a >= 2 UNION ALL SELECT id, greatest(a, 29), b FROM t WHERE b - greatest(a, 29) >= 2""")
 def g11(spark, sf_dir):
     t = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 30).cast("double").alias("first"), (F.col("p_partkey") % 30 + F.col("p_size")).cast("double").alias("last"))
     return edits.erased(t, "id", "first", "last", 25.0, 3.0)

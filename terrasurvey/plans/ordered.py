@@ -46,7 +46,15 @@ def a18(spark, sf_dir):
     return ordered.smoothed(t.groupBy("row_id", "bin").agg(F.count("*").alias("n")), ["row_id"], [0.5, 0.25, 0.125])
 
 
-@query("w03_peaks")
+@query("w03_peaks", """WITH RECURSIVE counts AS (SELECT l_suppkey AS row_id, CAST(floor((l_partkey % 400) / 8.0::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2),
+  curve AS (SELECT row_id, bin + d AS bin, sum(n * (CASE abs(d) WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.25::DOUBLE ELSE 0.125::DOUBLE END)) AS smooth FROM counts, (SELECT unnest(range(-2, 3)) AS d) GROUP BY 1, 2),
+  levels AS (SELECT row_id, quantile_cont(smooth, 0.95) AS level FROM curve WHERE smooth > 0 GROUP BY 1),
+  steps AS (SELECT *, COALESCE(lag(smooth) OVER w, 0) AS before, COALESCE(lead(smooth) OVER w, 0) AS after FROM curve WINDOW w AS (PARTITION BY row_id ORDER BY bin)),
+  tops AS (SELECT row_id, bin, smooth, row_number() OVER (PARTITION BY row_id ORDER BY smooth DESC, bin) AS place FROM steps JOIN levels USING (row_id) WHERE smooth >= before AND smooth > after AND smooth >= 0.15::DOUBLE * level),
+  picked(row_id, place, kept) AS (SELECT row_id, place, [bin] FROM tops WHERE place = 1
+    UNION ALL SELECT t.row_id, t.place, CASE WHEN len(list_filter(p.kept, lambda k: abs(t.bin - k) < 3)) = 0 THEN list_append(p.kept, t.bin) ELSE p.kept END FROM picked p JOIN tops t ON t.row_id = p.row_id AND t.place = p.place + 1),
+  last AS (SELECT row_id, unnest(arg_max(kept, place)) AS bin FROM picked GROUP BY row_id)
+  SELECT row_id, bin, smooth FROM last JOIN tops USING (row_id, bin)""")
 def w03(spark, sf_dir):
     return ordered.peaks(a18(spark, sf_dir), ["row_id"], 3)
 

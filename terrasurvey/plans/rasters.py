@@ -99,7 +99,16 @@ def i05(spark, sf_dir):
     return segments.split_instances(t, 48)
 
 
-@query("g17_row_direction")
+SQL_SCORED = """counts_{0} AS (SELECT block, theta, floor(round((y * cos(radians(theta)) - x * sin(radians(theta))) / 0.25, 9)) AS bin, sum(n) AS n FROM {0} GROUP BY ALL),
+  scores_{0} AS (SELECT block, theta, round(CAST(sum(n * n) AS DOUBLE) / pow(CAST(sum(n) AS DOUBLE), 2) * (max(bin) - min(bin) + 1), 9) AS score FROM counts_{0} GROUP BY ALL),
+  best_{0} AS (SELECT block, first(theta ORDER BY score DESC, theta) AS theta FROM scores_{0} GROUP BY block)"""
+
+
+@query("g17_row_direction", f"""WITH t AS (SELECT c_nationkey AS block, CAST(c_custkey % 97 AS DOUBLE) AS s, 2.5::DOUBLE * (c_custkey % 7) AS r, radians(c_nationkey * 7.0::DOUBLE) AS a FROM customer),
+  cells AS (SELECT block, floor((s * cos(a) - r * sin(a)) / 0.0625::DOUBLE + 0.5) * 0.0625::DOUBLE AS x, floor((s * sin(a) + r * cos(a)) / 0.0625::DOUBLE + 0.5) * 0.0625::DOUBLE AS y, count(*) AS n FROM t GROUP BY ALL),
+  coarse AS (SELECT *, CAST(unnest(range(180)) AS DOUBLE) AS theta FROM cells), {SQL_SCORED.format("coarse")},
+  fine AS (SELECT c.*, theta + d AS theta FROM cells c JOIN best_coarse USING (block), (SELECT unnest(range(-10, 11)) / 10.0::DOUBLE AS d)), {SQL_SCORED.format("fine")}
+  SELECT block, theta FROM best_fine""")
 def g17(spark, sf_dir):
     t = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("block"), (F.col("c_custkey") % 97).cast("double").alias("s"), (F.col("c_custkey") % 7).cast("double").alias("r"))
     a = F.radians(F.col("block") * 7.0)

@@ -79,7 +79,16 @@ def f16(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.coalesce(p["missing"], F.lit(-1)).alias("missing"), (p["k"] % 7).alias("k"))
 
 
-@query("pr08_utm")
+# The Krueger series in powers of the third flattening, with the conformal latitude by its hyperbolic sine.
+SQL_UTM = """k AS (SELECT id, 1 / (2 * 298.257223563::DOUBLE - 1) AS n, sin(radians(47 + y / 1000)) AS s, radians(28 + x / 1000 - 27) AS d FROM shapes),
+  t AS (SELECT *, sinh(atanh(s) - 2 * sqrt(n) / (1 + n) * atanh(2 * sqrt(n) / (1 + n) * s)) AS t, 0.9996::DOUBLE * 6378137 / (1 + n) * (1 + pow(n, 2) / 4 + pow(n, 4) / 64) AS r FROM k),
+  p AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta, n / 2 - 2 * pow(n, 2) / 3 + 5 * pow(n, 3) / 16 + 41 * pow(n, 4) / 180 AS a1, 13 * pow(n, 2) / 48 - 3 * pow(n, 3) / 5 + 557 * pow(n, 4) / 1440 AS a2,
+    61 * pow(n, 3) / 240 - 103 * pow(n, 4) / 140 AS a3, 49561 * pow(n, 4) / 161280 AS a4 FROM t),
+  utm AS (SELECT id, 500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)) AS east,
+    r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)) AS north FROM p)"""
+
+
+@query("pr08_utm", f"WITH {SQL_SHAPES}, {SQL_UTM} SELECT id, round(east, 3) AS east, round(north, 3) AS north, TRUE AS back FROM utm")
 def pr08(spark, sf_dir):
     s = shapes(spark, sf_dir).select("id", (28 + F.col("x") / 1000).alias("lon"), (47 + F.col("y") / 1000).alias("lat"))
     x, y = g.to_utm(F.col("lon"), F.col("lat"))

@@ -115,14 +115,31 @@ def j16(spark, sf_dir):
     return e.groupBy("e.lo", "e.hi").agg(F.count("*").alias("n"), F.min("id").alias("one"), F.max("id").alias("two")).where("n = 2").drop("n")
 
 
-@query("a17_convex_hulls")
+# Edges of hulls: pairs of points with no point on their right, nor on their line beyond them. Only the ends of each line of equal y can be on a hull.
+SQL_HULLS = f"""{SQL_POINTS}, distinct_points AS (SELECT DISTINCT id % 40 AS block, x, y FROM points),
+  outer_points AS (SELECT block, x, y FROM distinct_points QUALIFY x = min(x) OVER (PARTITION BY block, y) OR x = max(x) OVER (PARTITION BY block, y)),
+  pairs AS (SELECT a.block, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey, (b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) AS side, (r.x - a.x) * (r.x - b.x) + (r.y - a.y) * (r.y - b.y) AS beyond
+    FROM outer_points a JOIN outer_points b ON a.block = b.block AND (a.x <> b.x OR a.y <> b.y) JOIN outer_points r ON r.block = a.block),
+  edges AS (SELECT block, ax, ay, ex, ey FROM pairs GROUP BY ALL HAVING count(*) FILTER (WHERE side < 0 OR side = 0 AND beyond > 0) = 0),
+  hulls AS (SELECT block, count(*) AS n, sum(ax * ey - ex * ay) / 2 AS area FROM edges GROUP BY block)"""
+
+
+@query("a17_convex_hulls", f"WITH {SQL_HULLS} SELECT * FROM hulls")
 def a17(spark, sf_dir):
     return spatial.hulls(points(spark, sf_dir).withColumn("block", F.col("id") % 40), ["block"]).drop("ring")
 
 
-@query("g12_oriented_boxes")
+@query("g12_oriented_boxes", f"""WITH {SQL_HULLS}, turned AS (SELECT e.block, ax, ay, ex, ey, (ex - ax) / sqrt(pow(ex - ax, 2) + pow(ey - ay, 2)) AS ux, (ey - ay) / sqrt(pow(ex - ax, 2) + pow(ey - ay, 2)) AS uy, p.x, p.y FROM edges e JOIN outer_points p USING (block)),
+  ranges AS (SELECT block, ux, uy, max(x * ux + y * uy) AS along_1, min(x * ux + y * uy) AS along_0, max(y * ux - x * uy) AS across_1, min(y * ux - x * uy) AS across_0 FROM turned GROUP BY block, ax, ay, ex, ey, ux, uy),
+  best AS (SELECT *, along_1 - along_0 AS w, across_1 - across_0 AS t, (along_1 + along_0) / 2 AS mid_along, (across_1 + across_0) / 2 AS mid_across FROM ranges
+    QUALIFY row_number() OVER (PARTITION BY block ORDER BY round((along_1 - along_0) * (across_1 - across_0), 6)) = 1),
+  lined AS (SELECT block, greatest(w, t) AS long_m, least(w, t) AS short_m, CASE WHEN w >= t THEN ux ELSE -uy END AS dx, CASE WHEN w >= t THEN uy ELSE ux END AS dy, ux * mid_along - uy * mid_across AS cx, uy * mid_along + ux * mid_across AS cy FROM best),
+  ends AS (SELECT *, CASE WHEN dx < 0 THEN -1 ELSE 1 END * long_m / 2 AS half FROM lined)
+  SELECT e.block, round(long_m, 6) AS long_m, round(short_m, 6) AS short_m, (round(degrees(atan2(dy, dx)), 6) + 360) % 180 AS angle, round(area / (long_m * short_m), 6) AS fill,
+    round(cx - dx * half, 6) AS ax, round(cy - dy * half, 6) AS ay, round(cx + dx * half, 6) AS bx, round(cy + dy * half, 6) AS "by" FROM ends e JOIN hulls USING (block)""")
 def g12(spark, sf_dir):
-    return spatial.oriented_boxes(points(spark, sf_dir).withColumn("block", F.col("id") % 40), ["block"])
+    found = spatial.oriented_boxes(points(spark, sf_dir).withColumn("block", F.col("id") % 40), ["block"])
+    return found.select("block", *[F.round(c, 6).alias(c) for c in ("long_m", "short_m")], (F.round("angle", 6) % 180).alias("angle"), *[F.round(c, 6).alias(c) for c in ("fill", "ax", "ay", "bx", "by")])
 
 
 @query("g06_simplified_lines", """SELECT CAST(o_custkey AS BIGINT) AS id, CAST(CASE WHEN o_custkey % 2 = 0 THEN least(2, count(*)) ELSE count(*) END AS INTEGER) AS n FROM orders GROUP BY o_custkey""")

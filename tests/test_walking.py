@@ -153,3 +153,27 @@ def test_clearance_and_study_area(spark):
     round_corners = 16 * math.sin(math.pi / 16)
     assert math.isclose(size(routes.walkable_cells(df, ["lane"], ["stone"], 1.0)), 400 - (4 + 8 + round_corners), rel_tol=1e-6)
     assert math.isclose(size(routes.walkable_cells(df, ["lane"], ["stone"], 0.0, "study")), 296, rel_tol=1e-6)
+
+
+def test_utm_equals_the_meridian_arc_series(spark):
+    """Another way to the same coordinates: the meridian arc and the series in powers of the distance from the meridian, good to a millimetre nearby."""
+    from math import cos, radians, sin, sqrt, tan
+
+    from pyspark.sql import functions as F
+
+    from terrasurvey.functions import geometry as g
+
+    places = [(27.0 + i / 7, 44.0 + i / 3) for i in range(12)]
+    x, y = g.to_utm(F.col("lon"), F.col("lat"))
+    rows = spark.createDataFrame(places, "lon double, lat double").select("lon", "lat", x.alias("x"), y.alias("y"))
+    lon, lat = g.from_utm(F.col("x"), F.col("y"))
+    a, ee = 6378137.0, 2 / 298.257223563 - 1 / 298.257223563**2
+    for r in rows.withColumn("lon2", lon).withColumn("lat2", lat).collect():
+        assert abs(r.lon2 - r.lon) < 1e-10 and abs(r.lat2 - r.lat) < 1e-10
+        phi, ep = radians(r.lat), ee / (1 - ee)
+        q, t, c = radians(r.lon - 27) * cos(phi), tan(phi) ** 2, ep * cos(phi) ** 2
+        nu = a / sqrt(1 - ee * sin(phi) ** 2)
+        arc = a * ((1 - ee / 4 - 3 * ee**2 / 64 - 5 * ee**3 / 256) * phi - (3 * ee / 8 + 3 * ee**2 / 32 + 45 * ee**3 / 1024) * sin(2 * phi) + (15 * ee**2 / 256 + 45 * ee**3 / 1024) * sin(4 * phi) - 35 * ee**3 / 3072 * sin(6 * phi))
+        east = 500000 + 0.9996 * nu * (q + (1 - t + c) * q**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * q**5 / 120)
+        north = 0.9996 * (arc + nu * tan(phi) * (q**2 / 2 + (5 - t + 9 * c + 4 * c * c) * q**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * q**6 / 720))
+        assert abs(r.x - east) < 2e-3 and abs(r.y - north) < 2e-3
