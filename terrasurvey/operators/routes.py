@@ -11,6 +11,7 @@ from ..functions import kernel
 from ..sources.shared import stored
 from .ordered import first_entry
 from .overlay import passable_cells
+from .spatial import cells as grid_cells
 
 
 CELLS = "site long, cell long, x0 double, x1 double, a0 double, b0 double, a1 double, b1 double"
@@ -70,18 +71,22 @@ def network(cells: DataFrame) -> DataFrame:
     return nodes.select("site", F.col("middle").alias("a"), F.col("node").alias("b"), apart("middle", "node").alias("length")).distinct()
 
 
-def attached(cells: DataFrame, terminals: DataFrame, slack: float = 1e-7, nudge: float = 1e-6) -> DataFrame:
+def attached(cells: DataFrame, terminals: DataFrame, slack: float = 1e-7, nudge: float = 1e-6, grid: float = 16.0) -> DataFrame:
     """(site, terminal, a, b, length): edges that join terminals (site, terminal, x, y) to the nodes of the cells they lie in, and to each other there.
 
     A cell holds a terminal within `slack`, which must never bridge a gap. A terminal that is outside all cells by less than that moves `nudge`
-    towards the middle of its cell, but the start (terminal 0) never moves. One that no cell holds is an error.
+    towards the middle of its cell, but the start (terminal 0) never moves. One that no cell holds is an error. Terminals and cells meet in squares
+    of `grid` metres, so that a terminal is held against the cells around it only.
     """
     x, y = F.col("x"), F.col("y")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("x0")) / (F.col("x1") - F.col("x0"))))
     low, high = F.col("a0") + (F.col("a1") - F.col("a0")) * share, F.col("b0") + (F.col("b1") - F.col("b0")) * share
     within = lambda by: x.between(F.col("x0") - by, F.col("x1") + by) & y.between(low - by, high + by)
     middles = cell_nodes(cells).where("node = middle").select("site", "cell", "middle")
-    near = terminals.join(cells, "site").where(within(slack)).withColumn("inside", within(0.0)).join(middles, ["site", "cell"])
+    squares = lambda low, high: F.explode(grid_cells(low - slack, high + slack, grid))
+    around = cells.withColumn("_cx", squares(F.col("x0"), F.col("x1"))).withColumn("_cy", squares(F.least("a0", "a1"), F.greatest("b0", "b1")))
+    placed = terminals.withColumn("_cx", F.floor(x / grid).cast("long")).withColumn("_cy", F.floor(y / grid).cast("long"))
+    near = placed.join(around, ["site", "_cx", "_cy"]).drop("_cx", "_cy").where(within(slack)).withColumn("inside", within(0.0)).join(middles, ["site", "cell"])
     gap = F.hypot(F.col("middle.x") - x, F.col("middle.y") - y)
     part = F.when(F.col("inside") | (F.col("terminal") == 0) | (gap == 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), nudge / gap))
     moved = near.select("site", "cell", "terminal", "inside", "x", "y", (x + (F.col("middle.x") - x) * part).alias("mx"), (y + (F.col("middle.y") - y) * part).alias("my"))
@@ -408,10 +413,15 @@ def outside(lines: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def snapped_start(start: DataFrame, nodes: DataFrame, most: float = 5.0) -> DataFrame:
-    """(site, x, y, connector_m): the network's node nearest to each start; an error beyond `most` metres."""
-    d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-    best = start.join(nodes.select("site", F.col("x").alias("nx"), F.col("y").alias("ny")), "site").groupBy("site").agg(F.min(F.struct(d.alias("d"), "nx", "ny")).alias("b"))
-    return best.select("site", F.col("b.nx").alias("x"), F.col("b.ny").alias("y"), F.when(F.col("b.d") <= most, F.col("b.d")).otherwise(F.raise_error(F.lit("the start is too far from the network")).cast("double")).alias("connector_m"))
+    """(site, x, y, connector_m): the network's node nearest to each start; an error beyond `most` metres. They meet in squares of `most` metres."""
+    x, y = F.col("x"), F.col("y")
+    d = F.hypot(x - F.col("nx"), y - F.col("ny"))
+    squares = lambda c: F.explode(grid_cells(c - most, c + most, most))
+    around = start.withColumn("_cx", squares(x)).withColumn("_cy", squares(y))
+    placed = nodes.select("site", x.alias("nx"), y.alias("ny"), F.floor(x / most).cast("long").alias("_cx"), F.floor(y / most).cast("long").alias("_cy"))
+    best = around.join(placed, ["site", "_cx", "_cy"]).groupBy("site").agg(F.min(F.struct(d.alias("d"), "nx", "ny")).alias("b"))
+    far = F.raise_error(F.lit("the start is too far from the network")).cast("double")
+    return start.select("site").join(best, "site", "left").select("site", F.col("b.nx").alias("x"), F.col("b.ny").alias("y"), F.when(F.col("b.d") <= most, F.col("b.d")).otherwise(far).alias("connector_m"))
 
 
 def shifted_stops(stops: DataFrame, connector: DataFrame) -> DataFrame:

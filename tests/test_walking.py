@@ -85,6 +85,31 @@ def test_terminals_are_attached_to_the_cells_they_lie_in(spark, ground):
     assert routes.attached(ground, start).select("a.x").first()[0] == 6.0 + 5e-8  # the start never moves
 
 
+def test_attachment_does_not_hang_on_the_grid(spark, ground):
+    rng = np.random.default_rng(3)
+    held = ground.collect()
+    places = []
+    for k in range(1, 60):
+        c = held[rng.integers(len(held))]
+        t = rng.choice([0.0, 1.0, rng.random()])  # on the borders of slabs too
+        low, high = c.a0 + (c.a1 - c.a0) * t, c.b0 + (c.b1 - c.b0) * t
+        places.append((c.site, k, float(c.x0 + (c.x1 - c.x0) * t), float(low + (high - low) * rng.choice([0.0, 1.0, rng.random()]))))
+    ends = spark.createDataFrame(places, "site long, terminal long, x double, y double")
+    links = [sorted(map(str, routes.attached(ground, ends, grid=grid).collect())) for grid in (0.37, 16.0, 1e6)]
+    assert links[0] == links[1] == links[2] and len(links[0]) >= 59
+
+
+def test_start_snaps_to_the_nearest_node(spark):
+    rng = np.random.default_rng(4)
+    nodes = [(int(s), float(x), float(y)) for s, x, y in zip(rng.integers(0, 9, 400), rng.integers(-40, 40, 400) / 2, rng.integers(-40, 40, 400) / 2, strict=True)]
+    starts = [(s, *(float(v) for v in rng.integers(-12, 12, 2) / 2)) for s in range(9)]
+    got = {r.site: (r.connector_m, r.x, r.y) for r in routes.snapped_start(spark.createDataFrame(starts, "site long, x double, y double"), spark.createDataFrame(nodes, "site long, x double, y double"), most=9.0).collect()}
+    assert got == {s: min((math.hypot(x - nx, y - ny), nx, ny) for site, nx, ny in nodes if site == s) for s, x, y in starts}
+    for far in ([(1, 5.1, 0.0)], [(1, 1e6, 0.0)], [(2, 0.0, 0.0)]):
+        with pytest.raises(Exception, match="too far"):
+            routes.snapped_start(spark.createDataFrame(far, "site long, x double, y double"), spark.createDataFrame([(1, 0.0, 0.0)], "site long, x double, y double")).collect()
+
+
 def test_routes_take_shortcuts_on_walkable_ground(spark, ground):
     ends = spark.createDataFrame([(1, 0, 1.0, -1.0), (1, 5, 1.0, 29.0), (1, 6, 5.0, 20.0)], "site long, terminal long, x double, y double")
     edges, places = routes.with_terminals(ground, ends)
