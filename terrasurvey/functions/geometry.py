@@ -95,6 +95,11 @@ def boxes_overlap(a: tuple, b: tuple, strict: bool = False) -> Column:
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
 
 
+def common_box_area(a: tuple, b: tuple) -> Column:
+    """The area that boxes (x0, y0, x1, y1) which overlap have in common: a box clipped to a box is a box, so no ring is built."""
+    return (F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * (F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
+
+
 def clip_box(ring: Column, axis: str, limit, keep_below: bool) -> Column:
     """An open ring's part on one side of a line parallel to an axis (Sutherland-Hodgman)."""
     other = "y" if axis == "x" else "x"
