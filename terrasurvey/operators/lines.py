@@ -69,6 +69,7 @@ def brushed(lines: DataFrame, discs: DataFrame, key: str, radius: float) -> Data
     d = discs.select("x", "y", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     covered = box_join(points, d, 2 * radius, reach=radius).where(F.hypot(F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y")) <= radius).select(key, "segment", "i").distinct()
     order = Window.partitionBy(key).orderBy("segment", "i")
-    marked = p.join(covered.withColumn("gone", F.lit(True)), [key, "segment", "i"], "left").withColumn("piece", F.count("gone").over(order)).where("gone is null")
+    # points are many more than their lines' bytes tell, so those covered are not to be broadcast
+    marked = p.join(covered.withColumn("gone", F.lit(True)).hint("merge"), [key, "segment", "i"], "left").withColumn("piece", F.count("gone").over(order)).where("gone is null")
     out = marked.groupBy(key, "piece").agg(F.array_sort(F.collect_list(F.struct("segment", "i", "x", "y"))).alias("p")).where(F.size("p") >= 2)
     return out.select(key, "piece", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
