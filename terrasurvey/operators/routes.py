@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel
-from ..sources.shared import stored
+from ..sources.shared import spread, stored
 from .ordered import first_entry
 from .overlay import passable_cells
 from .spatial import cells as grid_cells
@@ -357,7 +357,8 @@ def corridors(strips: DataFrame, reach: float = 10.0) -> DataFrame:
             out = [(site, kernel.corridor(np.array([list(p) for p in ring]), reach)) for site, ring in zip(rows["site"], rows["ring"], strict=True)]
             yield pd.DataFrame([(site, ring.tolist()) for site, ring in out if ring is not None], columns=["site", "ring"])
 
-    return strips.select("site", "ring").mapInPandas(run, "site long, ring array<array<double>>").select("site", F.lit("passage").alias("label"), "ring")
+    # strips are few bytes and much work, so they are dealt to all tasks
+    return spread(strips.select("site", "ring"), "site").mapInPandas(run, "site long, ring array<array<double>>").select("site", F.lit("passage").alias("label"), "ring")
 
 
 def cells_with_access(areas: DataFrame, roads: DataFrame, strips: DataFrame, passable: list[str], blocked: list[str], reach: float = 10.0, most: int = 100_000) -> DataFrame:

@@ -60,7 +60,8 @@ def gr11(spark, sf_dir):
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("site"), (F.col("p_size") + 3).cast("double").alias("w"), F.radians(F.col("p_partkey") % 90 * 1.0).alias("t"))
     corner = lambda u, v: turned(F.col("t"), u, F.lit(v))
     strips = p.select("site", F.array(corner(F.lit(0.0), 0.0), corner(F.col("w"), 0.0), corner(F.col("w"), 2.0), corner(F.lit(0.0), 2.0)).alias("ring"))
-    return kernel_area(routes.corridors(strips)).select("site", F.round("area", 4).alias("area"))
+    ring = F.transform(F.concat("ring", F.slice("ring", 1, 1)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))  # a rectangle
+    return routes.corridors(strips).select("site", F.round(g.area(ring), 4).alias("area"))
 
 
 @query("p07_covered_lines", """WITH s AS (SELECT s_suppkey AS id, CAST(s_suppkey % 17 AS DOUBLE) / 2 AS px, CAST(s_suppkey % 13 AS DOUBLE) / 2 AS py, CAST(s_suppkey * 7 % 23 AS DOUBLE) / 2 AS qx, CAST(s_suppkey * 5 % 19 AS DOUBLE) / 2 AS qy FROM supplier)

@@ -156,11 +156,14 @@ def sk04(spark, sf_dir):
   ranked AS (SELECT tile_name, px, py, label, row_number() OVER (PARTITION BY tile_name, px, py ORDER BY list_position(['vineyard', 'interrow_area', 'waste', 'row'], label) DESC, id DESC) AS k FROM pixels)
   SELECT tile_name, label, count(*) AS pixels, CAST(sum(px * 1000 + py) AS BIGINT) AS places FROM ranked WHERE k = 1 GROUP BY 1, 2""")
 def w10(spark, sf_dir):
-    from ..operators.raster import burnt_runs
-
-    a = annotations(spark, sf_dir).withColumn("py", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)))
-    # of equal runs only the last one matters
-    runs = a.select("tile_name", "py", F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("end"), "label", "id").groupBy("tile_name", "py", "start", "end", "label").agg(F.max("id").alias("id"))
+    from ..operators.raster import burnt_runs, rank_of
+    from ..sources.shared import spread
+
+    # shapes are dealt by bands of 16 lines of a tile, and cut into lines there
+    band, y, last = F.col("band") * 16, F.col("y"), F.col("y") + F.col("h") - 1
+    a = annotations(spark, sf_dir).where(rank_of("label").isNotNull()).select("tile_name", "x", "w", "y", "h", "label", "id", F.explode(F.sequence(F.floor(y / 16), F.floor(last / 16))).alias("band"))
+    a = spread(a, "tile_name", "band").sortWithinPartitions("tile_name", "band")
+    runs = a.select("tile_name", "band", F.explode(F.sequence(F.greatest(y, band), F.least(last, band + 15))).alias("py"), F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("end"), "label", "id")
     n = F.col("end") - F.col("start")
     places = (F.col("start") + F.col("end") - 1) * n / 2 * 1000 + F.col("py") * n
-    return burnt_runs(runs, ["tile_name"], "py", "id").groupBy("tile_name", "label").agg(F.sum(n).alias("pixels"), F.sum(places.cast("long")).alias("places"))
+    return burnt_runs(runs, ["tile_name", "band"], "py", "id", dealt=True).groupBy("tile_name", "label").agg(F.sum(n).alias("pixels"), F.sum(places.cast("long")).alias("places"))

@@ -24,3 +24,35 @@ def test_nearest_within_looks_a_place_up_once(spark):
     join = next(n for n in logical(got).split("Join Inner") if "_cx" in n.split("\n")[0])
     assert join.count("Aggregate") >= 2
     assert [tuple(r) for r in got.orderBy("target").collect()] == [(i, 43, 1.0) for i in range(0, 40, 2)]
+
+
+def test_first_areas_of_a_cell_are_tested_first(spark, monkeypatch):
+    from terrasurvey.functions import geometry as g
+
+    a = spark.range(60).select((60 - F.col("id")).alias("area"), (F.col("id") % 7).alias("x0"), (F.col("id") % 5).alias("y0"), (F.col("id") % 4 + 1).alias("w"))
+    areas = a.select("area", F.col("area").alias("place"), g.box_ring(F.col("x0"), F.col("y0"), F.col("w"), F.col("w")).alias("ring"))
+    points = spark.range(150).select("id", (F.col("id") % 15 - 0.5).cast("double").alias("x"), F.floor(F.col("id") / 15).cast("double").alias("y"))
+    boxes = [tuple(r) for r in a.collect()]
+    want = {(r.id, min((k for k, x, y, w in boxes if x <= r.x <= x + w and y <= r.y <= y + w), default=None)) for r in points.collect()}
+    for levels in (spatial.LEVELS, ((0, 1), (1, 3), (3, 1 << 31))):
+        monkeypatch.setattr(spatial, "LEVELS", levels)
+        assert {tuple(r) for r in spatial.first_containing(points, areas, "id", 3.0).collect()} == want
+
+
+def test_burnt_lines_are_not_shuffled_as_pixels(spark):
+    from terrasurvey.operators import raster
+    from terrasurvey.plans.registry import QUERIES
+
+    plan = QUERIES["w10_priority_overlay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # shapes, and the sums by label
+    rows = [(None, 0, 0, 5, "waste", 1), (None, 0, 2, 9, "vineyard", 9), ("a", 0, 0, 4, "row", 1), ("a", 0, 1, 3, "row", 2), ("a", 0, 3, 6, "other", 7), ("a", 1, 0, 2, "waste", 3), (None, 0, 20, 21, "row", None)]
+    runs = spark.createDataFrame(rows, "t string, y int, start long, end long, label string, id long")
+    got = sorted(((r.t or "", r.y, r.start, r.end, r.label) for r in raster.burnt_runs(runs, ["t"], "y", "id").collect()))
+    assert got == [("", 0, 0, 2, "waste"), ("", 0, 2, 5, "waste"), ("", 0, 5, 9, "vineyard"), ("", 0, 20, 21, "row"), ("a", 0, 0, 1, "row"), ("a", 0, 1, 3, "row"), ("a", 0, 3, 4, "row"), ("a", 1, 0, 2, "waste")]
+
+
+def test_corridors_are_dealt_to_all_tasks(spark):
+    from terrasurvey.operators import routes
+
+    strips = spark.range(3).coalesce(1).select(F.col("id").alias("site"), F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (5, 0), (5, 2), (0, 2))]).alias("ring"))
+    assert routes.corridors(strips).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
