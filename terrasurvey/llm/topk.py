@@ -34,6 +34,10 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return vectors.where(sound).select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(run, f"vec_id {kind}, dims int, vector binary").distinct()
 
 
+#: Of the lists, so many parts of 8 are read to their end for all queries together: those that tell most about a query's scores.
+HEAVY = 5
+
+
 class SortedLists:
     """A shard's rows as one list for each dimension, sorted by this component; an entry has the row and its component.
 
@@ -44,55 +48,90 @@ class SortedLists:
         self.ids, self.whole = ids, vectors
         self.n, self.d = vectors.shape
         # bounds are worked out on numbers of at most 1, so that no sum is too large
-        self.shift = int(np.frexp(np.abs(vectors).max(initial=0))[1])
-        small = np.ldexp(vectors, -self.shift)
-        falling = np.argsort(-small, axis=0, kind="stable").T
-        values = np.take_along_axis(small.T, falling, axis=1)
-        self.lists = {True: (falling.copy(), values.copy()), False: (falling[:, ::-1].copy(), values[:, ::-1].copy())}
-        self.squares = (small**2).sum(axis=1)
+        shift = int(np.frexp(np.abs(vectors).max(initial=0))[1])
+        self.small = np.ldexp(vectors, -shift)
+        falling = np.argsort(-self.small, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.small, falling, axis=0).T.copy()
+        self.rank = np.empty((self.d, self.n), np.int32)
+        np.put_along_axis(self.rank, falling.T, np.arange(self.n, dtype=np.int32)[None, :], axis=1)
+        self.parts = self.small**2
+        self.squares = self.parts.sum(axis=1)
 
     def search(self, query_id, query: np.ndarray, k: int, few: int = 64) -> tuple[list[tuple], int]:
-        """([(candidate, score)] of the k best rows but the query's own, ties by the smaller id; entries read).
+        """searches() of one query."""
+        return next(self.searches(np.array([query_id]), query[None, :], k, few))
+
+    def searches(self, query_ids: np.ndarray, queries: np.ndarray, k: int, few: int = 64):
+        """For each query [(candidate, score)] of the k best rows but the query's own, ties by the smaller id, and the entries read.
 
-        Each list is read from its top if the query's component is positive, else from its bottom, block after block, always the one whose
-        unread entries may still differ most. A row's score lies around the sum of what was read of it, by at most the product of the lengths
-        of the query's and the row's parts not read yet; that of a row not seen in any list is also at most the sum of where the lists
-        stand. Reading stops when all but a few rows have an upper bound below the k-th best lower bound; the few that are left can
-        qualify, and their scores are resolved exactly.
+        A row's score lies around the sum of what was read of it, by at most the product of the lengths of the query's and the row's parts
+        not read yet. The lists that weigh most for a query (its component times how far the list's ends differ) are read to their ends
+        first, for many queries at once by a product of matrices; rows with an upper bound below the k-th best lower bound are out. See narrowed
+        for the others. What is left can qualify, and its scores are resolved exactly.
         """
         n, d = self.n, self.d
-        scaled = np.ldexp(query, -int(np.frexp(np.abs(query).max(initial=0))[1]))
-        lists = [(self.lists[x >= 0][0][j], self.lists[x >= 0][1][j]) for j, x in enumerate(scaled)]
-        front = np.array([x * v[0] for x, (_, v) in zip(scaled, lists, strict=True)])
-        back = np.array([x * v[-1] for x, (_, v) in zip(scaled, lists, strict=True)])
-        total, read_q, read_v, place = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(d, np.int64)
-        length = float((scaled**2).sum())
-        slack = 1e-9 * (np.sqrt(length * self.squares) + 1e-300)
-        own = self.ids == query_id
-        block, rounds, read = max(64, -(-n // 16)), max(1, d // 2), 0
-        may = np.flatnonzero(~own)
+        heavy = d * HEAVY // 8
+        many = max(1, (1 << 21) // max(n, 1))
+        for at in range(0, len(queries), many):
+            some, names = queries[at : at + many], query_ids[at : at + many]
+            scaled = np.ldexp(some, -np.frexp(np.abs(some).max(axis=1, initial=0))[1][:, None])
+            if not n or not heavy or n <= few + k:
+                for query_id, query in zip(names, some, strict=True):
+                    yield self.best(np.flatnonzero(self.ids != query_id), query, k), 0
+                continue
+            weight = np.abs(scaled) * (self.values[:, 0] - self.values[:, -1])
+            mask = np.zeros(scaled.shape)
+            np.put_along_axis(mask, np.argsort(-weight, axis=1, kind="stable")[:, :heavy], 1.0, axis=1)
+            length = (scaled**2).sum(axis=1)
+            total, read_q, read_v = (scaled * mask) @ self.small.T, (scaled**2 * mask).sum(axis=1), mask @ self.parts.T
+            low, high = self.bounds(total, length[:, None], read_q[:, None], self.squares, read_v)
+            low[names[:, None] == self.ids] = -np.inf
+            kth = np.partition(low, n - min(k, n), axis=1)[:, n - min(k, n)]
+            for i, (query_id, query) in enumerate(zip(names, some, strict=True)):
+                may = np.flatnonzero((high[i] >= kth[i]) & (self.ids != query_id))
+                may, read = self.narrowed(may, scaled[i], mask[i] == 0, total[i, may], read_q[i], read_v[i, may], length[i], k, few)
+                yield self.best(may, query, k), heavy * n + read
+
+    @staticmethod
+    def bounds(total, length, read_q, squares, read_v) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the most that scores can be, by what was read: the sums, and the squares of the query's and the rows' parts."""
+        rest_q, rest_v = np.maximum(length - read_q, 0) + 1e-13 * length, np.maximum(squares - read_v, 0) + 1e-13 * squares
+        apart = np.sqrt(rest_q * rest_v) + 1e-9 * (np.sqrt(length * squares) + 1e-300)
+        return total - apart, total + apart
+
+    def narrowed(self, may, scaled, rest, total, read_q, read_v, length, k: int, few: int) -> tuple[np.ndarray, int]:
+        """(rows of `may` that can still qualify, entries read): the other lists, read block after block, always the one whose unread entries may
+        still differ most, from its top if the query's component is positive, else from its bottom, until all but a few rows are out."""
+        n, block, read = self.n, max(64, -(-self.n // 4)), 0
+        lists = np.flatnonzero(rest)
+        x = scaled[lists]
+        place, read_q = np.zeros(len(lists), np.int64), np.full(len(may), read_q)
+        values = [self.values[j] if c >= 0 else self.values[j, ::-1] for j, c in zip(lists, x, strict=True)]
+        front, back = np.array([c * v[0] for c, v in zip(x, values, strict=True)]), np.array([c * v[-1] for c, v in zip(x, values, strict=True)])
         while len(may) > few + k and (place < n).any():
-            for _ in range(rounds):
-                j = int(np.argmax(np.where(place < n, front - back, -1.0)))
-                at, to = place[j], min(n, place[j] + block)
+            places = self.rank[np.ix_(lists, may)]
+            places = np.where((x >= 0)[:, None], places, n - 1 - places)
+            for _ in range(max(1, len(lists) // 2)):
+                i = int(np.argmax(np.where(place < n, front - back, -1.0)))
+                at, to = place[i], min(n, place[i] + block)
                 if at >= n:
                     break
-                rows, x = lists[j][0][at:to], lists[j][1][at:to]
-                total[rows] += scaled[j] * x
-                read_q[rows] += scaled[j] ** 2
-                read_v[rows] += x * x
-                place[j], read = to, read + int(to - at)
-                front[j] = scaled[j] * lists[j][1][to] if to < n else back[j]
-            rest_q, rest_v = np.maximum(length - read_q, 0) + 1e-13 * length, np.maximum(self.squares - read_v, 0) + 1e-13 * self.squares
-            apart = np.sqrt(rest_q * rest_v) + slack
-            seen = read_q > 0
-            high = np.where(seen, total + apart, np.minimum(apart, front.sum() + slack))
-            low = np.where(own, -np.inf, total - apart)
-            kth = np.partition(low, n - min(k, n))[n - min(k, n)]
-            may = np.flatnonzero((high >= kth) & ~own)
-        scores = self.resolved(may, query)
-        best = sorted(zip(scores, self.ids[may].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
-        return [(i, s) for s, i in best], read
+                rows = np.flatnonzero((places[i] >= at) & (places[i] < to))
+                seen = values[i][places[i, rows]]
+                total[rows] += x[i] * seen
+                read_q[rows] += x[i] ** 2
+                read_v[rows] += seen * seen
+                place[i], read = to, read + int(to - at)
+                front[i] = x[i] * values[i][to] if to < n else back[i]
+            low, high = self.bounds(total, length, read_q, self.squares[may], read_v)
+            left = high >= np.partition(low, len(may) - min(k, len(may)))[len(may) - min(k, len(may))]
+            may, total, read_q, read_v = may[left], total[left], read_q[left], read_v[left]
+        return may, read
+
+    def best(self, rows: np.ndarray, query: np.ndarray, k: int) -> list[tuple]:
+        """[(candidate, score)] of the k best of these rows."""
+        best = sorted(zip(self.resolved(rows, query), self.ids[rows].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
+        return [(i, s) for s, i in best]
 
     def resolved(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
         """Exact scores; those beyond the range of a long are its ends."""
@@ -131,8 +170,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_rows
         if len(candidates) and len(queries):
             matrix = lambda x: np.frombuffer(b"".join(x), "<f8").reshape(len(x), int(candidates["dims"].iloc[0]))
             lists = SortedLists(candidates["vec_id"].to_numpy(), matrix(candidates["vector"]))
-            for query_id, query in zip(queries["query_id"].tolist(), matrix(queries["query"]), strict=True):
-                found, read = lists.search(query_id, query, k)
+            asked = queries["query_id"].to_numpy()
+            for query_id, (found, read) in zip(asked.tolist(), lists.searches(asked, matrix(queries["query"]), k), strict=True):
                 rows += [(query_id, i, s, read if j == 0 else 0) for j, (i, s) in enumerate(found)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "n_read"])
 

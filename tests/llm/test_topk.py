@@ -59,3 +59,17 @@ def test_components_too_large_for_a_long(spark):
     most = (1 << 63) - 1
     assert got[:5] == [(0, 1, 1, most), (0, 2, 3, most), (0, 3, 4, 256 * 512), (0, 4, 50, 256 * 256), (0, 5, 2, -most - 1)]
     assert got[5:] == [(50, 1, 3, 256 * 512), (50, 2, 4, 256 * 512), (50, 3, 0, 256 * 256), (50, 4, 2, 0), (50, 5, 1, -256 * 256)]
+
+
+def test_many_queries_at_once_read_heavy_lists_together():
+    rng = np.random.default_rng(2)
+    v = np.floor(256 * rng.normal(size=(3000, 64)) / 8)
+    ids = rng.permutation(3000)
+    lists = SortedLists(ids, v)
+    for (found, read), i in zip(lists.searches(ids[:40], v[:40], 5), range(40), strict=True):
+        assert found == plain(ids, v, ids[i], v[i], 5) and 0.6 * v.size < read < 0.95 * v.size
+    # three of eight lists are left to be read in blocks, and for a few rows only
+    rows = []
+    lists.narrowed = lambda may, *rest: rows.append(len(may)) or SortedLists.narrowed(lists, may, *rest)
+    list(lists.searches(ids[:40], v[:40], 5))
+    assert len(rows) == 40 and max(rows) < 1500
