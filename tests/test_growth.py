@@ -56,3 +56,22 @@ def test_corridors_are_dealt_to_all_tasks(spark):
 
     strips = spark.range(3).coalesce(1).select(F.col("id").alias("site"), F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (5, 0), (5, 2), (0, 2))]).alias("ring"))
     assert routes.corridors(strips).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_thinning_looks_at_the_pixels_and_not_at_the_whole_window(monkeypatch):
+    import numpy as np
+
+    from terrasurvey.operators import thinning
+
+    seen, peeled = [], thinning.peeled
+    monkeypatch.setattr(thinning, "peeled", lambda image, second: seen.append(image.size) or peeled(image, second))
+    x, y = (c.ravel() for c in np.meshgrid(np.arange(60, 120), np.arange(70, 73)))
+    px, py, more = thinning.thin_window(x, y, 256, 64)
+    whole = np.zeros((384, 384), bool)
+    whole[y, x] = True
+    for i in range(64):
+        whole &= ~peeled(whole, i % 2 == 1)
+    assert not more and max(seen) == 180 and [*zip(py, px, strict=True)] == [*zip(*np.nonzero(whole[64:320, 64:320]), strict=True)]
+    seen.clear()
+    px, _, more = thinning.thin_window(x - 60, y, 256, 64)  # all in the halo
+    assert not len(px) and not more and not seen
