@@ -1,5 +1,6 @@
 """Masks: polygons to runs of pixels, pixels to outlines, flood fill, straight rows, and downsampled reads."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources.shared import spread, stored
 from .graph import components
+from .raster import complete
 
 
 def rasterised(shapes: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,9 +47,9 @@ def outlines(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """
     fields = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
 
-    def trace(rows: pd.DataFrame) -> pd.DataFrame:
+    def trace(edges: list) -> list[tuple]:
         leaving: dict = {}
-        for x0, y0, x1, y1 in rows[["x0", "y0", "x1", "y1"]].itertuples(index=False):
+        for x0, y0, x1, y1 in edges:
             leaving.setdefault((x0, y0), []).append((x1, y1))
         out = []
         for start in sorted(leaving):
@@ -64,10 +66,23 @@ def outlines(pixels: DataFrame, keys: list[str]) -> DataFrame:
                 n = len(ring)
                 turn = [ring[i] for i in range(n) if (ring[i][0] - ring[i - 1][0]) * (ring[(i + 1) % n][1] - ring[i][1]) != (ring[i][1] - ring[i - 1][1]) * (ring[(i + 1) % n][0] - ring[i][0])]
                 area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(turn, [*turn[1:], turn[0]], strict=True)) / 2
-                out.append((*[rows[k].iloc[0] for k in keys], [{"x": float(x), "y": float(y)} for x, y in turn], area))
-        return pd.DataFrame(out, columns=[*keys, "ring", "area"])
-
-    return spread(border(pixels, keys), *keys).groupBy(*keys).applyInPandas(trace, f"{fields}, ring array<struct<x:double,y:double>>, area double")
+                out.append(([{"x": float(x), "y": float(y)} for x, y in turn], area))
+        return out
+
+    def run(batches):
+        for rows in complete(batches, keys):
+            fresh = np.zeros(len(rows), bool)
+            fresh[0] = True
+            for k in keys:
+                codes = pd.factorize(rows[k], use_na_sentinel=False)[0]
+                fresh[1:] |= codes[1:] != codes[:-1]
+            starts, edges = np.flatnonzero(fresh), rows[["x0", "y0", "x1", "y1"]].to_numpy().tolist()
+            found = [trace(edges[i:j]) for i, j in zip(starts, [*starts[1:], len(rows)], strict=True)]
+            names = rows[keys].iloc[np.repeat(starts, [len(f) for f in found])].reset_index(drop=True)
+            yield names.assign(ring=[r for f in found for r, _ in f], area=[a for f in found for _, a in f])
+
+    # a batch has many small groups, which are traced one after the other
+    return spread(border(pixels, keys), *keys).sortWithinPartitions(*keys).mapInPandas(run, f"{fields}, ring array<struct<x:double,y:double>>, area double")
 
 
 def in_runs(pixels: DataFrame, keys: list[str]) -> DataFrame:

@@ -75,3 +75,12 @@ def test_thinning_looks_at_the_pixels_and_not_at_the_whole_window(monkeypatch):
     seen.clear()
     px, _, more = thinning.thin_window(x - 60, y, 256, 64)  # all in the halo
     assert not len(px) and not more and not seen
+
+
+def test_outlines_need_no_call_for_each_group(spark):
+    from terrasurvey.operators import masks
+
+    pixels = spark.createDataFrame([(None, 0, 0), (None, 1, 0), (4, 0, 0), (5, 0, 0), (5, 1, 1)], "id long, px long, py long")
+    rings = masks.outlines(pixels, ["id"])
+    assert "FlatMapGroupsInPandas" not in logical(rings)
+    assert sorted((r.id or 0, r.area, len(r.ring)) for r in rings.collect()) == [(0, 2.0, 4), (4, 1.0, 4), (5, 1.0, 4), (5, 1.0, 4)]
