@@ -84,3 +84,33 @@ def test_outlines_need_no_call_for_each_group(spark):
     rings = masks.outlines(pixels, ["id"])
     assert "FlatMapGroupsInPandas" not in logical(rings)
     assert sorted((r.id or 0, r.area, len(r.ring)) for r in rings.collect()) == [(0, 2.0, 4), (4, 1.0, 4), (5, 1.0, 4), (5, 1.0, 4)]
+
+
+def test_pieces_outside_do_not_gather_in_the_cells_of_few_areas(spark, monkeypatch):
+    from terrasurvey.operators import lines
+
+    ring = lambda *p: [(float(x), float(y)) for x, y in [*p, p[0]]]
+    rings = [ring((-50, -40), (-40, -50), (50, 40), (40, 50)), ring((0, 20), (8, 20), (8, 28), (4, 22), (0, 28)), ring((20, 0), (28, 0), (28, 8), (20, 8)), ring((24, 0), (32, 0), (32, 8), (24, 8))]
+    areas = spark.createDataFrame([(r,) for r in rings], "ring array<struct<x:double,y:double>>")
+    walks = [[(float(i * 7 % 60 - 10), float(i * 11 % 47 - 10)) for i in range(k, k + 9)] for k in range(40)] + [[(18.0, 0.0), (34.0, 0.0), (34.0, 0.0), (18.0, 0.0)], [(28.0, -3.0), (28.0, 11.0)]]
+    routes = spark.createDataFrame(list(enumerate(walks)), "id long, points array<struct<x:double,y:double>>")
+    found = lines.pieces_outside(routes, areas, "id")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # the shares of a segment
+    rows = lambda df: sorted((r.id, r.segment, r.piece, round(r["from"], 6), round(r["to"], 6), round(r.length_m, 6)) for r in df.collect())
+    got = rows(found)
+    assert [r for r in got if r[0] >= 40] == [(40, 0, 0, 0.0, 0.125, 2.0), (40, 0, 1, 0.875, 1.0, 2.0), (40, 2, 0, 0.0, 0.125, 2.0), (40, 2, 1, 0.875, 1.0, 2.0), (41, 0, 0, 0.0, round(3 / 14, 6), 3.0), (41, 0, 1, round(11 / 14, 6), 1.0, 3.0)]
+
+    def holds(r, x, y):
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(r, r[1:], strict=False)) % 2
+
+    total = {}
+    for i, s, _, a, b, metres in got:
+        total[i, s] = total.get((i, s), 0) + (b - a)
+    for i, walk in enumerate(walks[:40]):
+        for s, (p, q) in enumerate(zip(walk, walk[1:], strict=False)):
+            out = sum(not any(holds(r, p[0] + (q[0] - p[0]) * (k + 0.5) / 500, p[1] + (q[1] - p[1]) * (k + 0.5) / 500) for r in rings) for k in range(500)) / 500
+            assert abs(out - total.get((i, s), 0)) < 0.02
+    monkeypatch.setattr(lines, "SENT", (0, 0))
+    monkeypatch.setattr(lines, "AT_ONCE", 7)
+    assert rows(lines.pieces_outside(routes, areas, "id")) == got
+    assert lines.pieces_outside(routes, areas.limit(0), "id").count() == sum(p != q for w in walks for p, q in zip(w, w[1:], strict=False))
