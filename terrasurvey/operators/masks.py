@@ -11,6 +11,10 @@ from .graph import components
 from .raster import complete
 
 
+#: Lines whose crossings are put in order together.
+TOGETHER = 64
+
+
 def rasterised(shapes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, py, start, end): the runs of pixels (from start, before end) whose centres lie in a shape.
 
@@ -23,7 +27,8 @@ def rasterised(shapes: DataFrame, keys: list[str]) -> DataFrame:
     lines = F.sequence(F.ceil(low - 0.5).cast("long"), (F.ceil(high - 0.5) - 1).cast("long"))
     lines = edges.where(F.ceil(low - 0.5) < F.ceil(high - 0.5)).select(*keys, "e", F.explode(lines).alias("py"))
     at = F.col("e.a.x") + (F.col("py") + 0.5 - F.col("e.a.y")) * (F.col("e.b.x") - F.col("e.a.x")) / (F.col("e.b.y") - F.col("e.a.y"))
-    order = Window.partitionBy(*keys, "py").orderBy("at")
+    # a closed ring crosses each line an even number of times, so lines can be numbered on together: one group for each line would cost more than its few rows
+    order = Window.partitionBy(*keys, F.floor(F.col("py") / TOGETHER)).orderBy("py", "at")
     crossings = lines.select(*keys, "py", at.alias("at")).withColumn("k", F.row_number().over(order)).withColumn("to", F.lead("at").over(order))
     pixel = lambda c: F.ceil(F.col(c) - 0.5).cast("long")
     return crossings.where("k % 2 = 1").select(*keys, "py", pixel("at").alias("start"), pixel("to").alias("end")).where(F.col("start") < F.col("end"))

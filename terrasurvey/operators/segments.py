@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.shared import spread
 from .masks import rasterised
 
 
@@ -123,11 +124,12 @@ def sampled_polygons(shapes: DataFrame, key: str, least: float = 0.25, most: flo
     """(key, x, y, step): the points of a grid inside each polygon (key, ring, closed), from half a step inside its bounds on.
 
     The step is `least`, or so much more that the bounds hold `most` points. The grid's lines cross the ring's edges and are paired in order, as masks
-    are rasterised, so only points inside are made.
+    are rasterised, so only points inside are made. Polygons are dealt by key before their edges are cut, and each carries its corner and step along, so that
+    neither crossings nor points are moved; a polygon has at most `most` points.
     """
     b = g.bounds(F.col("ring"))
-    sized = shapes.select(key, "ring", b.alias("b")).withColumn("step", F.greatest(F.lit(least), F.sqrt((F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0")) / most)))
+    sized = spread(shapes.select(key, "ring", b.alias("b")), key).withColumn("step", F.greatest(F.lit(least), F.sqrt((F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0")) / most)))
     scaled = F.transform("ring", lambda p: F.struct(((p["x"] - F.col("b.x0")) / F.col("step")).alias("x"), ((p["y"] - F.col("b.y0")) / F.col("step")).alias("y")))
-    runs = rasterised(sized.select(key, F.array(scaled).alias("rings")), [key]).withColumn("px", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
-    at = lambda c, low: ((F.col(c) + 0.5) * F.col("step") + F.col(f"b.{low}"))
-    return runs.join(sized.select(key, "b", "step"), key).select(key, at("px", "x0").alias("x"), at("py", "y0").alias("y"), "step")
+    runs = rasterised(sized.select(key, F.col("b.x0").alias("_x0"), F.col("b.y0").alias("_y0"), "step", F.array(scaled).alias("rings")), [key, "_x0", "_y0", "step"])
+    at = lambda c, low: ((F.col(c) + 0.5) * F.col("step") + F.col(low))
+    return runs.withColumn("px", F.explode(F.sequence(F.col("start"), F.col("end") - 1))).select(key, at("px", "_x0").alias("x"), at("py", "_y0").alias("y"), "step")

@@ -114,3 +114,23 @@ def test_pieces_outside_do_not_gather_in_the_cells_of_few_areas(spark, monkeypat
     monkeypatch.setattr(lines, "AT_ONCE", 7)
     assert rows(lines.pieces_outside(routes, areas, "id")) == got
     assert lines.pieces_outside(routes, areas.limit(0), "id").count() == sum(p != q for w in walks for p, q in zip(w, w[1:], strict=False))
+
+
+def test_sampled_points_stay_where_their_polygon_is(spark):
+    from terrasurvey.operators import segments
+
+    star = [(0.0131, 0.0073), (30.3117, 2.0293), (14.0571, 12.0837), (29.0173, 41.7331), (11.0393, 22.0617), (-3.0719, 39.0437)]
+    rings = [(i, [(x + i * 0.37, y * (1 + i % 3) - i) for x, y in [*star, star[0]]]) for i in range(12)]
+    shapes = spark.createDataFrame(rings, "id long, ring array<struct<x:double,y:double>>")
+    points = segments.sampled_polygons(shapes, "id")
+    plan = points.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # only the polygons themselves are moved
+    got = {r.id: (r.n, round(r.sx, 3)) for r in points.groupBy("id").agg(F.count("*").alias("n"), F.sum("x").alias("sx")).collect()}
+    for i, ring in rings:
+        x0, y0, x1, y1 = min(p[0] for p in ring), min(p[1] for p in ring), max(p[0] for p in ring), max(p[1] for p in ring)
+        held = []
+        for k in range(int((y1 - y0) * 4) + 2):
+            y = y0 + (k + 0.5) * 0.25
+            cuts = [a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(ring, ring[1:], strict=False) if (a[1] > y) != (b[1] > y)]
+            held += [x for x in (x0 + (j + 0.5) * 0.25 for j in range(int((x1 - x0) * 4) + 2)) if sum(c > x for c in cuts) % 2]
+        assert got[i][0] == len(held) and abs(got[i][1] - sum(held)) < 0.01
