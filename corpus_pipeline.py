@@ -57,8 +57,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows without an id come after those with one; of rows of one id, or without, the one with the smallest hash stays. Different texts of one id
     stay both, unless they are near copies. Null, empty and blank texts are copies of each other; very long texts are compared whole; further
-    columns stay; an empty table stays empty. Fingerprints of 64 bits would not do: short texts at 0.8 differ in up to 13 of them, and a grid of 14
-    blocks has no fine cells (see near_copies for what is done).
+    columns stay; an empty table stays empty. Links within 4 bits are found by SimHash, by bit counts of segments on a grid, and checked exactly; short
+    texts at 0.8 differ in up to 13 bits, and those that SimHash leaves apart are found by min-hash bands (see near_copies).
     """
     rows = with_row(docs, "doc_id", "text")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")

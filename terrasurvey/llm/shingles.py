@@ -1,4 +1,7 @@
-"""Near copies by word shingles: pairs of texts that share most of their shingles, found by min-hash bands and checked exactly."""
+"""Near copies by word shingles: pairs of texts that share most of their shingles, found by SimHash and, where fingerprints are too far apart, by
+min-hash bands; all are checked exactly."""
+
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +12,7 @@ from xxhash import xxh64_intdigest
 
 from .common import stored
 from .graph import components
+from .simhash import near_links, print_of
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 3 in a million at 0.8.
 BANDS, ROWS = 32, 5
@@ -46,32 +50,44 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame, key: str, shingle: int) -> DataFrame:
-    """(key, _class, _bands): a hash of each text's words, and its band keys."""
+    """(key, _class, _fp, _bands): a hash of each text's words, the SimHash fingerprint of its shingles, and its band keys."""
 
     def run(batches):
         for batch in batches:
-            classes, keys = [], []
+            classes, prints, keys = [], [], []
             for raw in batch.column(1).to_pylist():
                 joined = normal(raw)
                 classes.append(xxh64_intdigest(joined) - (1 << 63))
-                keys.append(band_keys(shingles(joined, shingle)))
+                values = shingles(joined, shingle)
+                prints.append(print_of(values))
+                keys.append(band_keys(values))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), lists], [key, "_class", "_bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(prints, pa.int64()), lists], [key, "_class", "_fp", "_bands"])
 
-    schema = StructType([docs.schema[key], StructField("_class", LongType()), StructField("_bands", ArrayType(LongType()))])
+    schema = StructType([docs.schema[key], StructField("_class", LongType()), StructField("_fp", LongType()), StructField("_bands", ArrayType(LongType()))])
     return docs.select(key, F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def linked(classes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that connect all sets of one group whose similarity is `least` or more: fewer than there are sets."""
+def linked(classes: list[int], sets: list[np.ndarray], least: float, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets of one group whose similarity is `least` or more: fewer than there are sets.
+
+    known: sets of equal numbers are linked already; they are not compared with each other, and links between them are left out.
+    """
+    known = known or list(range(len(sets)))
+    members = defaultdict(list)
+    for i, k in enumerate(known):
+        members[k].append(i)
     out, left = [], list(range(len(sets)))
     while left:
-        queue, left = [left[0]], left[1:]
+        queue = list(members[known[left[0]]])
+        left = [y for y in left if known[y] != known[queue[0]]]
         while queue and left:
             x = queue.pop()
-            rest = []
+            rest, reached = [], set()
             for y in left:
+                if known[y] in reached:
+                    continue
                 few, many = sorted((len(sets[x]), len(sets[y])))
                 near = few >= least * many
                 if near:
@@ -81,60 +97,81 @@ def linked(classes: list[int], sets: list[np.ndarray], least: float) -> list[tup
                     near = same >= least * (few + many - same) - 1e-9
                 if near:
                     out.append((classes[x], classes[y]))
-                    queue.append(y)
+                    queue += members[known[y]]
+                    reached.add(known[y])
                 else:
                     rest.append(y)
-            left = rest
+            left = [y for y in rest if known[y] not in reached]
     return out
 
 
 def group_links(shingle: int, least: float):
-    """For rows (group, class, text) sorted by group: links within groups."""
+    """For rows (group, class, known, text) sorted by group: links within groups."""
 
-    def links_of(classes, sets):
-        links = linked(classes, sets, least)
+    def links_of(classes, known, sets):
+        links = linked(classes, sets, least, known)
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def run(batches):
-        group, classes, sets = None, [], []
+        group, classes, known, sets = None, [], [], []
         for batch in batches:
-            for g, c, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for g, c, k, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if g != group and classes:
-                    yield links_of(classes, sets)
-                    classes, sets = [], []
+                    yield links_of(classes, known, sets)
+                    classes, known, sets = [], [], []
                 group = g
                 classes.append(c)
+                known.append(k)
                 sets.append(shingles(normal(raw), shingle))
         if classes:
-            yield links_of(classes, sets)
+            yield links_of(classes, known, sets)
 
     return run
 
 
-def near_copies(docs: DataFrame, key: str, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def links_in(groups: DataFrame, docs: DataFrame, one: DataFrame, key: str, shingle: int, least: float) -> DataFrame:
+    """(a, b): links of `least` or more within groups (_group, _n, _class, _known): classes of equal _known are linked already.
+
+    Of all texts only those of one row for each class that meets others are moved.
+    """
+    # a large group is cut into parts, and each pair of parts becomes a group of its own
+    parts = F.ceil(F.col("_n") / SPLIT).cast("int")
+    met = groups.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("_class", F.lit(1)), F.col("_parts")).cast("int"))
+    met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    pair = F.xxhash64("_group", F.least("_part", "_other"), F.greatest("_part", "_other"))
+    met = met.select("_class", "_known", F.when(F.col("_parts") == 1, F.col("_group")).otherwise(pair).alias("_group"))
+    asked = one.join(met.select("_class").distinct(), "_class", "left_semi").select(key, "_class")
+    texts = stored(docs.select(key, F.col("text").cast("binary").alias("_text")).join(asked, key).select("_class", "_text"))
+    pairs = met.join(texts, "_class").select("_group", "_class", "_known", "_text").repartition("_group").sortWithinPartitions("_group")
+    return pairs.mapInArrow(group_links(shingle, least), "a long, b long")
+
+
+def near_copies(docs: DataFrame, key: str, shingle: int = 5, least: float = 0.8, most: int = 4) -> DataFrame:
     """(key, _root): equal _root for texts linked, directly or by way of others, by a similarity of `least` or more.
 
     key: a column that no two rows share. Similarity is that of the sets of word shingles (shared ones over all), A-Z lower-cased. Texts of equal words
-    are one class, so that exact copies make no pairs. Classes that share a band meet in a group; groups of the same members are compared
-    once, and within a group each class is compared exactly with those not linked yet. Of all texts only those of one row for each class that
-    meets others are moved. Null, empty and blank texts are one class; texts of fewer words than a shingle are one shingle; very long
+    are one class, so that exact copies make no pairs. First come the links of SimHash: fingerprints of the shingles that differ in at most `most` bits are all
+    found by bit counts of segments on a grid (simhash.near_links), and the classes that they bring together are compared exactly. Texts
+    of 50 to 100 words that are alike by 0.8 mostly differ in 5 to 13 bits, where a grid has no fine cells; for these, classes that share a min-hash band meet
+    in a group as well. Groups of the same members are compared once, those that SimHash has linked as a whole are left out, and in the others each class is
+    compared exactly with those not linked yet. Null, empty and blank texts are one class; texts of fewer words than a shingle are one shingle; very long
     texts count whole; other columns don't matter; an empty table gives no rows.
     """
     rows = stored(with_bands(docs, key, shingle))
-    one = rows.groupBy("_class").agg(F.min(F.struct("_bands", key)).alias("_one"))
-    one = stored(one.select("_class", "_one._bands", F.col("_one").getField(key).alias(key)))
+    one = rows.groupBy("_class").agg(F.min(F.struct("_bands", "_fp", key)).alias("_one"))
+    one = stored(one.select("_class", "_one._bands", "_one._fp", F.col("_one").getField(key).alias(key)))
+    prints = stored(one.groupBy("_fp").agg(F.count("*").alias("_n")))
+    near = components(near_links(prints.select(F.col("_fp").alias("fp")), prints.count(), most)).withColumnRenamed("node", "_fp")
+    rooted = prints.join(near, "_fp", "left").select("_fp", F.coalesce("root", "_fp").alias("_group"), "_n")
+    large = rooted.groupBy("_group").agg(F.sum("_n").alias("_n")).where("_n > 1")
+    alike = one.select("_class", "_fp").join(rooted.drop("_n").join(large, "_group"), "_fp").select("_group", "_n", "_class", F.col("_class").alias("_known"))
+    first = stored(links_in(stored(alike), docs, one, key, shingle, least))
+    known = components(first).select(F.col("node").alias("_class"), F.col("root").alias("_known"))
     keyed = stored(one.select("_class", F.posexplode("_bands").alias("_i", "_band")).select("_class", F.xxhash64("_i", "_band").alias("_group")))
     groups = keyed.groupBy("_group").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("_class").cast("decimal(38,0)")).alias("_members")).where("_n > 1")
     groups = stored(groups.groupBy("_n", "_members").agg(F.min("_group").alias("_group")))
-    met = stored(keyed.join(groups.select("_group", "_n"), "_group"))
-    # a large group is cut into parts, and each pair of parts becomes a group of its own
-    parts = F.ceil(F.col("_n") / SPLIT).cast("int")
-    met = met.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("_class", F.lit(1)), F.col("_parts")).cast("int"))
-    met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    pair = F.xxhash64("_group", F.least("_part", "_other"), F.greatest("_part", "_other"))
-    met = met.select("_class", F.when(F.col("_parts") == 1, F.col("_group")).otherwise(pair).alias("_group"))
-    asked = one.join(met.select("_class").distinct(), "_class", "left_semi").select(key, "_class")
-    texts = stored(docs.select(key, F.col("text").cast("binary").alias("_text")).join(asked, key).select("_class", "_text"))
-    pairs = met.join(texts, "_class").select("_group", "_class", "_text").repartition("_group").sortWithinPartitions("_group")
-    roots = components(pairs.mapInArrow(group_links(shingle, least), "a long, b long")).select(F.col("node").alias("_class"), F.col("root").alias("_root"))
+    met = stored(keyed.join(groups.select("_group", "_n"), "_group").join(known, "_class", "left").withColumn("_known", F.coalesce("_known", "_class")))
+    open_ = met.groupBy("_group").agg(F.min("_known").alias("_low"), F.max("_known").alias("_high")).where("_low < _high").select("_group")
+    rest = links_in(met.join(open_, "_group", "left_semi"), docs, one, key, shingle, least)
+    roots = components(first.unionByName(rest)).select(F.col("node").alias("_class"), F.col("root").alias("_root"))
     return rows.select(key, "_class").join(roots, "_class", "left").select(key, F.coalesce("_root", "_class").alias("_root"))

@@ -20,6 +20,14 @@ SPLIT = 20_000
 WHOLE = 50_000
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes (<u8): bit i is set if it is set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): bit i is set if it is set in over half of the XXH64 values of the word shingles of the text, A-Z lower-cased."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -39,10 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
                 starts = [0, *(ends[:-1] + 1).tolist()]
                 last = ends[shingle - 1 :].tolist() or [len(joined)]
                 hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, last, strict=False)], "<u8")
-                votes = np.zeros(64, np.int64)
-                for at in range(0, len(hashes), 1 << 16):
-                    votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                out.append(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
+                out.append(print_of(hashes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")

@@ -57,3 +57,44 @@ def test_missing_and_shared_ids(spark):
     assert [t for i, t in got if i == 0] == ["no id here"]  # copies without an id go as well
     assert sorted(i for i, _ in got if i) == [1, 4, 5, 7, 20, 20] and any(t.startswith("a text of its own") for _, t in got)
     assert corpus_pipeline.simhash_dedup(spark, documents(spark, []), "").count() == 0
+
+
+def test_simhash_links_without_any_band(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from terrasurvey.llm import shingles
+
+    rng = random.Random(8)
+    texts = [t for _ in range(12) for t in edited(rng, 600, (1, 2))]
+    whole = shingles.with_bands
+    # bands that no two texts share: what is linked, SimHash has linked
+    monkeypatch.setattr(shingles, "with_bands", lambda docs, key, n: whole(docs, key, n).withColumn("_bands", F.array(*[F.xxhash64(key, F.lit(i)) for i in range(shingles.BANDS)])))
+    found = {r.doc_id: r._root for r in near_copies(documents(spark, list(enumerate(texts))), "doc_id").collect()}
+    want = roots(texts)
+    linked = [i for i in range(len(texts)) if i % 3 and found[i] == found[i - i % 3]]
+    assert len(linked) >= 12
+    assert all(want[i] == want[j] for i in found for j in found if found[i] == found[j])
+
+
+def test_known_links_are_not_compared_again():
+    import numpy as np
+
+    from terrasurvey.llm.shingles import linked
+
+    rng, sets = random.Random(2), []
+    for _ in range(15):
+        base = rng.sample(range(10_000), 40)
+        sets += [np.unique(np.array(base[: rng.randint(30, 40)] + [rng.randint(0, 10_000)], np.uint64)) for _ in range(6)]
+    classes, plain = list(range(len(sets))), linked(list(range(len(sets))), sets, 0.8)
+
+    def tops(links):
+        up = list(range(len(sets)))
+        for _ in up:
+            for a, b in links:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    for some in (plain[::2], plain[1::3], plain):
+        known = tops(some)
+        rest = linked(classes, sets, 0.8, known)
+        assert tops(some + rest) == tops(plain) and all(known[a] != known[b] for a, b in rest)
