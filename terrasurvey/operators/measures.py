@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 
 def covered(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, first, last): the stretches that intervals [a, b] of each key cover together."""
+    """(keys, first, last): the stretches that intervals [a, b] of each key cover together.
+
+    Both windows take the rows of one sort, so equal pieces stand in one order in both and lie in one stretch.
+    """
     seen = F.max("b").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(seen.isNull() | (F.col("a") > seen), 1).otherwise(0)
     stretch = F.sum("opens").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0))
