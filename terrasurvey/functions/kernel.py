@@ -199,6 +199,76 @@ def traced(starts: dict[tuple, list]) -> list[np.ndarray]:
     return rings
 
 
+def crossed(rings: np.ndarray, near: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(clear, i, j, point) of open rings (ring, point, axis): where the edges i < j of a ring cross, both 0 where none do.
+
+    Rings are clear if their edges cross once at most and no corner comes `near` an edge that it doesn't end.
+    """
+    n = rings.shape[1]
+    a, b, k = rings, np.roll(rings, -1, 1), np.arange(n)
+    d = b - a
+    w, long = a[:, :, None] - a[:, None], (d * d).sum(-1)
+    t = np.clip((w * d[:, None]).sum(-1) / np.where(long > 0, long, 1)[:, None], 0, 1)
+    far = ((w - t[..., None] * d[:, None]) ** 2).sum(-1)
+    own = (k[:, None] == k) | (k[:, None] == (k + 1) % n)
+    clear = (own | (far > near * near)).all((1, 2))
+    i, j = np.triu_indices(n, 2)
+    i, j = i[j - i < n - 1], j[j - i < n - 1]  # the last edge ends where the first begins
+    side = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+    one, two = side(a[:, j], b[:, j], a[:, i]), side(a[:, j], b[:, j], b[:, i])
+    hit = (one * two < 0) & (side(a[:, i], b[:, i], a[:, j]) * side(a[:, i], b[:, i], b[:, j]) < 0)
+    first, last, at = np.zeros(len(rings), int), np.zeros(len(rings), int), np.zeros((len(rings), 2))
+    rows, which = np.nonzero(hit)
+    first[rows], last[rows] = i[which], j[which]
+    at[rows] = a[rows, i[which]] + d[rows, i[which]] * (one[rows, which] / (one[rows, which] - two[rows, which]))[:, None]
+    return clear & (hit.sum(1) <= 1), first, last, at
+
+
+def turned(rings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rings, area, bends) of open rings (ring, point, axis): made to turn left, from their first corner by x and y on; areas are signed as the rings were.
+
+    Corners are rounded as `dissolved` does; bends tells rings of which no corner lies within a straight line.
+    """
+    r = np.round(rings, 9) + 0.0
+    n = r.shape[1]
+    start = np.argmin(np.where(r[..., 0] == r[..., 0].min(1, keepdims=True), r[..., 1], np.inf), 1)
+    x, y = np.moveaxis(r - r[:, :1], -1, 0)
+    area = (x * np.roll(y, -1, 1) - y * np.roll(x, -1, 1)).sum(1) / 2
+    step = np.where(area < 0, -1, 1)
+    r = np.take_along_axis(r, ((start[:, None] + step[:, None] * np.arange(n)) % n)[..., None], 1)
+    d, e = r - np.roll(r, 1, 1), np.roll(r, -1, 1) - r
+    bend = np.abs(d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]) > 1e-9 * np.maximum(1.0, np.hypot(d[..., 0], d[..., 1]) * np.hypot(e[..., 0], e[..., 1]))
+    return r, area, bend.all(1)
+
+
+def plain_parts(rings: np.ndarray) -> list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(which, outer rings, areas) of open rings (ring, point, axis) that are clear: those of which no tuple tells are left to `dissolved`.
+
+    A ring that doesn't cross itself is one part. One that crosses itself once is two loops that meet in that point: side by side, turning to either side,
+    they are two parts, the smaller first; if both turn to one side, one holds the other and is the only part. outer rings: one array (ring, point, axis) for each
+    part; areas: (ring, part).
+    """
+    clear, i, j, at = crossed(rings)
+    out = []
+    for one, two in np.unique(np.stack((i, j), 1)[clear], axis=0):
+        which = np.flatnonzero(clear & (i == one) & (j == two))
+        r = rings[which]
+        if one == two:
+            ring, area, bends = turned(r)
+            out.append((which[bends], [ring[bends]], np.abs(area[bends, None])))
+            continue
+        x = at[which, None]
+        (a, aa, af), (b, ba, bf) = turned(np.concatenate((x, r[:, one + 1 : two + 1]), 1)), turned(np.concatenate((x, r[:, two + 1 :], r[:, : one + 1]), 1))
+        ok, apart, size_a, size_b = af & bf, (aa < 0) != (ba < 0), np.abs(aa), np.abs(ba)
+        before = (size_a < size_b) | (size_a == size_b) & ((a[:, 0, 0] < b[:, 0, 0]) | (a[:, 0, 0] == b[:, 0, 0]) & (a[:, 0, 1] <= b[:, 0, 1]))
+        for those, parts, sizes in (
+            (ok & apart & before, [a, b], [size_a, size_b]), (ok & apart & ~before, [b, a], [size_b, size_a]),
+            (ok & ~apart & (size_a >= size_b), [a], [size_a]), (ok & ~apart & (size_a < size_b), [b], [size_b]),
+        ):
+            out.append((which[those], [p[those] for p in parts], np.stack([s[those] for s in sizes], 1)))
+    return [o for o in out if len(o[0])]
+
+
 def turned_area(ring: np.ndarray) -> float:
     x, y = (ring - ring[0]).T
     return float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from ..functions import kernel
 #: Edges that a task sweeps at once where a layer is cut into columns.
 COLUMN_EDGES = 4_000
 RING = "array<struct<x:double,y:double>>"
+#: Points of a ring that is looked at together with others, and pairs of its corners and edges that a task holds at once.
+SHORT, PAIRS = 24, 1 << 19
+POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+PARTS = pa.list_(pa.struct([("outer", POINTS), ("holes", pa.list_(POINTS)), ("area", pa.float64())]))
 
 
 def edges(shapes: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,17 +126,29 @@ def as_array(ring) -> np.ndarray:
     return np.array([[p["x"], p["y"]] for p in ring], float).reshape(-1, 2)
 
 
+def polygons(outer: list[np.ndarray], areas: np.ndarray) -> pa.ListArray:
+    """Rows of polygons without holes; outer: for each of a row's polygons the open rings (row, point, axis), areas: (row, polygon)."""
+    rows, n = areas.shape
+    closed = [np.concatenate((r, r[:, :1]), 1) for r in outer]
+    p = np.concatenate(closed, 1).reshape(-1, 2)
+    ends = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(np.tile(sizes, rows)))), pa.int32())
+    points = pa.StructArray.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["x", "y"])
+    rings = pa.ListArray.from_arrays(ends([r.shape[1] for r in closed]), points)
+    holes = pa.array([[]], PARTS.value_type.field("holes").type).take(pa.array(np.zeros(rows * n, int)))
+    return pa.ListArray.from_arrays(ends([n]), pa.StructArray.from_arrays([rings, holes, pa.array(areas.reshape(-1))], ["outer", "holes", "area"])).cast(PARTS)
+
+
 def repaired(shapes: DataFrame, ring: str = "ring") -> DataFrame:
     """shapes with `parts`: the sound polygons that a ring, which may cross or touch itself, winds around; each has an outer ring and holes, closed.
 
     Crossings become vertices and the faces that the ring winds around are kept, so a bow tie gives its two triangles and a loop that is passed
     twice the same way counts once. Rings of fewer than three different points, null ones and those without area have no parts.
+    Rings of at most SHORT points that cross themselves once or never are taken many at once, others are swept one by one.
     """
     kind = f"array<struct<outer:{RING},holes:array<{RING}>,area:double>>"
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in shapes.schema], f"parts {kind}"])
 
-    def one(points) -> list[dict]:
-        p = as_array(points) if points is not None else np.zeros((0, 2))
+    def one(p: np.ndarray) -> list[dict]:
         p = p[np.isfinite(p).all(axis=1)]
         if len(np.unique(p, axis=0)) < 3:
             return []
@@ -138,10 +156,31 @@ def repaired(shapes: DataFrame, ring: str = "ring") -> DataFrame:
         return [{"outer": as_points(o), "holes": [as_points(h) for h in holes], "area": kernel.turned_area(o) + sum(map(kernel.turned_area, holes))} for o, holes in parts]
 
     def run(batches):
-        for rows in batches:
-            yield rows.assign(parts=[one(r) for r in rows[ring]])
-
-    return shapes.mapInPandas(run, fields)
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(ring))
+            n = np.asarray(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), int)
+            flat, first = column.flatten(), np.cumsum(n) - n
+            p = np.stack([np.asarray(flat.field(c).to_numpy(zero_copy_only=False), float) for c in ("x", "y")], 1)
+            has = np.flatnonzero(n > 0)
+            shut = np.zeros(len(n), int)
+            shut[has] = (p[first[has]] == p[first[has] + n[has] - 1]).all(1)
+            sound = np.zeros(len(n), bool)
+            sound[has] = np.logical_and.reduceat(np.isfinite(p).all(1), first[has]) if len(has) else False
+            size, order, found, left = n - shut, [], [], np.ones(len(n), bool)
+            for k in np.unique(size[sound & (size >= 3) & (size <= SHORT)]):
+                rows = np.flatnonzero(sound & (size == k))
+                some = PAIRS // (k * k)
+                for part in (rows[i : i + some] for i in range(0, len(rows), some)):
+                    for which, outer, areas in kernel.plain_parts(p[first[part, None] + np.arange(k)]):
+                        order.append(part[which])
+                        found.append(polygons(outer, areas))
+                        left[order[-1]] = False
+            order.append(np.flatnonzero(left))
+            found.append(pa.array([one(p[first[i] : first[i] + n[i]]) for i in order[-1]], PARTS))
+            parts = pa.concat_arrays(found).take(pa.array(np.argsort(np.concatenate(order))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, parts], [*batch.schema.names, "parts"])
+
+    return shapes.mapInArrow(run, fields)
 
 
 def largest_repaired(shapes: DataFrame, ring: str = "ring") -> DataFrame:
