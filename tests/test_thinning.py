@@ -70,3 +70,29 @@ def test_brush_splits_a_bent_line(spark):
     parts = sorted(((r.id, (r.points[0].x, r.points[0].y), (r.points[-1].x, r.points[-1].y)) for r in found))
     assert parts == [(1, (0.0, 0.0), (16.0, 0.0)), (1, (20.0, 4.0), (20.0, 8.0)), (1, (20.0, 16.0), (20.0, 20.0)), (2, (0.0, 50.0), (9.0, 50.0))]
     assert pd.Series([len(r.points) for r in found]).min() >= 2
+
+
+@pytest.mark.parametrize("whole_bounds", [0, 1 << 22])
+def test_a_tile_thinned_in_one_task_equals_thinning_of_the_whole(monkeypatch, whole_bounds):
+    rng = random.Random(4)
+    monkeypatch.setattr(thinning, "WHOLE", whole_bounds)
+    blobs = bars(3, 80, 5, 12) | bars(30, 37, 5, 60) | bars(2, 60, 50, 55) | {(rng.randrange(90), rng.randrange(70)) for _ in range(300)}
+    x, y = np.array(sorted(blobs)).T
+    for cell, halo in ((256, 64), (20, 4), (17, 2)):
+        px, py = thinning.middle_pixels(x - 40, y - 30, cell, halo)
+        assert {(int(a) + 40, int(b) + 30) for a, b in zip(px, py, strict=True)} == whole(blobs) and len(px) == len(whole(blobs))
+
+
+def test_pieces_are_joined_over_eight_neighbours():
+    x, y = np.array([(0, 0), (1, 1), (2, 0), (5, 0), (5, 1), (0, 5), (9, 1), (0, 2)]).T
+    piece = thinning.joined_pixels(x, y)
+    assert [np.flatnonzero(piece == p).tolist() for p in dict.fromkeys(piece.tolist())] == [[0, 1, 2, 7], [3, 4], [5], [6]]
+
+
+def test_rows_of_many_tiles_move_once(spark):
+    pixels = bars(0, 301, 10, 13)
+    rows = spark.createDataFrame([(x, y) for x, y in sorted(pixels)], "px long, py long").crossJoin(spark.range(150).withColumnRenamed("id", "tile"))
+    found = thinning.split_rows(rows, "tile")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "FlatMapGroups" not in plan
+    assert sorted((r.tile, r.y0, r.y1) for r in found.collect()) == [(i, 11.5, 11.5) for i in range(150)]
