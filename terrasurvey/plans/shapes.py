@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import lines, overlay, segments, slanted, thinning
+from ..sources.shared import spread
 from .ground import SQL_TRIANGLES
 from .inputs import SQL_AREAS, areas, read
 from .ordered import SQL_PATH, path
@@ -113,7 +114,8 @@ def i06_split(spark, sf_dir):
     k = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tile"), (300 + F.col("s_suppkey") % 7 * 10).alias("long"))
     box = lambda x0, x1, y0, y1: F.struct(F.lit(x0).cast("long").alias("x0"), x1.cast("long").alias("x1"), F.lit(y0).alias("y0"), F.lit(y1).alias("y1"))
     rows = F.when(F.col("tile") % 3 == 0, F.array(box(0, F.col("long"), 10, 12))).otherwise(F.array(box(0, F.col("long"), 10, 12), box(0, F.col("long"), 60, 62), box(100, F.lit(102), 13, 59)))
-    pixels = k.select("tile", F.explode(rows).alias("b")).select("tile", F.explode(F.sequence("b.x0", "b.x1")).alias("px"), "b.y0", "b.y1").select("tile", "px", F.explode(F.sequence("y0", "y1")).alias("py"))
+    # a small file of tiles is read by one task, their pixels are made by many
+    pixels = spread(k, "tile").select("tile", F.explode(rows).alias("b")).select("tile", F.explode(F.sequence("b.x0", "b.x1")).alias("px"), "b.y0", "b.y1").select("tile", "px", F.explode(F.sequence("y0", "y1")).alias("py"))
     found = thinning.split_rows(pixels, "tile")
     n = found.groupBy("tile").agg(F.count("*").cast("int").alias("n"), F.round(F.sum("y0"), 2).alias("places"), F.min(F.col("x1") - F.col("x0")).alias("least"))
     return n.join(k, "tile").select("tile", "n", "places", (F.col("least") > F.col("long") - 8).alias("whole"))
